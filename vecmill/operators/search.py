@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecmill.functions.text import words
+from vecmill.functions.text import count_word, count_words, spaced_words, words
 from vecmill.operators.batches import map_batches
 from vecmill.session import scratch_path
 
@@ -52,19 +52,20 @@ def match_topk(
     if not terms:
         raise ValueError("no query holds a word")
 
-    analysed = docs.select(id_col, words(text_col).alias("_words"))
-    hit_words = F.filter("_words", lambda w: w.isin(terms))
+    analysed = docs.select(id_col, spaced_words(text_col).alias("_words"))
     counted = analysed.select(
-        id_col, F.size("_words").alias("_len"), hit_words.alias("_hits")
-    ).filter(F.col("_len") > 0)
-    tf = F.array(*[_occurrences("_hits", term) for term in terms])
-    counted = counted.select(id_col, "_len", tf.alias("_tf"))
+        id_col,
+        count_words("_words").alias("_len"),
+        F.array(*[count_word("_words", term) for term in terms]).alias("_tf"),
+    )
 
     seen = Observation()
     path = scratch_path(spark, "hits")
-    holding = [F.sum((F.col("_tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
+    holding = [F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]
     (
-        counted.observe(seen, F.count("*").alias("docs"), F.sum("_len").alias("length"), *holding)
+        counted.observe(
+            seen, F.count_if(F.col("_len") > 0).alias("docs"), F.sum("_len").alias("length"), *holding
+        )
         .filter(F.exists("_tf", lambda n: n > 0))
         .write.parquet(path)
     )
@@ -111,10 +112,6 @@ def sparse_topk(
     return top_hits(_scores(docs, id_col, per_query), id_col, k)
 
 
-def _occurrences(words_col: str, term: str) -> Column:
-    return F.size(F.filter(words_col, lambda w: w == term))
-
-
 def _entry(query: str, parts: list[Column]) -> Column:
     score = F.lit(0.0)
     for part in parts:

@@ -52,6 +52,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return sources.read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.spread(_table(spark, sf_dir, "documents"))
+
+
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embedding table under the column name that the jobs expect."""
     return columns.rename_column(_table(spark, sf_dir, "embeddings"), "embedding", "vector")
@@ -88,7 +92,7 @@ def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _union([sources.file_rows(_table(spark, sf_dir, t)) for t in TABLES])
+    return sources.file_rows(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES])
 
 
 def file_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,8 +412,8 @@ def fanout_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenized = tokenizing.tokenize(_table(spark, sf_dir, "documents"))
-    real = F.aggregate("attention_mask", F.lit(0), lambda acc, x: acc + x)
+    tokenized = tokenizing.tokenize(_documents(spark, sf_dir))
+    real = F.size(F.array_remove("attention_mask", 0))
     return tokenized.select(
         "doc_id",
         F.col("n_tokens").cast("long").alias("n_tokens"),
@@ -420,13 +424,13 @@ def tokenize_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenizing.build_vocabulary(_table(spark, sf_dir, "documents"))
+    return tokenizing.build_vocabulary(_documents(spark, sf_dir))
 
 
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     ids = tokenizing.token_ids(docs, tokenizing.build_vocabulary(docs), "doc_id")
-    real = F.aggregate("attention_mask", F.lit(0), lambda acc, x: acc + x)
+    real = F.size(F.array_remove("attention_mask", 0))
     return ids.select(
         "doc_id",
         F.size("input_ids").cast("long").alias("length"),
@@ -436,7 +440,7 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     hits = search.match_topk(docs, "doc_id", "text", MATCH_QUERIES, TOP_K)
     return hits.select(
         "query", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")
@@ -453,7 +457,7 @@ def _term_weights(batch: pa.Table) -> pa.Table:
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", words("text").alias("words"))
+    docs = _documents(spark, sf_dir).select("doc_id", words("text").alias("words"))
     indexed = search.reindex(docs, _term_weights)
     hits = search.sparse_topk(indexed, "doc_id", "sparse", SPARSE_QUERIES, TOP_K)
     return hits.select(
@@ -467,7 +471,7 @@ def _count_words(batch: pa.Table) -> pa.Table:
 
 
 def reindex_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
     return search.reindex(docs, _count_words)
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 FILE_PATH = "_metadata.file_path"
 FILE_NAME = "_metadata.file_name"
 
+# Largest scan, in bytes of its files, that ``spread`` hands out anew.
+SPREAD_BYTES = 1 << 30
+
 
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A file, a directory or several of them, by any URI the cluster has a file system for."""
@@ -19,6 +22,27 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("split") == split).drop("split")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Hand a small scan out to all cores before CPU-heavy work.
+
+    A row group is read by one task, so a small file keeps most cores idle. Beyond
+    ``SPREAD_BYTES``, or with a file for each core, ``df`` comes back as it is: there, rows are
+    not moved.
+    """
+    spark = df.sparkSession
+    files = df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if len(files) >= cores:
+        return df
+    size = sum(_status(spark, file).getLen() for file in files)
+    return df if size > SPREAD_BYTES else df.repartition(cores)
+
+
+def _status(spark: SparkSession, uri: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or directory at ``path``, by the cluster's own file system."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -30,9 +54,12 @@ def list_files(df: DataFrame) -> list[str]:
     return sorted(df.inputFiles())
 
 
-def file_rows(df: DataFrame) -> DataFrame:
-    """``(file_name, rows)`` per input file of a plain scan; reads no column."""
-    return df.groupBy(F.col(FILE_NAME).alias("file_name")).agg(F.count("*").alias("rows"))
+def file_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(file_name, rows)`` of every Parquet file at ``paths``, which may be different tables:
+    one job over the row counts in the files, no column is read."""
+    any_table = spark.read.schema("unread string")
+    scan = any_table.parquet(*([paths] if isinstance(paths, str) else paths))
+    return scan.groupBy(F.col(FILE_NAME).alias("file_name")).agg(F.count("*").alias("rows"))
 
 
 def dataset_bytes(spark: SparkSession, path: str) -> int:
