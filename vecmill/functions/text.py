@@ -22,13 +22,14 @@ def words(text: str | Column) -> Column:
 
 
 def spaced_words(text: str | Column) -> Column:
-    """The words of ``words`` as one string, each with a space of its own on either side.
+    """The words of ``words`` as one string, with two spaces before, between and after them, so
+    that each word has a space of its own on either side.
 
     Counting in this form needs plain string functions only, no array and no lambda.
     """
     text = F.col(text) if isinstance(text, str) else text
-    joined = F.trim(F.regexp_replace(F.lower(text), F.lit(BETWEEN_WORDS), F.lit("  ")))
-    return F.when(joined == "", F.lit("")).otherwise(F.concat(F.lit(" "), joined, F.lit(" ")))
+    framed_text = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    return F.regexp_replace(framed_text, F.lit(BETWEEN_WORDS), F.lit("  "))
 
 
 def count_word(spaced: str | Column, word: str) -> Column:
@@ -43,7 +44,7 @@ def count_words(spaced: str | Column) -> Column:
     """Number of words in the result of ``spaced_words``."""
     spaced = F.col(spaced) if isinstance(spaced, str) else spaced
     spaces = F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))
-    return (spaces / 2).cast("int")
+    return (spaces / 2 - 1).cast("int")
 
 
 def tokens(text: str | Column) -> Column:

@@ -31,9 +31,9 @@ def top_hits(scores: DataFrame, id_col: str, k: int, query_col: str = "query") -
 
 def query_terms(spark: SparkSession, queries: Mapping[str, str]) -> dict[str, Counter[str]]:
     """Terms of each query string, by the same analyser as the documents."""
-    rows = spark.createDataFrame(list(queries.items()), "query string, text string")
-    analysed = rows.select("query", words("text").alias("terms"))
-    return {r["query"]: Counter(r["terms"]) for r in analysed.collect()}
+    analysed = [words(F.lit(text)).alias(f"q{i}") for i, text in enumerate(queries.values())]
+    row = spark.range(1).select(*analysed).first()
+    return {name: Counter(row[f"q{i}"]) for i, name in enumerate(queries)}
 
 
 def match_topk(
@@ -66,7 +66,7 @@ def match_topk(
         counted.observe(
             seen, F.count_if(F.col("_len") > 0).alias("docs"), F.sum("_len").alias("length"), *holding
         )
-        .filter(F.exists("_tf", lambda n: n > 0))
+        .filter(F.array_max("_tf") > 0)
         .write.parquet(path)
     )
     corpus = seen.get

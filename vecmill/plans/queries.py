@@ -19,7 +19,7 @@ from vecmill.functions.vectors import append_scaled, argmax, cast_elements
 from vecmill.operators import batches, columns, metrics, parity, sampling, search, shards, tokenizing
 from vecmill.operators.upsert import upsert
 from vecmill.plans import jobs
-from vecmill.session import scratch_path
+from vecmill.session import cut_lineage, scratch_path
 from vecmill.sinks import files as sinks
 from vecmill.sources import files as sources
 from vecmill.sources import versions
@@ -53,7 +53,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.spread(_table(spark, sf_dir, "documents"))
+    return sources.spread(_table(spark, sf_dir, "documents"), "doc_id")
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,7 +429,8 @@ def token_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    ids = tokenizing.token_ids(docs, tokenizing.build_vocabulary(docs), "doc_id")
+    vocabulary = cut_lineage(tokenizing.build_vocabulary(docs), "vocabulary")
+    ids = tokenizing.token_ids(docs, vocabulary, "doc_id")
     real = F.size(F.array_remove("attention_mask", 0))
     return ids.select(
         "doc_id",

@@ -22,8 +22,8 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("split") == split).drop("split")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Hand a small scan out to all cores before CPU-heavy work.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hand a small scan out to all cores by ``key``, a unique id, before CPU-heavy work.
 
     A row group is read by one task, so a small file keeps most cores idle. Beyond
     ``SPREAD_BYTES``, or with a file for each core, ``df`` comes back as it is: there, rows are
@@ -35,7 +35,7 @@ def spread(df: DataFrame) -> DataFrame:
     if len(files) >= cores:
         return df
     size = sum(_status(spark, file).getLen() for file in files)
-    return df if size > SPREAD_BYTES else df.repartition(cores)
+    return df if size > SPREAD_BYTES else df.repartition(cores, key)
 
 
 def _status(spark: SparkSession, uri: str):

@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecmill.session import literal_rows
 from vecmill.sources.versions import latest_version, read_version
 
 ENTRY = (
@@ -62,7 +63,7 @@ class RunLog:
 
     def log_metric(self, run_id: str, key: str, value: float, step: int | None = None) -> None:
         row = (run_id, "metric", key, None, float(value), step, datetime.now(timezone.utc))
-        self._write(self.spark.createDataFrame([row], ENTRY).coalesce(1))
+        self._write(literal_rows(self.spark, [row], ENTRY))
 
     def log_metrics(self, run_id: str, metrics: DataFrame) -> None:
         """Append a whole series given as ``(key, metric, step)``; written where it is computed."""
@@ -111,7 +112,8 @@ class RunLog:
     def _append(self, run_id: str, kind: str, values: Mapping[str, Any]) -> None:
         now = datetime.now(timezone.utc)
         rows = [(run_id, kind, k, str(v), None, None, now) for k, v in values.items()]
-        self._write(self.spark.createDataFrame(rows, ENTRY).coalesce(1))
+        if rows:
+            self._write(literal_rows(self.spark, rows, ENTRY))
 
     def _write(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.path)

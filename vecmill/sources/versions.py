@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecmill.operators.batches import observe_rows
+from vecmill.session import literal_rows
 from vecmill.sources.files import exists
 
 HISTORY = "version long, ts timestamp, operation string, rows long"
@@ -58,9 +59,7 @@ def write_version(
     # Overwrite: a failed attempt may have left files under this number.
     counted.write.mode("overwrite").options(**options).parquet(_data(path, version))
     entry = (version, datetime.now(timezone.utc), "overwrite", rows.get["rows"])
-    spark.createDataFrame([entry], HISTORY).coalesce(1).write.mode("append").parquet(
-        f"{path}/history"
-    )
+    literal_rows(spark, [entry], HISTORY).write.mode("append").parquet(f"{path}/history")
     return version
 
 
