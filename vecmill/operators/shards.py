@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ def shard_files(df: DataFrame, shards: int) -> list[tuple[str, int]]:
     scan; no data is read."""
     if shards < 1:
         raise ValueError(f"shards must be at least 1, got {shards}")
-    return [(path, i % shards) for i, path in enumerate(sorted(df.inputFiles()))]
+    # Rows name local files with one slash, the list with three.
+    files = sorted(file.replace("file:///", "file:/", 1) for file in df.inputFiles())
+    return [(file, i % shards) for i, file in enumerate(files)]
 
 
 def file_shards(df: DataFrame, shards: int) -> DataFrame:
@@ -41,7 +45,8 @@ def read_shard(spark: SparkSession, path: str, shard: int, shards: int) -> DataF
     if not 0 <= shard < shards:
         raise ValueError(f"shard must be within 0..{shards - 1}, got {shard}")
     whole = spark.read.parquet(path)
-    own = [file for file, number in shard_files(whole, shards) if number == shard]
+    # Listed as URIs, read as paths.
+    own = [unquote(file) for file, number in shard_files(whole, shards) if number == shard]
     if not own:
         return whole.limit(0)
     return spark.read.schema(whole.schema).option("basePath", path).parquet(*own)
