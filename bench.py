@@ -22,6 +22,7 @@ from vecmill.functions.vectors import append_scaled  # noqa: E402
 from vecmill.operators.batches import map_batches  # noqa: E402
 from vecmill.plans import jobs, queries  # noqa: E402
 from vecmill.session import build_session, scratch_path  # noqa: E402
+from vecmill.sources import versions  # noqa: E402
 
 # Rows of the large corpus, which repeats the embedding table: eight batches of the job default.
 CORPUS_ROWS = 8 * jobs.BATCH_ROWS
@@ -65,8 +66,24 @@ def main() -> None:
     def arrow(spark: SparkSession, _dir: str) -> DataFrame:
         return map_batches(spark.read.parquet(corpus), jobs.double_batch(), jobs.BATCH_ROWS)
 
+    def table_job(spark: SparkSession, _dir: str) -> DataFrame:
+        out = jobs.process_table(spark, corpus, scratch_path(spark, "table"), jobs.BATCH_ROWS)
+        return versions.history(spark, out)
+
+    def shards_job(spark: SparkSession, _dir: str) -> DataFrame:
+        out = jobs.process_shards(spark, corpus, scratch_path(spark, "shards"), 1)
+        return spark.read.parquet(out).limit(1)
+
+    def batches_job(spark: SparkSession, _dir: str) -> DataFrame:
+        out = jobs.process_batches(spark, corpus, scratch_path(spark, "batches"))
+        return spark.read.parquet(out).limit(1)
+
     work["large_corpus_native"] = native
     work["large_corpus_map_batches"] = arrow
+    # Whole jobs: read, transform, write.
+    work["large_corpus_table_job"] = table_job
+    work["large_corpus_shards_job"] = shards_job
+    work["large_corpus_batches_job"] = batches_job
     if chosen:
         work = {name: work[name] for name in chosen.split(",")}
 

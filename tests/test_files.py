@@ -1,6 +1,7 @@
 import os
 import uuid
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +10,7 @@ from conftest import plan_of, rows_of
 from vecmill.functions.vectors import append_scaled
 from vecmill.operators.columns import conform
 from vecmill.operators.shards import append_shard, file_shards, read_shard, shard_files
-from vecmill.session import scratch_path, shared_dir
+from vecmill.session import scratch_path, shared_dir, size_shuffles
 from vecmill.sinks import files as sinks
 from vecmill.sources import files as sources
 from vecmill.sources import versions
@@ -37,6 +38,14 @@ def test_shared_dir_is_the_configured_one(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
+def test_shuffles_are_sized_by_input(spark):
+    other = spark.newSession()
+    assert size_shuffles(other, 1) == 8
+    assert size_shuffles(other, 100 << 40) == 409_600
+    assert other.conf.get("spark.sql.shuffle.partitions") == "409600"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
 def test_read_by_path_uri_and_list(spark, sf_dir, corpus):
     file = f"{sf_dir}/embeddings.parquet"
     assert sources.read_parquet(spark, file).count() == corpus.count()
@@ -110,6 +119,20 @@ def test_empty_input_gives_an_empty_table(spark, corpus, tmp_path):
     assert out.count() == 0 and out.columns[-1] == "vector_x2"
 
 
+def test_vectors_are_written_without_dictionary(spark, corpus, tmp_path):
+    path = tmp_path / "out"
+    sinks.write_dataset(append_scaled(corpus), str(path), "error")
+    (file,) = names(path)
+    group = pq.ParquetFile(path / file).metadata.row_group(0)
+    dictionary = {
+        group.column(i).path_in_schema: any("DICTIONARY" in e for e in group.column(i).encodings)
+        for i in range(group.num_columns)
+    }
+    assert dictionary.pop("label")
+    dictionary.pop("vec_id")
+    assert dictionary == {"vector.list.element": False, "vector_x2.list.element": False}
+
+
 def test_one_output_per_input(spark, split_corpus, tmp_path):
     out = str(tmp_path / "out")
     tagged = sinks.with_output_name(spark.read.parquet(split_corpus))
@@ -216,14 +239,14 @@ def test_chunks_restart_and_continue(spark, corpus, tmp_path):
     source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     corpus.filter("label < 5").repartition(3).write.parquet(source)
     corpus.limit(2).write.parquet(target)
-    process_chunks(spark, source, target, progress, append_scaled)
+    process_chunks(spark, source, target, progress, append_scaled, max_files=1)
     first = spark.read.parquet(target)
     assert rows_of(first.select("batch_id").distinct()) == [(0,), (1,), (2,)]
     assert first.count() == corpus.filter("label < 5").count()
     # Nothing new: nothing changes. New files: only they are added.
-    process_chunks(spark, source, target, progress, append_scaled)
+    process_chunks(spark, source, target, progress, append_scaled, max_files=1)
     corpus.filter("label >= 5").coalesce(1).write.mode("append").parquet(source)
-    process_chunks(spark, source, target, progress, append_scaled)
+    process_chunks(spark, source, target, progress, append_scaled, max_files=1)
     out = spark.read.parquet(target)
     assert out.select("batch_id").distinct().count() == 4
     assert rows_of(out.drop("batch_id")) == rows_of(append_scaled(corpus))
@@ -249,7 +272,7 @@ def test_failing_chunk_resumes(spark, corpus, tmp_path):
         return append_scaled(df)
 
     with pytest.raises(Exception, match="lost"):
-        process_chunks(spark, source, target, progress, fails_once)
+        process_chunks(spark, source, target, progress, fails_once, max_files=1)
     assert spark.read.parquet(target).select("batch_id").distinct().count() == 1
-    process_chunks(spark, source, target, progress, fails_once)
+    process_chunks(spark, source, target, progress, fails_once, max_files=1)
     assert rows_of(spark.read.parquet(target).drop("batch_id")) == rows_of(append_scaled(corpus))

@@ -97,7 +97,7 @@ def test_accuracy(spark):
 
 def test_steps(spark):
     assert metrics.steps_per_epoch(spark.range(100), 8, 3).first() == (100, 13, 39)
-    steps = metrics.number_steps(spark.range(13).withColumnRenamed("id", "batch"), 3)
+    steps = metrics.number_steps(spark.range(13).withColumnRenamed("id", "batch"), 3, 13)
     assert sorted(r["global_step"] for r in steps.collect()) == list(range(39))
     assert rows_of(steps.filter("epoch = 2 and batch = 12").select("global_step")) == [(38,)]
 

@@ -113,3 +113,17 @@ def argmax(column: str) -> Column:
     """
     vector = F.col(column)
     return (F.array_position(vector, F.array_max(vector)) - 1).cast("int")
+
+
+def plain_encoding(df: DataFrame) -> dict[str, str]:
+    """Parquet write options for columns of float or double arrays: no attempt at a dictionary.
+
+    Embeddings hardly repeat, so the writer would build one, outgrow it and start again; without
+    it the same bytes are written in about half the time.
+    """
+    return {
+        f"parquet.enable.dictionary#{field.name}.list.element": "false"
+        for field in df.schema
+        if isinstance(field.dataType, T.ArrayType)
+        and isinstance(field.dataType.elementType, FRACTIONAL)
+    }

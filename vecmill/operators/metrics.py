@@ -35,15 +35,18 @@ def steps_per_epoch(df: DataFrame, batch_size: int, epochs: int) -> DataFrame:
     )
 
 
-def number_steps(batched: DataFrame, epochs: int, step: str = "batch") -> DataFrame:
+def number_steps(
+    batched: DataFrame, epochs: int, per_epoch: int | Column, step: str = "batch"
+) -> DataFrame:
     """Repeat each batch row once per epoch, with ``epoch`` and the step number over all epochs.
 
-    ``batched`` holds one row per batch, numbered from 0 in ``step``.
+    ``batched`` holds one row per batch, numbered from 0 in ``step``; ``per_epoch`` is their
+    number, from ``steps_per_epoch``.
     """
-    last = batched.agg(F.max(step).alias("last")).scalar()
-    return batched.withColumn(
-        "epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
-    ).withColumn("global_step", F.col(step) + F.col("epoch") * (last + 1))
+    epoch = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
+    return batched.withColumn("epoch", epoch).withColumn(
+        "global_step", F.col(step) + F.col("epoch") * per_epoch
+    )
 
 
 def meets_minimum(df: DataFrame, minimum: int) -> DataFrame:
@@ -81,7 +84,7 @@ def dataset_profile(df: DataFrame, distinct: str | None = "approx") -> DataFrame
             (F.avg(value).cast("double") if numeric else F.lit(None).cast("double")).alias(f"m{i}"),
         ]
         if distinct == "approx":
-            aggregates.append(F.approx_count_distinct(_digest(field)).alias(f"d{i}"))
+            aggregates.append(F.approx_count_distinct(column).alias(f"d{i}"))
     once = df.agg(*aggregates)
     entries = [
         F.struct(

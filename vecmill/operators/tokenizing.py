@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from vecmill.functions import text as X
 from vecmill.operators.ranking import global_rank
 
-# Most frequent terms that are broadcast when token ids are looked up. Ranks follow frequency, so
-# a term beyond them holds less than 1/HEAD_TERMS of all tokens and cannot make a hot key.
-HEAD_TERMS = 100_000
+# Terms that are broadcast when token ids are looked up: the most frequent ones, unless longer
+# than a word can sensibly be, so 128 MB at worst and a tenth of that as a rule. Ranks follow
+# frequency, so a term beyond them holds less than 1/HEAD_TERMS of all tokens and is no hot key.
+HEAD_TERMS = 500_000
+HEAD_TERM_BYTES = 256
 
 
 def tokenize(
@@ -64,23 +66,29 @@ def token_ids(
 
     Terms are looked up by joins. The ``HEAD_TERMS`` most frequent ones, which hold almost all
     tokens and any hot one, are broadcast; the few other tokens are shuffled to the rest of the
-    vocabulary. Unknown terms become ``[UNK]``. A text's group has at most ``max_length`` rows.
+    vocabulary, if there is a rest. Unknown terms become ``[UNK]``. ``id_col`` must be unique; a
+    text's group then has at most ``max_length`` rows. The vocabulary is read several times, so
+    pass a written one.
     """
     head_end = HEAD_TERMS + len(X.SPECIAL_IDS)
     lookup = vocabulary.select("token", F.col("token_id").cast("int"))
-    head = lookup.filter(F.col("token_id") < head_end)
-    tail = lookup.filter(F.col("token_id") >= head_end)
+    is_head = (F.col("token_id") < head_end) & (F.octet_length("token") <= HEAD_TERM_BYTES)
+    head, tail = lookup.filter(is_head), lookup.filter(~is_head)
 
     cut = F.slice(X.tokens(text_col), 1, max_length - 2)
     placed = df.select(id_col, F.posexplode_outer(cut).alias("pos", "token"))
     found = placed.join(F.broadcast(head), "token", "left")
-    rare = F.col("token").isNotNull() & F.col("token_id").isNull()
-    frequent = found.filter(~rare)
-    looked_up = found.filter(rare).drop("token_id").join(tail, "token", "left")
-    unknown = F.lit(X.SPECIAL_IDS[X.UNK])
-    ids = frequent.select(id_col, "pos", "token_id").unionByName(
-        looked_up.select(id_col, "pos", F.coalesce("token_id", unknown).alias("token_id"))
-    )
+    known_or_unk = F.coalesce("token_id", F.lit(X.SPECIAL_IDS[X.UNK])).alias("token_id")
+    if tail.isEmpty():
+        ids = found.select(id_col, "pos", known_or_unk)
+    else:
+        rare = F.col("token").isNotNull() & F.col("token_id").isNull()
+        looked_up = found.filter(rare).drop("token_id").join(tail, "token", "left")
+        ids = (
+            found.filter(~rare)
+            .select(id_col, "pos", "token_id")
+            .unionByName(looked_up.select(id_col, "pos", known_or_unk))
+        )
 
     # An empty text has one row with null position; it contributes no entry.
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))

@@ -66,12 +66,17 @@ def process_shards(
 
 
 def process_table(
-    spark: SparkSession, source: str, target: str, batch_size: int, checkpoint: str | None = None
+    spark: SparkSession,
+    source: str,
+    target: str,
+    batch_size: int,
+    checkpoint: str | None = None,
+    max_files: int | None = None,
 ) -> str:
     """The table form: via float32, at most ``batch_size`` rows to a file.
 
     Without ``checkpoint`` the result is one new version of the target, so readers see all of it
-    or nothing. With it, new files of ``source`` are worked through chunk by chunk.
+    or nothing. With it, new files of ``source`` are worked through in chunks of ``max_files``.
     """
     size = batch_rows(batch_size)
     out = f"{target}/batch_size={size}"
@@ -80,7 +85,7 @@ def process_table(
         return append_scaled(df, via="float32")
 
     if checkpoint is not None:
-        process_chunks(spark, source, out, checkpoint, transform)
+        process_chunks(spark, source, out, checkpoint, transform, max_files)
         return out
     versioned = latest_version(spark, source) is not None
     table = read_version(spark, source) if versioned else read_parquet(spark, source)
@@ -145,7 +150,8 @@ def main(argv: list[str] | None = None) -> None:
     shards.add_argument("--shard", type=int)
     table = add("table")
     table.add_argument("--batch-size", type=int, required=True)
-    table.add_argument("--checkpoint")
+    table.add_argument("--checkpoint", help="work through new files of the source in chunks")
+    table.add_argument("--max-files", type=int, help="files to a chunk")
     batches = add("batches")
     batches.add_argument("--batch-size", type=int, default=BATCH_ROWS)
     batches.add_argument("--mode", default="error")
@@ -161,7 +167,11 @@ def main(argv: list[str] | None = None) -> None:
     if args.job == "shards":
         print(process_shards(spark, args.source, args.target, args.instances, args.shard))
     elif args.job == "table":
-        print(process_table(spark, args.source, args.target, args.batch_size, args.checkpoint))
+        print(
+            process_table(
+                spark, args.source, args.target, args.batch_size, args.checkpoint, args.max_files
+            )
+        )
     elif args.job == "batches":
         print(process_batches(spark, args.source, args.target, args.batch_size, args.mode))
     elif args.job == "instances":

@@ -174,11 +174,10 @@ def shard_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overwrite_then_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunked job: the first chunk replaces the target, four more are added."""
+    """The chunked job, two files to a chunk: the first chunk replaces the target, others add."""
     source, target = _corpus_files(spark, sf_dir), scratch_path(spark, "chunked")
-    out = jobs.process_table(
-        spark, source, target, REPORT_BATCH, checkpoint=scratch_path(spark, "progress")
-    )
+    progress = scratch_path(spark, "progress")
+    out = jobs.process_table(spark, source, target, REPORT_BATCH, progress, max_files=2)
     return _elements(sources.read_parquet(spark, out))
 
 
@@ -290,7 +289,9 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log.log_params(run, {"num_epochs": EPOCHS, "batch_size": LOADER_BATCH})
     batched = sampling.mini_batches(_corpus(spark, sf_dir), "vec_id", LOADER_BATCH, SEED)
     per_batch = batched.groupBy("batch").agg(F.avg("label").alias("loss"))
-    steps = metrics.number_steps(per_batch, EPOCHS)
+    epoch_steps = metrics.steps_per_epoch(_corpus(spark, sf_dir), LOADER_BATCH, EPOCHS)
+    per_epoch = epoch_steps.first()["steps_per_epoch"]
+    steps = metrics.number_steps(per_batch, EPOCHS, per_epoch)
     log.log_metrics(
         run,
         steps.select(
@@ -299,8 +300,6 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("global_step").alias("step"),
         ),
     )
-    epoch_steps = metrics.steps_per_epoch(_corpus(spark, sf_dir), LOADER_BATCH, EPOCHS)
-    per_epoch = epoch_steps.first()["steps_per_epoch"]
     log.log_metrics(
         run,
         log.last_per_epoch(run, "train_loss", per_epoch).select(
@@ -362,7 +361,9 @@ def step_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _corpus(spark, sf_dir).select("vec_id")
     batched = sampling.mini_batches(corpus, "vec_id", LOADER_BATCH, SEED)
     per_batch = batched.groupBy("batch").agg(F.count("*").alias("rows"))
-    return metrics.number_steps(per_batch, EPOCHS).withColumn("epoch", F.col("epoch").cast("long"))
+    per_epoch = metrics.steps_per_epoch(corpus, LOADER_BATCH, EPOCHS).select("steps_per_epoch")
+    steps = metrics.number_steps(per_batch, EPOCHS, per_epoch.scalar())
+    return steps.withColumn("epoch", F.col("epoch").cast("long"))
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

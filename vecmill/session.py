@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecmill.functions.vectors import plain_encoding
+
 DEFAULTS = {
     # Integer overflow must fail, never wrap.
     "spark.sql.ansi.enabled": "true",
@@ -23,6 +25,10 @@ DEFAULTS = {
 }
 
 
+# Data that one shuffle partition should hold.
+SHUFFLE_BYTES = 256 << 20
+
+
 def build_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
     """A session with ``DEFAULTS``, overridden by ``conf`` (``**{"spark.x": "v"}``)."""
     builder = SparkSession.builder.appName(app)
@@ -33,6 +39,17 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
     return builder.getOrCreate()
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+    """Set the shuffle partitions for an input of this size and return their number.
+
+    A partition gets about ``SHUFFLE_BYTES``, so that it sorts in memory, and each core at least
+    one. Spark joins those that turn out small, but never splits ones that are too few.
+    """
+    wanted = max(-(-input_bytes // SHUFFLE_BYTES), spark.sparkContext.defaultParallelism)
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` when the cluster names one.
 
@@ -62,7 +79,7 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**plain_encoding(df)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

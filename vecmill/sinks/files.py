@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecmill.functions.vectors import plain_encoding
 from vecmill.operators.columns import append_column, conform
 from vecmill.sources.files import FILE_NAME, dataset_bytes, processed_name
 
@@ -19,7 +20,9 @@ def write_dataset(
 ) -> None:
     """Write Parquet. ``mode`` has no default, so that nothing is replaced by accident; with
     ``schema`` the columns must match it."""
-    (df if schema is None else conform(df, schema)).write.mode(mode).parquet(path)
+    if schema is not None:
+        df = conform(df, schema)
+    df.write.mode(mode).options(**plain_encoding(df)).parquet(path)
 
 
 def with_output_name(scan: DataFrame, output: str = "output_file") -> DataFrame:
@@ -33,7 +36,7 @@ def write_per_input(df: DataFrame, path: str, output: str = "output_file") -> No
     other inputs stay, so shards can be written one by one and again."""
     (
         df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .options(**plain_encoding(df), partitionOverwriteMode="dynamic")
         .partitionBy(output)
         .parquet(path)
     )
@@ -48,7 +51,7 @@ def write_parameterised(df: DataFrame, path: str, **parameter: object) -> None:
         df = append_column(df, name, F.lit(value))
     (
         df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .options(**plain_encoding(df), partitionOverwriteMode="dynamic")
         .partitionBy(*parameter)
         .parquet(path)
     )
@@ -74,7 +77,8 @@ def compact(
     packing.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
     packing.conf.set("spark.sql.files.openCostInBytes", "0")
     packing.conf.set("spark.sql.files.minPartitionNum", "1")
-    writer = packing.read.parquet(path).write.mode(mode)
+    packed = packing.read.parquet(path)
+    writer = packed.write.mode(mode).options(**plain_encoding(packed))
     if max_rows_per_file is not None:
         writer = writer.option("maxRecordsPerFile", max_rows_per_file)
     writer.parquet(dest)

@@ -13,6 +13,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecmill.functions.vectors import plain_encoding
 from vecmill.operators.batches import observe_rows
 from vecmill.session import literal_rows
 from vecmill.sources.files import exists
@@ -48,7 +49,9 @@ def write_version(
 ) -> int:
     """Write ``df`` as the next version and return its number. ``df`` may read older versions."""
     spark = df.sparkSession
-    options = {} if max_rows_per_file is None else {"maxRecordsPerFile": max_rows_per_file}
+    options = plain_encoding(df)
+    if max_rows_per_file is not None:
+        options["maxRecordsPerFile"] = str(max_rows_per_file)
     if _check(table_format):
         writer = df.write.format("delta").mode("overwrite").options(**options)
         writer.option("overwriteSchema", "true").save(path)
@@ -83,7 +86,8 @@ def export_version(
     spark: SparkSession, path: str, dest: str, version: int | None = None, mode: str = "error"
 ) -> None:
     """Rewrite a version as flat Parquet under ``dest``, in parallel."""
-    read_version(spark, path, version).write.mode(mode).parquet(dest)
+    table = read_version(spark, path, version)
+    table.write.mode(mode).options(**plain_encoding(table)).parquet(dest)
 
 
 def _data(path: str, version: int) -> str:

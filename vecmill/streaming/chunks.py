@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecmill.functions.vectors import plain_encoding
+
 
 def process_chunks(
     spark: SparkSession,
@@ -14,21 +16,23 @@ def process_chunks(
     target: str,
     checkpoint: str,
     transform: Callable[[DataFrame], DataFrame],
-    max_files: int = 1,
+    max_files: int | None = None,
     max_bytes: str | None = None,
 ) -> None:
     """Run ``transform`` over the files of ``source`` that ``checkpoint`` has not seen, at most
     ``max_files`` (or ``max_bytes``, such as ``"10g"``) to a chunk, and return when none is left.
+    By default a chunk has a file for each core of the cluster, so that none is idle.
 
     Chunk 0 replaces ``target``, later ones add to it. Each chunk is the partition
     ``batch_id=<n>`` and is written by overwriting just that, so a chunk that is run again after
     a failure leaves the same rows. Within a chunk Spark works in parallel as usual.
     """
     stream = spark.readStream.schema(spark.read.parquet(source).schema)
-    if max_bytes is None:
-        stream = stream.option("maxFilesPerTrigger", max_files)
-    else:
+    if max_bytes is not None:
         stream = stream.option("maxBytesPerTrigger", max_bytes)
+    else:
+        files = max_files or spark.sparkContext.defaultParallelism
+        stream = stream.option("maxFilesPerTrigger", files)
 
     def commit(chunk: DataFrame, number: int) -> None:
         write_chunk(transform(chunk), target, number)
@@ -45,10 +49,11 @@ def process_chunks(
 
 def write_chunk(chunk: DataFrame, target: str, number: int) -> None:
     """Commit chunk ``number``: the first clears ``target``, any other replaces only itself."""
+    replaced = "static" if number == 0 else "dynamic"
     (
         chunk.withColumn("batch_id", F.lit(number))
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static" if number == 0 else "dynamic")
+        .options(**plain_encoding(chunk), partitionOverwriteMode=replaced)
         .partitionBy("batch_id")
         .parquet(target)
     )
