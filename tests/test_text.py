@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of, rows_of
 from vecmill.functions import text as X
 from vecmill.operators import search, tokenizing
+from vecmill.session import cut_lineage
 
 BOOKS = [
     ("1", "Infinite Jest", "David Foster Wallace"),
@@ -45,14 +46,6 @@ def test_words_and_tokens(texts):
             assert row["t"] == tokens_of(row["text"])
 
 
-def test_counts_in_spaced_form(texts):
-    spaced = texts.select("text", X.spaced_words("text").alias("s"))
-    counted = spaced.select("text", X.count_words("s").alias("n"), X.count_word("s", "der").alias("der"), X.count_word("s", "été").alias("ete"))
-    for row in counted.filter("text is not null").collect():
-        words = words_of(row["text"])
-        assert (row["n"], row["der"], row["ete"]) == (len(words), words.count("der"), words.count("été"))
-
-
 def test_tokenize_truncates_and_pads(texts):
     out = {r["doc_id"]: r for r in tokenizing.tokenize(texts, max_length=6).collect()}
     assert out[4]["tokens"] == ["[CLS]", "one", "[SEP]", "[PAD]", "[PAD]", "[PAD]"]
@@ -71,10 +64,11 @@ def expected_vocabulary():
     return {t: (n, i + 4) for i, (t, n) in enumerate(ranked)}
 
 
-@pytest.mark.parametrize("head", [2, 100_000])
-def test_vocabulary_and_ids(texts, monkeypatch, head):
-    """With a small head most terms are looked up by the shuffled join; the ids are the same."""
+@pytest.mark.parametrize("head,size", [(500_000, 256), (2, 256), (500_000, 2)])
+def test_vocabulary_and_ids(texts, monkeypatch, head, size):
+    """A vocabulary beyond the head is joined, one within it is broadcast; the ids are the same."""
     monkeypatch.setattr(tokenizing, "HEAD_TERMS", head)
+    monkeypatch.setattr(tokenizing, "HEAD_TERM_BYTES", size)
     vocabulary = tokenizing.build_vocabulary(texts)
     expected = expected_vocabulary()
     assert {r["token"]: (r["n"], r["token_id"]) for r in vocabulary.collect()} == expected
@@ -93,6 +87,11 @@ def test_unknown_terms(texts):
     assert row["input_ids"] == [2, 1, 1, 3]
 
 
+def test_small_vocabularies_need_no_shuffle(spark, texts):
+    vocabulary = cut_lineage(tokenizing.build_vocabulary(texts), "vocabulary")
+    assert "Exchange" not in plan_of(tokenizing.token_ids(texts, vocabulary, "doc_id"))
+
+
 def bm25(docs, query, k):
     """By the formula, one document at a time."""
     words = {d: words_of(t) for d, t in docs}

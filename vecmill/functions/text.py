@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # Token patterns (letters with their marks and digits form words; a model also sees
 # each punctuation sign), the special tokens and the ids they take, the usual model input length.
 WORD = r"[\p{L}\p{M}\p{N}]+"
-BETWEEN_WORDS = r"[^\p{L}\p{M}\p{N}]+"
 WORD_OR_SIGN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]"
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
 SPECIAL_IDS = {PAD: 0, UNK: 1, CLS: 2, SEP: 3}
@@ -21,32 +20,6 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def spaced_words(text: str | Column) -> Column:
-    """The words of ``words`` as one string, with two spaces before, between and after them, so
-    that each word has a space of its own on either side.
-
-    Counting in this form needs plain string functions only, no array and no lambda.
-    """
-    text = F.col(text) if isinstance(text, str) else text
-    framed_text = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    return F.regexp_replace(framed_text, F.lit(BETWEEN_WORDS), F.lit("  "))
-
-
-def count_word(spaced: str | Column, word: str) -> Column:
-    """How often ``word`` stands in the result of ``spaced_words``."""
-    spaced = F.col(spaced) if isinstance(spaced, str) else spaced
-    own = f" {word} "
-    removed = F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(own), F.lit("")))
-    return (removed / len(own.encode())).cast("int")
-
-
-def count_words(spaced: str | Column) -> Column:
-    """Number of words in the result of ``spaced_words``."""
-    spaced = F.col(spaced) if isinstance(spaced, str) else spaced
-    spaces = F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))
-    return (spaces / 2 - 1).cast("int")
-
-
 def tokens(text: str | Column) -> Column:
     """Words and single signs in text order, case kept, as model input sees them."""
     text = F.col(text) if isinstance(text, str) else text

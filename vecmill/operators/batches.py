@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,14 @@ def rechunk(batches: Iterable[pa.RecordBatch], size: int | None) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
+def with_elements(lists: pa.ListArray, elements: pa.Array) -> pa.ListArray:
+    """Lists of the same lengths and nulls as ``lists``, filled from flat ``elements``."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0)
+    ends = pc.cumulative_sum(lengths.cast(pa.int32()))
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+    return pa.ListArray.from_arrays(offsets, elements, mask=lists.is_null())
+
+
 def map_batches(
     df: DataFrame,
     fn: Callable[[Any], Any],

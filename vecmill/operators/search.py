@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecmill.functions.text import count_word, count_words, spaced_words, words
+from vecmill.functions.text import words
 from vecmill.operators.batches import map_batches
 from vecmill.session import scratch_path
 
@@ -52,11 +52,16 @@ def match_topk(
     if not terms:
         raise ValueError("no query holds a word")
 
-    analysed = docs.select(id_col, spaced_words(text_col).alias("_words"))
-    counted = analysed.select(
+    # Words are cut out once; no filter may follow before the counts, or it would be moved below
+    # and cut them out again.
+    analysed = docs.select(id_col, words(text_col).alias("_words"))
+    reduced = analysed.select(
         id_col,
-        count_words("_words").alias("_len"),
-        F.array(*[count_word("_words", term) for term in terms]).alias("_tf"),
+        F.size("_words").alias("_len"),
+        F.filter("_words", lambda word: word.isin(terms)).alias("_hits"),
+    )
+    counted = reduced.select(
+        id_col, "_len", F.array(*[_occurrences("_hits", term) for term in terms]).alias("_tf")
     )
 
     seen = Observation()
@@ -112,6 +117,10 @@ def sparse_topk(
     return top_hits(_scores(docs, id_col, per_query), id_col, k)
 
 
+def _occurrences(array: str, term: str) -> Column:
+    return F.size(F.filter(array, lambda word: word == term))
+
+
 def _entry(query: str, parts: list[Column]) -> Column:
     score = F.lit(0.0)
     for part in parts:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecmill.functions import text as X
+from vecmill.operators.batches import map_batches, with_elements
 from vecmill.operators.ranking import global_rank
 
 # Terms that are broadcast when token ids are looked up: the most frequent ones, unless longer
@@ -64,41 +67,60 @@ def token_ids(
 ) -> DataFrame:
     """``(id_col, input_ids, token_type_ids, attention_mask)``, each of ``max_length`` entries.
 
-    Terms are looked up by joins. The ``HEAD_TERMS`` most frequent ones, which hold almost all
-    tokens and any hot one, are broadcast; the few other tokens are shuffled to the rest of the
-    vocabulary, if there is a rest. Unknown terms become ``[UNK]``. ``id_col`` must be unique; a
-    text's group then has at most ``max_length`` rows. The vocabulary is read several times, so
-    pass a written one.
+    ``id_col`` must be unique. Unknown terms become ``[UNK]``. A vocabulary that is small enough,
+    as model vocabularies are, is broadcast and looked up by Arrow batches, without a shuffle; a
+    larger one is joined. It is read several times, so pass a written one.
     """
-    head_end = HEAD_TERMS + len(X.SPECIAL_IDS)
+    if max_length < 2:
+        raise ValueError(f"max_length must leave room for two special tokens: {max_length}")
     lookup = vocabulary.select("token", F.col("token_id").cast("int"))
+    head_end = HEAD_TERMS + len(X.SPECIAL_IDS)
     is_head = (F.col("token_id") < head_end) & (F.octet_length("token") <= HEAD_TERM_BYTES)
     head, tail = lookup.filter(is_head), lookup.filter(~is_head)
+    texts = df.select(id_col, F.slice(X.tokens(text_col), 1, max_length - 2).alias("_tokens"))
+    bodies = _ids_in_tasks(texts, head) if tail.isEmpty() else _ids_by_join(texts, head, tail)
 
-    cut = F.slice(X.tokens(text_col), 1, max_length - 2)
-    placed = df.select(id_col, F.posexplode_outer(cut).alias("pos", "token"))
-    found = placed.join(F.broadcast(head), "token", "left")
-    known_or_unk = F.coalesce("token_id", F.lit(X.SPECIAL_IDS[X.UNK])).alias("token_id")
-    if tail.isEmpty():
-        ids = found.select(id_col, "pos", known_or_unk)
-    else:
-        rare = F.col("token").isNotNull() & F.col("token_id").isNull()
-        looked_up = found.filter(rare).drop("token_id").join(tail, "token", "left")
-        ids = (
-            found.filter(~rare)
-            .select(id_col, "pos", "token_id")
-            .unionByName(looked_up.select(id_col, "pos", known_or_unk))
-        )
-
-    # An empty text has one row with null position; it contributes no entry.
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))
-    grouped = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-    body = F.transform("_entries", lambda e: e["token_id"])
     special = {name: F.lit(number) for name, number in X.SPECIAL_IDS.items()}
+    body = F.coalesce("_body", F.array().cast("array<int>"))
     framed = F.concat(F.array(special[X.CLS]), body, F.array(special[X.SEP]))
-    return grouped.withColumn("_framed", framed).select(
+    return bodies.withColumn("_framed", framed).select(
         id_col,
         X.padded(F.col("_framed"), special[X.PAD], max_length).alias("input_ids"),
         F.array_repeat(F.lit(0), max_length).alias("token_type_ids"),
         X.attention_mask(F.size("_framed"), max_length).alias("attention_mask"),
     )
+
+
+def _ids_in_tasks(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``_body``, the ids of ``_tokens``. ``vocabulary`` has at most ``HEAD_TERMS`` short terms."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary.toArrow().combine_chunks())
+    unknown = X.SPECIAL_IDS[X.UNK]
+
+    def look_up(batch: pa.Table) -> pa.Table:
+        terms, ids = (shared.value[c].combine_chunks() for c in ("token", "token_id"))
+        lists = batch["_tokens"].combine_chunks()
+        found = ids.take(pc.index_in(lists.flatten(), value_set=terms))
+        bodies = with_elements(lists, pc.fill_null(found, unknown))
+        return batch.drop_columns("_tokens").append_column("_body", bodies)
+
+    return map_batches(texts, look_up)
+
+
+def _ids_by_join(texts: DataFrame, head: DataFrame, tail: DataFrame) -> DataFrame:
+    """As ``_ids_in_tasks``. The head holds almost all tokens and any hot one, and is broadcast;
+    only the few other tokens are shuffled. A text's group has no more rows than it has tokens."""
+    (id_col,) = (c for c in texts.columns if c != "_tokens")
+    placed = texts.select(id_col, F.posexplode_outer("_tokens").alias("pos", "token"))
+    found = placed.join(F.broadcast(head), "token", "left")
+    rare = F.col("token").isNotNull() & F.col("token_id").isNull()
+    looked_up = found.filter(rare).drop("token_id").join(tail, "token", "left")
+    known_or_unk = F.coalesce("token_id", F.lit(X.SPECIAL_IDS[X.UNK])).alias("token_id")
+    ids = (
+        found.filter(~rare)
+        .select(id_col, "pos", "token_id")
+        .unionByName(looked_up.select(id_col, "pos", known_or_unk))
+    )
+    # An empty text has one row with null position; it contributes no entry.
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))
+    grouped = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    return grouped.select(id_col, F.transform("_entries", lambda e: e["token_id"]).alias("_body"))

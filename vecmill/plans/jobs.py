@@ -15,7 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from vecmill.functions.vectors import append_scaled
-from vecmill.operators.batches import batch_rows, fan_out, map_batches, task_range
+from vecmill.operators.batches import (
+    batch_rows,
+    fan_out,
+    map_batches,
+    task_range,
+    with_elements,
+)
 from vecmill.operators.columns import append_equals
 from vecmill.operators.shards import read_shard
 from vecmill.session import build_session
@@ -39,12 +45,7 @@ def double_batch(column: str = "vector") -> Callable[[pa.Table], pa.Table]:
         vectors = batch[column].combine_chunks()
         elements = vectors.flatten()
         products = pc.multiply_checked(elements, pa.scalar(2, elements.type))
-        lengths = pc.fill_null(pc.list_value_length(vectors), 0)
-        ends = pc.cumulative_sum(lengths.cast(pa.int32()))
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-        doubled = pa.ListArray.from_arrays(
-            offsets, products, type=vectors.type, mask=vectors.is_null()
-        )
+        doubled = with_elements(vectors, products).cast(vectors.type)
         return batch.append_column(f"{column}_x2", doubled)
 
     return double
