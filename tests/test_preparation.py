@@ -65,6 +65,12 @@ def test_sample_by_rank_equals_sample_by_top_n(corpus, monkeypatch):
     )
 
 
+def test_a_row_without_id_is_kept(spark):
+    df = spark.createDataFrame([(1,), (None,), (2,)], "id int")
+    assert sorted(r["rank"] for r in sampling.seeded_rank(df, "id", 42).collect()) == [1, 2, 3]
+    assert sampling.seeded_sample(df, "id", 3).count() == 3
+
+
 def test_mini_batches(corpus):
     ids = corpus.select("vec_id")
     got = sampling.collect_batches(sampling.mini_batches(ids, "vec_id", 8), ["vec_id"])

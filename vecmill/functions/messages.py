@@ -41,13 +41,13 @@ def conversations(
     part 1, 2 and so on, grouped by themselves: no group exceeds ``max_turns`` rows however long
     a conversation is, and no turn is lost. Every part carries the system text.
     """
-    part = F.floor(F.col(turn) / max_turns).cast("long")
+    part = F.call_function("div", F.col(turn), F.lit(max_turns)).cast("long")
     rows = turns.select(conv_id, part.alias("part"), turn, role, content)
     system = F.col(role) == system_role
     # Copies of system turns for the further parts. The filter on turn reaches the scan, so this
     # costs next to nothing unless there are long conversations.
     further = rows.filter(F.col(turn) >= max_turns).select(conv_id, "part").distinct()
-    copies = rows.filter(system & (F.col("part") == 0)).drop("part").join(further, conv_id)
+    copies = rows.filter(system & (F.col(turn) < max_turns)).drop("part").join(further, conv_id)
     rows = rows.unionByName(copies)
 
     said = F.when(~F.coalesce(system, F.lit(False)), F.struct(turn, F.col(role).alias("role"), F.col(content).alias("content")))

@@ -106,7 +106,7 @@ def chunk_report(df: DataFrame, batch_size: int | float) -> DataFrame:
     return (
         df.select(
             F.shiftright(slot, POSITION_BITS).cast("int").alias("partition"),
-            F.floor(position / size).cast("long").alias("batch"),
+            F.call_function("div", position, F.lit(size)).alias("batch"),
         )
         .groupBy("partition", "batch")
         .agg(F.count("*").alias("rows"))

@@ -13,7 +13,8 @@ TOP_N_ROWS = 10_000
 
 def shuffle_key(id_col: str, seed: int) -> Column:
     """Sort key of the seeded order. Depends on the id and the seed only, unlike ``rand``."""
-    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return F.md5(F.concat(name, F.lit(f":{seed}")))
 
 
 def seeded_rank(df: DataFrame, id_col: str, seed: int, output: str = "rank") -> DataFrame:
@@ -76,7 +77,7 @@ def mini_batches(
         raise ValueError("shuffle=False needs order_col")
     return ranked.select(
         *df.columns,
-        F.floor((order - 1) / batch_size).cast("long").alias("batch"),
+        F.call_function("div", order - 1, F.lit(batch_size)).alias("batch"),
         ((order - 1) % batch_size).cast("int").alias("pos"),
     )
 

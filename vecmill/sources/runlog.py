@@ -106,7 +106,7 @@ class RunLog:
     def last_per_epoch(self, run_id: str, key: str, steps_per_epoch: int) -> DataFrame:
         """``(epoch, metric)`` of a metric series: its value at the last step of each epoch."""
         series = self.entries(run_id, "metric").filter(F.col("key") == key)
-        epoch = F.floor(F.col("step") / steps_per_epoch).cast("long")
+        epoch = F.call_function("div", F.col("step"), F.lit(steps_per_epoch))
         return series.groupBy(epoch.alias("epoch")).agg(F.max_by("metric", "step").alias("metric"))
 
     def _append(self, run_id: str, kind: str, values: Mapping[str, Any]) -> None:
