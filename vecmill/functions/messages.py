@@ -90,10 +90,19 @@ def parse_responses(
     wide = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
     parsed = df.withColumn("_parsed", F.from_json(column, wide, options))
-    bad = F.col("_parsed").isNull() | F.col(f"_parsed.{corrupt}").isNotNull()
+
+    def valid(response: Column) -> Column:
+        return response.isNotNull() & response[corrupt].isNull()
+
+    # The parsed value is tested as the element of an array, so that each side parses it once; a
+    # plain filter on it would parse again for the output.
+    parsed_once = F.array("_parsed")
+    good = parsed.select(
+        *[c for c in df.columns if c != column],
+        F.explode(F.filter(parsed_once, valid)).alias("_parsed"),
+    )
     fields = F.struct(*[F.col(f"_parsed.`{n}`").alias(n) for n in schema.names])
-    good = parsed.filter(~bad).select(
-        *[c for c in df.columns if c != column], fields.alias("response")
+    failed = parsed.filter(F.exists(parsed_once, lambda r: ~valid(r))).select(
+        *df.columns, F.lit("not the expected JSON").alias("error")
     )
-    failed = parsed.filter(bad).select(*df.columns, F.lit("not the expected JSON").alias("error"))
-    return good, failed
+    return good.withColumn("response", fields).drop("_parsed"), failed
