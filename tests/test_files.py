@@ -209,6 +209,13 @@ def test_versions(spark, corpus, tmp_path):
     assert spark.read.parquet(str(tmp_path / "flat")).count() == corpus.count()
 
 
+def test_empty_version(spark, corpus, tmp_path):
+    path = str(tmp_path / "table")
+    assert versions.write_version(corpus.limit(0), path) == 0
+    assert versions.read_version(spark, path).isEmpty()
+    assert versions.history(spark, path).first()["rows"] == 0
+
+
 def test_unfinished_version_is_invisible_and_reused(spark, corpus, tmp_path):
     path = str(tmp_path / "table")
     versions.write_version(corpus, path)

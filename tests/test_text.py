@@ -151,6 +151,16 @@ def test_the_texts_are_read_once(spark, texts):
     assert "text" not in plan_of(hits)
 
 
+def test_no_documents(texts):
+    none = texts.limit(0)
+    assert search.match_topk(none, "doc_id", "text", {"q": "der"}).isEmpty()
+    vocabulary = tokenizing.build_vocabulary(none)
+    assert vocabulary.isEmpty()
+    assert tokenizing.token_ids(none, vocabulary, "doc_id").isEmpty()
+    (row,) = tokenizing.token_ids(texts.filter("doc_id = 4"), vocabulary, "doc_id", max_length=4).collect()
+    assert row["input_ids"] == [2, 1, 3, 0]
+
+
 def test_sparse_query(spark):
     rows = [(1, {"a": 1.0, "b": 2.0}), (2, {"b": 4.0}), (3, {"c": 9.0}), (4, None)]
     docs = spark.createDataFrame(rows, "id int, weights map<string,float>")

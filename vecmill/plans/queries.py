@@ -40,7 +40,7 @@ REPORT_BATCH = 128
 SHARDS = 3
 COPIES = 100
 TOP_K = 10
-SYSTEM_PROMPT = "Please respond only with emoji."
+SYSTEM_PROMPT = "Answer in one sentence."
 MATCH_QUERIES = {"frequent": "the and Que der", "single": "ontion", "repeated": "eau eau los"}
 SPARSE_QUERIES = {
     "broad": {"the": 0.5, "que": 1.25, "der": 2.0, "los": 0.75},
