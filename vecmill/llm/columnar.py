@@ -54,7 +54,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = pc.fill_null(column, "")
+        column = pc.fill_null(column, pa.scalar(b"" if pa.types.is_binary(column.type) else "", column.type))
     column = column.cast(pa.large_binary())
     parts = column.buffers()
     offsets = np.frombuffer(parts[1], np.int64)[column.offset : column.offset + len(column) + 1]
