@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vecmill.llm import codec, packing, quality, rules, toxicity, transducer
+from vecmill.llm import codec, ego, packing, pii, quality, rules, toxicity, transducer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(table(spark, sf_dir, "documents"), path)
 
 
+def op2_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.link(table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return codec.digests(table(spark, sf_dir, "documents"), path)
@@ -42,5 +47,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_bpe_codec, op5_toxicity, op6_quality, op7_packing, op8_quality_rules)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit(docs)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_links, op4_bpe_codec, op5_toxicity, op6_quality, op7_packing, op8_quality_rules, op9_pii)}
 ORACLES: dict[str, str] = {}
