@@ -12,6 +12,10 @@ list's first document; of these partners each document takes the one with most l
 Confirmed links are joined to components, and only pairs of a list that are still in different
 components are enumerated; the estimate from the union of their sketches filters them, and the full
 sets decide. So large groups of near copies cost as many comparisons as they have documents.
+
+A list in which such pairs would be many (a passage that makes up half of many short documents) is
+not enumerated. Its documents get lists anew from their full sets: similar sets share one of the
+rarest quarter of each, without an error, and a passage is not in it.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ SHARED = 28
 # Members of one hub that a task compares, and bits of the filter of wanted documents.
 CHUNK = 256
 FILTER_WORDS = 1 << 20
+# Pairs in different components for each member, above which full sets take over from a list.
+DENSE = 4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -177,7 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = real.join(classes.select(F.col("class_id").alias("doc_id"), "mark1", "mark2"), ["doc_id", "mark1", "mark2"])
     values = leaders.select("doc_id", "n_shingles", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
-    lists = cut_lineage(_lists(values.join(often, "value"), k, shared), "lists")
+    lists = cut_lineage(_lists(values.join(often, "value"), shared, k), "lists")
 
     first = lists.groupBy("value").agg(F.min("doc_id").alias("hub"), F.count("*").alias("f")).where("f > 1").drop("f")
     met = lists.join(first, "value").where("hub < doc_id").groupBy("doc_id", "hub").agg(F.count("*").alias("n"))
@@ -185,7 +191,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut_lineage(verify(source, best.select((-F.col("b.h")).alias("hub"), "doc_id"), percent), "set-links")
     known = components(links, "hub", "doc_id")
 
-    rest = cut_lineage(_apart(lists, known, percent), "pairs")
+    placed = cut_lineage(_placed(lists, known), "placed")
+    parts = placed.groupBy("value", "component").agg(F.count("*").alias("c"))
+    counts = parts.groupBy("value").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    counts = counts.withColumn("apart", (F.col("m") * F.col("m") - F.col("squares")) / 2).where("apart > 0")
+    thin = placed.join(counts.where(F.col("apart") <= DENSE * F.col("m")).select("value"), "value")
+    dense = placed.join(counts.where(F.col("apart") > DENSE * F.col("m")).select("value"), "value")
+    dense = cut_lineage(dense.select("doc_id", "n_shingles").distinct(), "dense")
+    full = cut_lineage(_full_values(source, dense), "full-values")
+    often = full.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
+    deep = cut_lineage(_placed(_lists(full.join(often, "value"), percent, 100), known), "placed")
+    rest = cut_lineage(_apart(thin, percent).unionByName(_apart(deep, percent)).distinct(), "pairs")
     likely = _estimated(rest, leaders.select("doc_id", "sketch"), k, shared)
     more = verify(source, likely, percent)
     roots = components(links.unionByName(cut_lineage(more, "set-links")), "hub", "doc_id")
@@ -198,10 +214,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _lists(shared_values: DataFrame, k: int, shared: int) -> DataFrame:
+def _lists(shared_values: DataFrame, part: int, whole: int) -> DataFrame:
     """Inverted lists ``value, doc_id, n_shingles``: of each sketch the rarest values, as many as
-    leave fewer than the needed number out. A sketch shorter than k holds its whole set."""
-    need = F.ceil(F.col("size") * shared / k)
+    leave fewer than the needed number (``part / whole`` of the values) out."""
+    need = F.ceil(F.col("size") * part / whole)
     gathered = shared_values.groupBy("doc_id", "n_shingles", "size").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("own"))
     # Values of one document alone are rarer than all of these.
     left = F.col("size") - need + 1 - (F.col("size") - F.size("own"))
@@ -209,11 +225,32 @@ def _lists(shared_values: DataFrame, k: int, shared: int) -> DataFrame:
     return kept.select("doc_id", "n_shingles", F.col("v.value").alias("value"))
 
 
-def _apart(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _placed(lists: DataFrame, known: DataFrame) -> DataFrame:
+    joined = lists.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return joined.withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def _full_values(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, size, value`` for every shingle of the wanted documents."""
+    moved = _wanted(source, wanted).join(wanted, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            ids = batch.column("doc_id").to_numpy()
+            for a, b in slices(offsets):
+                sets = list(shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                sizes = np.array([len(x) for x in sets])
+                columns = [np.repeat(ids[a:b], sizes), np.repeat(sizes, sizes), np.concatenate(sets).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "n_shingles", "value"])
+
+    return moved.mapInArrow(run, "doc_id long, n_shingles long, value long").withColumn("size", F.col("n_shingles"))
+
+
+def _apart(placed: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list in different components whose sizes allow a link."""
-    placed = lists.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
-    placed = cut_lineage(placed.join(mixed, "value"), "placed")
+    placed = cut_lineage(placed.join(mixed, "value"), "mixed")
     groups = placed.select("value", "component").distinct()
     meets = groups.withColumnRenamed("component", "one").join(groups.withColumnRenamed("component", "other"), "value").where("one < other")
     a = placed.select("value", F.col("component").alias("one"), F.col("doc_id").alias("hub"), F.col("n_shingles").alias("n"))
