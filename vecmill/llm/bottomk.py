@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = real.join(classes.select(F.col("class_id").alias("doc_id"), "mark1", "mark2"), ["doc_id", "mark1", "mark2"])
     values = leaders.select("doc_id", "n_shingles", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
-    lists = cut_lineage(_lists(values.join(often, "value"), shared, k), "lists")
+    lists = cut_lineage(_lists(values.join(often, "value"), shared, k, False), "lists")
 
     first = lists.groupBy("value").agg(F.min("doc_id").alias("hub"), F.count("*").alias("f")).where("f > 1").drop("f")
     met = lists.join(first, "value").where("hub < doc_id").groupBy("doc_id", "hub").agg(F.count("*").alias("n"))
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dense = cut_lineage(dense.select("doc_id", "n_shingles").distinct(), "dense")
     full = cut_lineage(_full_values(source, dense), "full-values")
     often = full.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
-    deep = cut_lineage(_placed(_lists(full.join(often, "value"), percent, 100), known), "placed")
+    deep = cut_lineage(_placed(_lists(full.join(often, "value"), percent, 100, True), known), "placed")
     rest = cut_lineage(_apart(thin, percent).unionByName(_apart(deep, percent)).distinct(), "pairs")
     likely = _estimated(rest, leaders.select("doc_id", "sketch"), k, shared)
     more = verify(source, likely, percent)
@@ -214,15 +214,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _lists(shared_values: DataFrame, part: int, whole: int) -> DataFrame:
-    """Inverted lists ``value, doc_id, n_shingles``: of each sketch the rarest values, as many as
+def _lists(shared_values: DataFrame, part: int, whole: int, full: bool) -> DataFrame:
+    """Inverted lists ``value, doc_id, n_shingles, held``: of each sketch the rarest values, as many as
     leave fewer than the needed number (``part / whole`` of the values) out."""
     need = F.ceil(F.col("size") * part / whole)
     gathered = shared_values.groupBy("doc_id", "n_shingles", "size").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("own"))
+    # What a set can share at most: of a full set only values that another document has too. Of a
+    # sketch nothing is known, for another document may have a value without retaining it.
+    held = F.size("own").cast("long") if full else F.col("n_shingles")
     # Values of one document alone are rarer than all of these.
     left = F.col("size") - need + 1 - (F.col("size") - F.size("own"))
-    kept = gathered.where(left > 0).select("doc_id", "n_shingles", F.explode(F.slice("own", 1, left.cast("int"))).alias("v"))
-    return kept.select("doc_id", "n_shingles", F.col("v.value").alias("value"))
+    kept = gathered.where(left > 0).select("doc_id", "n_shingles", held.alias("held"), F.explode(F.slice("own", 1, left.cast("int"))).alias("v"))
+    return kept.select("doc_id", "n_shingles", "held", F.col("v.value").alias("value"))
 
 
 def _placed(lists: DataFrame, known: DataFrame) -> DataFrame:
@@ -248,15 +251,18 @@ def _full_values(source: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _apart(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list in different components whose sizes allow a link."""
+    """Pairs of a list in different components whose sizes, and what they hold of values that are not
+    theirs alone, allow a link."""
     mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
     placed = cut_lineage(placed.join(mixed, "value"), "mixed")
     groups = placed.select("value", "component").distinct()
     meets = groups.withColumnRenamed("component", "one").join(groups.withColumnRenamed("component", "other"), "value").where("one < other")
-    a = placed.select("value", F.col("component").alias("one"), F.col("doc_id").alias("hub"), F.col("n_shingles").alias("n"))
-    b = placed.select("value", F.col("component").alias("other"), "doc_id", F.col("n_shingles").alias("m"))
+    a = placed.select("value", F.col("component").alias("one"), F.col("doc_id").alias("hub"), F.col("n_shingles").alias("n"), F.col("held").alias("held_a"))
+    b = placed.select("value", F.col("component").alias("other"), "doc_id", F.col("n_shingles").alias("m"), F.col("held").alias("held_b"))
     pairs = meets.join(a, ["value", "one"]).join(b, ["value", "other"])
-    return pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id")).distinct()
+    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    room = (100 + percent) * F.least("held_a", "held_b") >= percent * (F.col("n") + F.col("m"))
+    return pairs.where(sizes & room).select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id")).distinct()
 
 
 def _estimated(pairs: DataFrame, known: DataFrame, k: int, shared: int) -> DataFrame:
