@@ -41,6 +41,8 @@ CHUNK = 256
 FILTER_WORDS = 1 << 20
 # Pairs in different components for each member, above which full sets take over from a list.
 DENSE = 4
+# Bits that bound what two full sets have in common.
+BITMAP = 1024
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -201,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = cut_lineage(_full_values(source, dense), "full-values")
     often = full.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
     deep = cut_lineage(_placed(_lists(full.join(often, "value"), percent, 100, True), known), "placed")
-    rest = cut_lineage(_apart(thin, percent).unionByName(_apart(deep, percent)).distinct(), "pairs")
+    rest = cut_lineage(_apart(thin, percent, False).unionByName(_apart(deep, percent, True)).distinct(), "pairs")
     likely = _estimated(rest, leaders.select("doc_id", "sketch"), k, shared)
     more = verify(source, likely, percent)
     roots = components(links.unionByName(cut_lineage(more, "set-links")), "hub", "doc_id")
@@ -215,17 +217,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _lists(shared_values: DataFrame, part: int, whole: int, full: bool) -> DataFrame:
-    """Inverted lists ``value, doc_id, n_shingles, held``: of each sketch the rarest values, as many as
-    leave fewer than the needed number (``part / whole`` of the values) out."""
+    """Inverted lists ``value, doc_id, n_shingles``: of each sketch the rarest values, as many as
+    leave fewer than the needed number (``part / whole`` of the values) out.
+
+    Lists of full sets also have ``held``, the number of a set's values that another document has;
+    ``bits``, a bitmap of these; and ``before``, the rarer values of the same document in lists.
+    """
     need = F.ceil(F.col("size") * part / whole)
-    gathered = shared_values.groupBy("doc_id", "n_shingles", "size").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("own"))
-    # What a set can share at most: of a full set only values that another document has too. Of a
-    # sketch nothing is known, for another document may have a value without retaining it.
-    held = F.size("own").cast("long") if full else F.col("n_shingles")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(value, {BITMAP}) % 64 as int))")
+    bits = [F.bit_or(F.when(F.floor(F.pmod("value", F.lit(BITMAP)) / 64) == j, bit).otherwise(0)).alias(f"bits{j}") for j in range(BITMAP // 64)]
+    own = F.array_sort(F.collect_list(F.struct("f", "value"))).alias("own")
+    gathered = shared_values.groupBy("doc_id", "n_shingles", "size").agg(own, *(bits if full else []))
     # Values of one document alone are rarer than all of these.
-    left = F.col("size") - need + 1 - (F.col("size") - F.size("own"))
-    kept = gathered.where(left > 0).select("doc_id", "n_shingles", held.alias("held"), F.explode(F.slice("own", 1, left.cast("int"))).alias("v"))
-    return kept.select("doc_id", "n_shingles", "held", F.col("v.value").alias("value"))
+    left = (F.col("size") - need + 1 - (F.col("size") - F.size("own"))).cast("int")
+    more = [F.size("own").alias("held"), *[f"bits{j}" for j in range(BITMAP // 64)]] if full else []
+    kept = gathered.where(left > 0).select("doc_id", "n_shingles", *more, "own", F.posexplode(F.slice("own", 1, left)).alias("pos", "v"))
+    before = [F.slice(F.col("own")["value"], F.lit(1), F.col("pos")).alias("before")] if full else []
+    names = [m if isinstance(m, str) else "held" for m in more]
+    return kept.select("doc_id", "n_shingles", *names, *before, F.col("v.value").alias("value"))
 
 
 def _placed(lists: DataFrame, known: DataFrame) -> DataFrame:
@@ -250,19 +259,28 @@ def _full_values(source: DataFrame, wanted: DataFrame) -> DataFrame:
     return moved.mapInArrow(run, "doc_id long, n_shingles long, value long").withColumn("size", F.col("n_shingles"))
 
 
-def _apart(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list in different components whose sizes, and what they hold of values that are not
-    theirs alone, allow a link."""
+def _apart(placed: DataFrame, percent: int, full: bool) -> DataFrame:
+    """Pairs of a list in different components whose sizes allow a link.
+
+    For full sets each pair comes from its first common list only, and what the two can have in common
+    is bounded: values behind a bit that only one of them has are not common.
+    """
     mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
     placed = cut_lineage(placed.join(mixed, "value"), "mixed")
     groups = placed.select("value", "component").distinct()
     meets = groups.withColumnRenamed("component", "one").join(groups.withColumnRenamed("component", "other"), "value").where("one < other")
-    a = placed.select("value", F.col("component").alias("one"), F.col("doc_id").alias("hub"), F.col("n_shingles").alias("n"), F.col("held").alias("held_a"))
-    b = placed.select("value", F.col("component").alias("other"), "doc_id", F.col("n_shingles").alias("m"), F.col("held").alias("held_b"))
-    pairs = meets.join(a, ["value", "one"]).join(b, ["value", "other"])
-    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    room = (100 + percent) * F.least("held_a", "held_b") >= percent * (F.col("n") + F.col("m"))
-    return pairs.where(sizes & room).select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id")).distinct()
+    rest = [c for c in placed.columns if c not in ("value", "component", "doc_id")]
+    a = placed.select("value", F.col("component").alias("one"), F.col("doc_id").alias("hub"), *[F.col(c).alias(f"{c}_a") for c in rest])
+    b = placed.select("value", F.col("component").alias("other"), "doc_id", *[F.col(c).alias(f"{c}_b") for c in rest])
+    both = F.col("n_shingles_a") + F.col("n_shingles_b")
+    fits = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
+    if full:
+        for x, y in ("ab", "ba"):
+            alone = sum(F.bit_count(F.col(f"bits{j}_{x}").bitwiseAND(F.bitwise_not(F.col(f"bits{j}_{y}")))) for j in range(BITMAP // 64))
+            fits &= (100 + percent) * (F.col(f"held_{x}") - alone) >= percent * both
+        fits &= ~F.arrays_overlap("before_a", "before_b")
+    pairs = meets.join(a, ["value", "one"]).join(b, ["value", "other"]).where(fits)
+    return pairs.select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id")).distinct()
 
 
 def _estimated(pairs: DataFrame, known: DataFrame, k: int, shared: int) -> DataFrame:
