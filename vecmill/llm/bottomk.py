@@ -102,7 +102,7 @@ def sketches(source: DataFrame, k: int) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, n_shingles long, mark1 long, mark2 long, sketch array<long>")
 
 
-def _bits(wanted: DataFrame) -> np.ndarray:
+def id_filter(wanted: DataFrame) -> np.ndarray:
     """A filter of ids, ``FILTER_WORDS`` words of 64 bits whatever their number."""
     word = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS)).alias("word")
     bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(7, doc_id), 64) as int))")
@@ -114,7 +114,7 @@ def _bits(wanted: DataFrame) -> np.ndarray:
 
 def _wanted(source: DataFrame, route: DataFrame) -> DataFrame:
     """The documents whose ids are in ``route``, and a few more that the filter lets through."""
-    bits = _bits(route)
+    bits = id_filter(route)
     marked = source.select(
         "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS)).alias("word"),
         F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(64)).alias("bit"),

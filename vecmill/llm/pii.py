@@ -289,7 +289,8 @@ def detect(docs: DataFrame, model: Trees | None, id_col: str = "doc_id", text_co
 
 
 def redact(docs: DataFrame, model: Trees | None, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with the found spans of ``text_col`` replaced by their kinds."""
+    """The same rows and columns with the found spans of ``text_col`` replaced by their kinds; a
+    column ``n_chars`` gets the new lengths."""
     place = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -308,4 +309,8 @@ def redact(docs: DataFrame, model: Trees | None, text_col: str = "text") -> Data
             whole[row] = text
         return batch.set_column(place, batch.schema.field(place), pa.array(whole, texts.type))
 
-    return map_arrow(docs, run, docs.schema)
+    changed = map_arrow(docs, run, docs.schema)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed = changed.withColumn("n_chars", F.coalesce(F.length(text_col).cast(kind), F.col("n_chars")))
+    return changed

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecmill.llm import bottomk, codec, ego, packing, pii, quality, rules, toxicity, transducer
+from vecmill.llm import bottomk, codec, ego, lm, packing, pii, quality, rules, toxicity, transducer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,5 +58,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_links, op3_minhash_dedup, op4_bpe_codec, op5_toxicity, op6_quality, op7_packing, op8_quality_rules, op9_pii)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words = lm.vocabulary(docs)
+    return lm.score(docs, words, lm.train(docs, words))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_links, op3_minhash_dedup, op4_bpe_codec, op5_toxicity, op6_quality, op7_packing, op8_quality_rules, op9_pii, op10_lm_scores)}
 ORACLES: dict[str, str] = {}
