@@ -113,7 +113,7 @@ class Network:
     def start(cls, totals: np.ndarray) -> Network:
         """Small random weights; without context it gives the frequencies of the classes."""
         rng = np.random.default_rng(SEED)
-        net = cls(rng.normal(0, 0.1, cls.size()))
+        net = cls(rng.normal(0, 0.1, cls.size()).astype(np.float32))
         counts = (np.maximum(totals, 0) + 1).reshape(GROUPS, WIDTH)
         net.parts[1][:] *= 3
         net.parts[2][:] = 0
@@ -123,7 +123,7 @@ class Network:
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         table, mix, bias = self.parts[:3]
-        total = bias + np.zeros((len(context), HIDDEN))
+        total = bias + np.zeros((len(context), HIDDEN), np.float32)
         for j in range(len(OFFSETS)):
             total += (table @ mix[j])[context[:, j]]
         return np.tanh(total)
@@ -158,9 +158,9 @@ class Network:
         inner = np.exp(inner - inner.max(axis=1, keepdims=True))
         inner /= inner.sum(axis=1, keepdims=True)
         inner[rows, member] -= 1
-        outer /= len(target)
-        inner /= len(target)
-        gradient = Network(np.zeros(self.size()))
+        outer /= np.float32(len(target))
+        inner /= np.float32(len(target))
+        gradient = Network(np.zeros(self.size(), np.float32))
         g = gradient.parts
         back = outer @ top.T + np.einsum("bw,bhw->bh", inner, low[group], optimize=True)
         back *= 1 - hidden * hidden
@@ -215,7 +215,7 @@ def train(docs: DataFrame, words_of: Vocabulary, rounds: int = ROUNDS, stride: i
                         seen += len(some)
             if seen:
                 padded = np.zeros(blocks * BLOCK)
-                padded[: len(own.flat)] = own.flat * seen
+                padded[: len(own.flat)] = own.flat.astype(float) * seen
                 columns = [pa.array(np.arange(blocks)), pa.array(np.full(blocks, float(seen)))]
                 columns += [pa.array(c) for c in padded.reshape(blocks, BLOCK).T]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "seen", *[f"v{i}" for i in range(BLOCK)]])
@@ -227,7 +227,7 @@ def train(docs: DataFrame, words_of: Vocabulary, rounds: int = ROUNDS, stride: i
         found = summed.toPandas().sort_values("block")
         if len(found):
             values = found[[f"v{i}" for i in range(BLOCK)]].to_numpy() / found[["seen"]].to_numpy()
-            net = Network(values.ravel()[: Network.size()].copy())
+            net = Network(values.ravel()[: Network.size()].astype(np.float32))
     return net
 
 
