@@ -265,21 +265,23 @@ def _apart(placed: DataFrame, percent: int, full: bool) -> DataFrame:
     For full sets each pair comes from its first common list only, and what the two can have in common
     is bounded: values behind a bit that only one of them has are not common.
     """
-    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
-    placed = cut_lineage(placed.join(mixed, "value"), "mixed")
-    groups = placed.select("value", "component").distinct()
-    meets = groups.withColumnRenamed("component", "one").join(groups.withColumnRenamed("component", "other"), "value").where("one < other")
-    rest = [c for c in placed.columns if c not in ("value", "component", "doc_id")]
-    a = placed.select("value", F.col("component").alias("one"), F.col("doc_id").alias("hub"), *[F.col(c).alias(f"{c}_a") for c in rest])
-    b = placed.select("value", F.col("component").alias("other"), "doc_id", *[F.col(c).alias(f"{c}_b") for c in rest])
+    sizes = placed.groupBy("value", "component").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("value").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts"))
+    largest = largest.where("parts > 1").select("value", F.col("top.component").alias("main"))
+    placed = cut_lineage(placed.join(largest, "value").withColumn("main", F.col("component") == F.col("main")), "mixed")
+    rest = [c for c in placed.columns if c not in ("value", "doc_id")]
+    # Members of a list's largest component meet only the others, never each other.
+    a = placed.where("not main").select("value", F.col("doc_id").alias("hub"), *[F.col(c).alias(f"{c}_a") for c in rest])
+    b = placed.select("value", "doc_id", *[F.col(c).alias(f"{c}_b") for c in rest])
     both = F.col("n_shingles_a") + F.col("n_shingles_b")
-    fits = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
+    fits = (F.col("component_a") != F.col("component_b")) & (F.col("main_b") | (F.col("hub") < F.col("doc_id")))
+    fits &= 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
     if full:
         for x, y in ("ab", "ba"):
             alone = sum(F.bit_count(F.col(f"bits{j}_{x}").bitwiseAND(F.bitwise_not(F.col(f"bits{j}_{y}")))) for j in range(BITMAP // 64))
             fits &= (100 + percent) * (F.col(f"held_{x}") - alone) >= percent * both
         fits &= ~F.arrays_overlap("before_a", "before_b")
-    pairs = meets.join(a, ["value", "one"]).join(b, ["value", "other"]).where(fits)
+    pairs = a.join(b, "value").where(fits)
     return pairs.select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id")).distinct()
 
 
