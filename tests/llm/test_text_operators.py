@@ -1,0 +1,133 @@
+"""Token counts, codec, packing, rules and personal data against plain versions."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from vecmill.llm import codec, packing, pii, rules, transducer
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+ODD = [
+    None, "", " ", "\n\n a", "don't 's 'S we'll 'rex x'r ''s !'s", "<|endoftext|>", "a<|endoftext|> b <|startoftext|>", "日本語 １２ ½",
+    "İstanbul ΣΑΣ ß É é", "a b　c", "😀 'tis  \t x", "ab" * 3000, "x" * 2000 + " " * 300 + "y", "The The The The", "a b c a b c\nx\nx",
+    "mail a.b@c.de, b@x, +1 (555) 555-1234; 10.0.0.255 10.0.0.256; 4111 1111 1111 1111 password=abcdef0123456789ff",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "x") for i, t in enumerate(ODD)] + [(0, None, "y"), (3, ODD[3], None)]
+    rows += [(100 + i, "".join(random.Random(i).choice("ab' 1\n.é") for _ in range(60)), None) for i in range(60)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    return own.repartition(3)
+
+
+def texts(docs):
+    return [(r.doc_id, r.text or "") for r in docs.collect()]
+
+
+def test_token_counts(docs):
+    library = Tokenizer.from_file(BYTE)
+    want = sorted((i, len(t.encode()), n := len(library.encode(t, add_special_tokens=False).ids), n > 512) for i, t in texts(docs))
+    assert sorted(map(tuple, transducer.token_counts(docs, BYTE).collect())) == want
+
+
+def test_codec(docs):
+    library = Tokenizer.from_file(WORD)
+    want = []
+    for i, t in texts(docs):
+        ids = library.encode(t, add_special_tokens=False).ids
+        raw, text = np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted(map(tuple, codec.digests(docs, WORD).collect())) == sorted(want)
+    assert [len(r.ids) for r in codec.encode(docs, WORD).orderBy("doc_id").collect()] == [w[1] for w in sorted(want)]
+
+
+def test_packing(docs):
+    library = Tokenizer.from_file(WORD)
+    once = docs.dropDuplicates(["doc_id"])
+    rows = packing.pack(once, WORD).toPandas()
+    ids = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in texts(once)}
+    assert set(rows["doc_id"]) == set(ids)
+    for i, own in rows.sort_values("start").groupby("doc_id"):
+        assert own["length"].sum() == len(ids[i]) == own["doc_tokens"].iloc[0]
+        assert (own["start"] == own["length"].cumsum().shift(fill_value=0)).all()
+        for start, length, crc in zip(own["start"], own["length"], own["ids_crc32"]):
+            assert crc == zlib.crc32(ids[i][start : start + length].tobytes())
+    for _, own in rows.sort_values("offset").groupby("sequence_id"):
+        assert (own["offset"] == own["length"].cumsum().shift(fill_value=0)).all()
+        total = own["length"].sum()
+        assert total == own["tier"].iloc[0] and total & (total - 1) == 0
+
+
+def plain_rules(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    count = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    marked = {i + j for i in range(len(words) - 2) if count[tuple(words[i : i + 3])] > 1 for j in range(3)}
+    seen, again = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            again += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, len(marked)
+
+
+def test_rules(docs):
+    rows = rules.apply_rules(docs, groups=("n_tokens",)).collect()
+    assert sorted((r[0], *r[1:6]) for r in rows) == sorted((i, *plain_rules(t)) for i, t in texts(docs))
+    for r in rows:
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert not (r.base_failed and r.kept)
+
+
+def test_rules_keep_usual_documents(spark):
+    usual = [(i, " ".join(f"w{i}x{j}" for j in range(80)), "en") for i in range(40)]
+    odd = [(99, " ".join(f"w{j}$$$$" for j in range(80)), "en")]
+    rows = rules.apply_rules(spark.createDataFrame(usual + odd, "doc_id long, text string, lang string"), groups=("lang",)).collect()
+    assert {r.doc_id: r.kept for r in rows} == {**{i: True for i in range(40)}, 99: False}
+
+
+def plain_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    found = lambda p, ok: [m.span() for m in re.finditer(p, text) if ok(m)]
+    return {
+        "email": found(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": found(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.group().split("."))),
+        "card": found(r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))),
+        "phone": found(r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    }
+
+
+def test_base_spans():
+    rng = random.Random(3)
+    for _ in range(5000):
+        text = "".join(rng.choice("ab1203.@+- (é%") for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_detect_and_redact(docs):
+    rows = pii.detect(docs, None).collect()
+    want = {i: ",".join(f"{k}:{a}:{b}" for k, own in plain_spans(t).items() for a, b in own) for i, t in texts(docs)}
+    assert all(r.base == want[r.doc_id] == r.spans for r in rows) and len(rows) == docs.count()
+    clean = {r.doc_id: r.text for r in pii.redact(docs, None).collect()}
+    assert "4111" not in clean[15] and "[email]" in clean[15] and clean[14] == ODD[14]
+
+
+def test_trees_find_more(spark):
+    texts = [f"word {i} AKIA{'ABCDEFGH' * 2} end" if i % 2 else f"number {i}: version 2.{i}.0-beta1 of it" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.detect(docs, pii.fit(docs)).collect()}
+    assert all(spans[i].startswith("secret") for i in range(1, 400, 2)) and not any(spans[i] for i in range(0, 400, 2))
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    for frame in (transducer.token_counts(none, BYTE), codec.digests(none, WORD), packing.pack(none, WORD), rules.apply_rules(none), pii.detect(none, pii.fit(none))):
+        assert frame.count() == 0
