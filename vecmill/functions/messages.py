@@ -12,9 +12,6 @@ FORMAT_VERSION = "bedrock-2023-05-31"
 MAX_TOKENS = 1000
 BATCH_MINIMUM = 100
 
-# Turns in one request. A longer conversation continues in further requests.
-MAX_TURNS = 1000
-
 MESSAGES = "array<struct<role:string,content:string>>"
 REQUEST = f"anthropic_version string, max_tokens int, system string, messages {MESSAGES}"
 
@@ -33,35 +30,26 @@ def conversations(
     role: str = "role",
     content: str = "text",
     system_role: str = "system",
-    max_turns: int = MAX_TURNS,
+    max_turns: int | None = None,
 ) -> DataFrame:
     """``(conv_id, part, system, messages)``: messages in turn order, system turns apart.
 
-    Turns count from 0 and are unique within a conversation. Those from ``max_turns`` on go to
-    part 1, 2 and so on, grouped by themselves: no group exceeds ``max_turns`` rows however long
-    a conversation is, and no turn is lost. Every part carries the system text.
+    A conversation is one part, unless ``max_turns`` is given: then turns, which count from 0, go to
+    part ``turn div max_turns``. System turns are joined by line breaks in turn order; every part
+    carries those of the whole conversation. No turn is lost.
     """
-    part = F.call_function("div", F.col(turn), F.lit(max_turns)).cast("long")
-    rows = turns.select(conv_id, part.alias("part"), turn, role, content)
-    system = F.col(role) == system_role
-    # Copies of system turns for the further parts. The filter on turn reaches the scan, so this
-    # costs next to nothing unless there are long conversations.
-    further = rows.filter(F.col(turn) >= max_turns).select(conv_id, "part").distinct()
-    copies = rows.filter(system & (F.col(turn) < max_turns)).drop("part").join(further, conv_id)
-    rows = rows.unionByName(copies)
-
-    said = F.when(~F.coalesce(system, F.lit(False)), F.struct(turn, F.col(role).alias("role"), F.col(content).alias("content")))
-    return (
-        rows.groupBy(conv_id, "part")
-        .agg(
-            F.min_by(F.when(system, F.col(content)), F.when(system, F.col(turn))).alias("system"),
-            F.array_sort(F.collect_list(said)).alias("_said"),
-        )
-        .withColumn(
-            "messages", F.transform("_said", lambda m: message(m["role"], m["content"]))
-        )
-        .drop("_said")
-    )
+    system = F.coalesce(F.col(role) == system_role, F.lit(False))
+    part = F.call_function("div", F.col(turn), F.lit(max_turns)).cast("long") if max_turns else F.lit(0).cast("long")
+    said = F.when(~system, F.struct(turn, F.col(role).alias("role"), F.col(content).alias("content")))
+    told = F.when(system, F.struct(turn, F.col(content).alias("content")))
+    lines = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(F.array_sort(c), lambda m: m["content"]), "\n"))
+    parts = turns.select(conv_id, part.alias("part"), turn, role, content).groupBy(conv_id, "part")
+    grouped = parts.agg(lines(F.collect_list(told)).alias("system"), F.array_sort(F.collect_list(said)).alias("_said"))
+    if max_turns:
+        whole = turns.where(system).groupBy(conv_id).agg(lines(F.collect_list(told)).alias("system"))
+        grouped = grouped.drop("system").join(whole, conv_id, "left")
+    messages = F.transform("_said", lambda m: message(m["role"], m["content"]))
+    return grouped.select(conv_id, "part", "system", messages.alias("messages"))
 
 
 def request_json(

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from vecmill.functions.vectors import plain_encoding
 
+# By default the file source forgets files that are a week older than the newest one.
+ANY_AGE = "36500d"
+
 
 def process_chunks(
     spark: SparkSession,
@@ -27,7 +30,7 @@ def process_chunks(
     ``batch_id=<n>`` and is written by overwriting just that, so a chunk that is run again after
     a failure leaves the same rows. Within a chunk Spark works in parallel as usual.
     """
-    stream = spark.readStream.schema(spark.read.parquet(source).schema)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFileAge", ANY_AGE)
     if max_bytes is not None:
         stream = stream.option("maxBytesPerTrigger", max_bytes)
     else:
