@@ -135,7 +135,7 @@ def test_vectors_are_written_without_dictionary(spark, corpus, tmp_path):
 
 def test_one_output_per_input(spark, split_corpus, tmp_path):
     out = str(tmp_path / "out")
-    tagged = sinks.with_output_name(spark.read.parquet(split_corpus))
+    tagged = sinks.with_output_name(spark.read.parquet(split_corpus), sources.source_root(spark, split_corpus))
     assert "Exchange" not in plan_of(tagged)
     sinks.write_per_input(append_scaled(tagged), out)
     outputs = sorted(d for d in os.listdir(out) if d.startswith("output_file="))

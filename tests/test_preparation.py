@@ -137,11 +137,25 @@ def test_upsert_takes_the_newest(spark):
     assert rows_of(out) == [("1", "c", 1), ("2", "b", 1), ("3", "e", 2)]
 
 
-def test_upsert_cuts_hot_keys_before_the_shuffle(spark):
-    base = spark.range(10).select(F.lit("hot").alias("_id"), "id")
-    plan = plan_of(upsert(base, base, "_id", "id"))
-    before_shuffle = plan[plan.index("Exchange") :]
-    assert "WindowGroupLimit" in before_shuffle and "Partial" in before_shuffle
+def test_upsert_leaves_other_base_rows(spark, monkeypatch):
+    base = spark.createDataFrame([("1", 1), ("1", 2), (None, 3), (None, 4), ("2", 5)], "_id string, v int")
+    none, some = base.limit(0), spark.createDataFrame([("2", 9)], "_id string, v int")
+    assert rows_of(upsert(base, none, "_id")) == rows_of(base)
+    expected = sorted([("1", 1), ("1", 2), (None, 3), (None, 4), ("2", 9)], key=repr)
+    out = upsert(base, some, "_id")
+    assert rows_of(out) == expected and "Exchange hashpartitioning" not in plan_of(out)
+    monkeypatch.setattr("vecmill.operators.upsert.BROADCAST_BYTES", 0)
+    assert rows_of(upsert(base, some, "_id")) == expected
+
+
+@pytest.mark.parametrize("rows", [[("1", 1), ("1", 2)], [(None, 1)]])
+def test_upsert_without_a_newest_update_fails(spark, rows):
+    base = spark.createDataFrame([("1", 0)], "_id string, v int")
+    with pytest.raises(Exception, match="update"):
+        upsert(base, spark.createDataFrame(rows, "_id string, v int"), "_id").collect()
+    tied = spark.createDataFrame([("1", 1, 7), ("1", 2, 7)], "_id string, v int, seq int")
+    with pytest.raises(Exception, match="none the newest"):
+        upsert(base.withColumn("seq", F.lit(0)), tied, "_id", "seq")
 
 
 def test_requests(spark, sf_dir):

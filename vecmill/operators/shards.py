@@ -40,13 +40,18 @@ def append_shard(df: DataFrame, shards: int, output: str = "shard") -> DataFrame
     return df.withColumn("_file", F.col(FILE_PATH)).join(assigned, "_file").drop("_file")
 
 
-def read_shard(spark: SparkSession, path: str, shard: int, shards: int) -> DataFrame:
-    """Only the files of one shard: the others are never opened. May be empty."""
+def own_files(whole: DataFrame, shard: int, shards: int) -> list[str]:
+    """The files of one shard of a scan, as paths that can be read."""
     if not 0 <= shard < shards:
         raise ValueError(f"shard must be within 0..{shards - 1}, got {shard}")
-    whole = spark.read.parquet(path)
     # Listed as URIs, read as paths.
-    own = [unquote(file) for file, number in shard_files(whole, shards) if number == shard]
+    return [unquote(file) for file, number in shard_files(whole, shards) if number == shard]
+
+
+def read_shard(spark: SparkSession, path: str, shard: int, shards: int) -> DataFrame:
+    """Only the files of one shard: the others are never opened. May be empty."""
+    whole = spark.read.parquet(path)
+    own = own_files(whole, shard, shards)
     if not own:
         return whole.limit(0)
     return spark.read.schema(whole.schema).option("basePath", path).parquet(*own)

@@ -23,10 +23,10 @@ from vecmill.operators.batches import (
     with_elements,
 )
 from vecmill.operators.columns import append_equals
-from vecmill.operators.shards import read_shard
+from vecmill.operators.shards import own_files, read_shard
 from vecmill.session import build_session
-from vecmill.sinks.files import with_output_name, write_dataset, write_per_input
-from vecmill.sources.files import read_parquet
+from vecmill.sinks.files import with_output_name, write_dataset, write_manifest, write_per_input
+from vecmill.sources.files import read_parquet, source_root
 from vecmill.sources.versions import latest_version, read_version, write_version
 from vecmill.streaming.chunks import process_chunks
 
@@ -55,17 +55,26 @@ def process_shards(
     spark: SparkSession, source: str, target: str, instances: int, shard: int | None = None
 ) -> str:
     """Per-file outputs. One job does all files, since Spark spreads them itself; with ``shard``
-    it does only the files of that shard, for clusters that split the work among jobs."""
-    scan = (
-        read_parquet(spark, source)
-        if shard is None
-        else read_shard(spark, source, shard, instances)
-    )
+    it does only the files of that shard, for clusters that split the work among jobs.
+
+    Outputs are named by the path of their input below ``source``. What was read and written is
+    listed below ``manifest_path``, one part for each shard."""
+    whole, root = read_parquet(spark, source), source_root(spark, source)
+    scan = whole if shard is None else read_shard(spark, source, shard, instances)
+    paths = [source] if shard is None else own_files(whole, shard, instances)
     out = f"{target}/instance_count={instances}"
-    write_per_input(append_scaled(with_output_name(scan)), out)
+    write_per_input(append_scaled(with_output_name(scan, root)), out)
+    if paths:
+        part = "all" if shard is None else str(shard)
+        write_manifest(spark, paths, root, f"{manifest_path(target, instances)}/part={part}")
     return out
 
 
+def manifest_path(target: str, instances: int) -> str:
+    """Where ``process_shards`` lists its inputs; readers of ``target`` do not see it."""
+    return f"{target}/_manifest/instance_count={instances}"
+
+
 def process_table(
     spark: SparkSession,
     source: str,

@@ -108,14 +108,19 @@ SPARSE = _postings(SPARSE_TERMS) + _top("""
 SELECT query, doc_id, sum(weight * tf / len) AS score FROM p WHERE tf > 0 GROUP BY query, doc_id""")
 
 FILES = _per_table("SELECT '{t}.parquet' AS file_name, count(*) AS rows FROM {t}")
+# A corpus with a folder for each label, and one for -1 whose file is empty.
+FOLDER = "'label=' || coalesce(label::VARCHAR, '__HIVE_DEFAULT_PARTITION__')"
+FOLDERS = f"""
+SELECT {FOLDER} || '/part' AS file_name, count(*) AS rows FROM embeddings GROUP BY label
+UNION ALL SELECT 'label=-1/part', 0"""
 
 ORACLES: dict[str, str] = {
     "scan_parquet": "SELECT vec_id, label, len(embedding) AS n_dims FROM embeddings",
     "row_count": _per_table("SELECT '{t}' AS table_name, count(*) AS rows FROM {t}"),
-    "file_rows": FILES,
+    "file_rows": f"{FILES} UNION ALL {FOLDERS}",
     "file_shards": (
         f"SELECT file_name, rows, (row_number() OVER (ORDER BY file_name) - 1) % {Q.SHARDS} "
-        f"AS shard FROM ({FILES})"
+        f"AS shard FROM ({FOLDERS})"
     ),
     "uri_parts": """
 SELECT page_id, string_split(url, '/')[-1] AS base,
@@ -133,7 +138,12 @@ FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "map_batches_scale": SCALED,
     "chunk_report": "SELECT count(*) AS rows, true AS within_batch_size FROM embeddings",
     "write_roundtrip": SCALED,
-    "shard_outputs": SCALED,
+    "shard_outputs": f"""
+SELECT {FOLDER} || '/part' AS input, {FOLDER} || '/processed_part' AS output,
+       count(*) AS rows, count(*) AS rows_written, label,
+       round(sum(list_sum(list_transform(embedding, lambda x: (x * 2)::DOUBLE))), 3) AS total
+FROM embeddings GROUP BY label
+UNION ALL SELECT 'label=-1/part', 'label=-1/processed_part', 0, 0, NULL, NULL""",
     "overwrite_then_append": SCALED,
     "incremental_events": "SELECT event_id, user_id, event_type, value, props FROM events",
     "param_partition": (
@@ -163,10 +173,9 @@ SELECT event_id, event_type, coalesce(event_type = 'purchase', false) AS is_purc
     "drop_rename": "SELECT doc_id, quality AS labels FROM labels",
     "argmax_label": f"SELECT vec_id, ({ARGMAX})::INT AS prediction FROM embeddings",
     "upsert_by_id": """
-SELECT coalesce(l.doc_id, d.doc_id) AS doc_id,
-       CASE WHEN l.doc_id IS NULL THEN -1 ELSE l.quality END AS quality,
-       CASE WHEN l.doc_id IS NULL THEN -1 ELSE l.toxic END AS toxic
-FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""",
+SELECT doc_id, -1 AS quality, -1 AS toxic, unnest([0, 9]) AS seq
+FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, quality, toxic, 2 FROM labels""",
     "seeded_sample": f"SELECT vec_id, label FROM ({SHUFFLED}) WHERE r <= {Q.SAMPLE}",
     "loader_batches": f"""
 SELECT batch, string_agg(vec_id::VARCHAR, ',' ORDER BY pos) AS vec_ids,

@@ -10,7 +10,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecmill.functions import messages as M
@@ -68,6 +68,21 @@ def _corpus_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _foldered_corpus(spark: SparkSession, sf_dir: str) -> str:
+    """A copy of the corpus in a folder for each label, with one and the same file name in all of
+    them, and a folder ``label=-1`` whose file has no rows."""
+    path = scratch_path(spark, "foldered")
+    corpus = _corpus(spark, sf_dir)
+    corpus.coalesce(1).write.partitionBy("label").parquet(path)
+    corpus.drop("label").limit(0).coalesce(1).write.parquet(f"{path}/label=-1")
+    return path
+
+
+def _plain_part(column: str) -> Column:
+    """A path without what Spark adds to the name of a written file."""
+    return F.regexp_replace(column, "part-[^/]*", "part")
+
+
 def _elements(df: DataFrame, vector: str = "vector_x2") -> DataFrame:
     return df.select("vec_id", "label", F.posexplode(vector).alias("dim", vector)).withColumn(
         "dim", F.col("dim").cast("long")
@@ -92,17 +107,22 @@ def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.file_rows(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES])
+    """Rows of the files of all tables, and of a corpus with equal names in its folders."""
+    root, path = sources.source_root(spark, sf_dir), _foldered_corpus(spark, sf_dir)
+    tables = sources.file_rows(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES], root)
+    foldered = sources.file_rows(spark, path, sources.source_root(spark, path))
+    return tables.unionByName(foldered.withColumn("file_name", _plain_part("file_name")))
 
 
 def file_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per file and the shard of the file."""
-    paths = [f"{sf_dir}/{t}.parquet" for t in TABLES]
-    listed = spark.read.format("binaryFile").load(paths)
-    assigned = shards.file_shards(listed, SHARDS).select(
-        sources.base_name("file_path").alias("file_name"), F.col("shard").cast("long").alias("shard")
+    """Rows per file of a corpus with equal names in its folders, and the shard of the file."""
+    path = _foldered_corpus(spark, sf_dir)
+    root = sources.source_root(spark, path)
+    assigned = shards.file_shards(sources.read_parquet(spark, path), SHARDS).select(
+        sources.relative_path(root, "file_path").alias("file_name"), F.col("shard").cast("long").alias("shard")
     )
-    return file_rows(spark, sf_dir).join(assigned, "file_name")
+    rows = sources.file_rows(spark, path, root).join(assigned, "file_name")
+    return rows.withColumn("file_name", _plain_part("file_name"))
 
 
 def uri_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,11 +186,24 @@ def write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The output of the sharded job, shard by shard, with the number of outputs per row."""
-    source, target = _corpus_files(spark, sf_dir), scratch_path(spark, "sharded")
+    """Inputs, outputs and their rows as the sharded job lists them, shard by shard, and the rows
+    and the sum of elements that are in each output."""
+    source, target = _foldered_corpus(spark, sf_dir), scratch_path(spark, "sharded")
     for shard in range(SHARDS):
         out = jobs.process_shards(spark, source, target, SHARDS, shard)
-    return _elements(sources.read_parquet(spark, out))
+    total = F.aggregate("vector_x2", F.lit(0.0), lambda a, x: a + x)
+    written = sources.read_parquet(spark, out).groupBy(F.col("output_file").alias("output"), "label").agg(
+        F.count("*").alias("rows_written"), F.round(F.sum(total), 3).alias("total")
+    )
+    listed = sources.read_parquet(spark, jobs.manifest_path(target, SHARDS)).drop("part")
+    return listed.join(written, "output", "left").select(
+        _plain_part("input").alias("input"),
+        _plain_part("output").alias("output"),
+        "rows",
+        F.coalesce("rows_written", F.lit(0)).alias("rows_written"),
+        "label",
+        "total",
+    )
 
 
 def overwrite_then_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,11 +360,14 @@ def argmax_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unlabelled entries for all documents, replaced by the labels where there are some."""
+    """Two unlabelled entries for each document, both replaced by the later of two labels."""
     base = _table(spark, sf_dir, "documents").select(
-        "doc_id", F.lit(-1).alias("quality"), F.lit(-1).alias("toxic")
+        "doc_id", F.lit(-1).alias("quality"), F.lit(-1).alias("toxic"), F.explode(F.array(F.lit(0), F.lit(9))).alias("seq")
     )
-    return upsert(base, _table(spark, sf_dir, "labels"), "doc_id")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    later = labels.withColumn("seq", F.lit(2))
+    earlier = labels.select("doc_id", F.lit(-2).alias("quality"), F.lit(-2).alias("toxic"), F.lit(1).alias("seq"))
+    return upsert(base, later.unionByName(earlier), "doc_id", "seq")
 
 
 # Samples, batches, metrics

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from vecmill.functions.vectors import plain_encoding
 from vecmill.operators.columns import append_column, conform
-from vecmill.sources.files import FILE_NAME, dataset_bytes, processed_name
+from vecmill.sources.files import dataset_bytes, file_rows, processed_name, relative_path
 
 FILE_BYTES = 1 << 30
 
@@ -25,13 +25,21 @@ def write_dataset(
     df.write.mode(mode).options(**plain_encoding(df)).parquet(path)
 
 
-def with_output_name(scan: DataFrame, output: str = "output_file") -> DataFrame:
-    """Tag the rows of a plain file scan with the output name of their input file."""
-    return append_column(scan, output, processed_name(F.col(FILE_NAME)))
+def with_output_name(scan: DataFrame, root: str, output: str = "output_file") -> DataFrame:
+    """Tag the rows of a plain file scan with the output name of their input file below ``root``."""
+    return append_column(scan, output, processed_name(relative_path(root)))
+
+
+def write_manifest(spark: SparkSession, paths: str | list[str], root: str, dest: str) -> None:
+    """``(input, output, rows)`` of every input file, also of those without rows, which have no
+    output of their own."""
+    files = file_rows(spark, paths, root)
+    named = files.select(F.col("file_name").alias("input"), processed_name("file_name").alias("output"), "rows")
+    named.coalesce(1).write.mode("overwrite").parquet(dest)
 
 
 def write_per_input(df: DataFrame, path: str, output: str = "output_file") -> None:
-    """One output directory ``output_file=processed_<name>`` per input file, for rows tagged by
+    """One output directory ``output_file=<folder>/processed_<name>`` per input file, for rows tagged by
     ``with_output_name``. Map-only: a task writes the outputs of the files it reads. Outputs of
     other inputs stay, so shards can be written one by one and again."""
     (

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE_PATH = "_metadata.file_path"
-FILE_NAME = "_metadata.file_name"
 
 # Largest scan, in bytes of its files, that ``spread`` hands out anew.
 SPREAD_BYTES = 1 << 30
@@ -49,17 +48,42 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def source_root(spark: SparkSession, source: str) -> str:
+    """The folder of ``source``, a folder or one file, as a URI: what its files are named relative
+    to. A pattern has no such folder, so its files keep their whole path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(source)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return ""
+    folder = place if system.getFileStatus(place).isDirectory() else place.getParent()
+    # Rows name local files with one slash.
+    return system.makeQualified(folder).toUri().toString().replace("file:///", "file:/", 1)
+
+
+def relative_path(root: str, uri: str = FILE_PATH) -> Column:
+    """The file of a scanned row relative to ``root``, so that equal names in different folders
+    stay apart."""
+    path = without_prefix(uri, root.rstrip("/") + "/")
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def list_files(df: DataFrame) -> list[str]:
     """The files a scan covers, sorted; known from planning, no data is read."""
     return sorted(df.inputFiles())
 
 
-def file_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(file_name, rows)`` of every Parquet file at ``paths``, which may be different tables:
-    one job over the row counts in the files, no column is read."""
-    any_table = spark.read.schema("unread string")
-    scan = any_table.parquet(*([paths] if isinstance(paths, str) else paths))
-    return scan.groupBy(F.col(FILE_NAME).alias("file_name")).agg(F.count("*").alias("rows"))
+def file_rows(spark: SparkSession, paths: str | list[str], root: str = "") -> DataFrame:
+    """``(file_name, rows)`` of every file at ``paths``, which may be different tables, with names
+    relative to ``root``: one job over the row counts in the files, no column is read. Files come
+    from the listing, so one without rows counts 0."""
+    paths = [paths] if isinstance(paths, str) else paths
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    any_table = spark.read.schema("unread string").option("recursiveFileLookup", "true")
+    counted = any_table.parquet(*paths).groupBy(F.col(FILE_PATH).alias("path")).agg(F.count("*").alias("n"))
+    files = listed.select(F.col(FILE_PATH).alias("path"))
+    return files.join(counted, "path", "left").select(
+        relative_path(root, "path").alias("file_name"), F.coalesce("n", F.lit(0)).alias("rows")
+    )
 
 
 def dataset_bytes(spark: SparkSession, path: str) -> int:
@@ -88,6 +112,8 @@ def without_prefix(path: str | Column, prefix: str) -> Column:
 
 
 def processed_name(file_name: str | Column) -> Column:
-    """Name of the output that belongs to an input file."""
+    """Name of the output that belongs to an input file; its folder stays."""
     file_name = F.col(file_name) if isinstance(file_name, str) else file_name
-    return F.concat(F.lit("processed_"), file_name)
+    base = base_name(file_name)
+    folder = F.substring(file_name, F.lit(1), F.length(file_name) - F.length(base))
+    return F.concat(folder, F.lit("processed_"), base)
