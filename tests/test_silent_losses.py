@@ -4,6 +4,7 @@ import os
 import time
 
 from vecmill.functions import messages as M
+from vecmill.operators.sampling import mini_batches
 from vecmill.plans import jobs
 from vecmill.streaming.chunks import process_chunks
 
@@ -40,3 +41,11 @@ def test_equal_names_in_different_folders_keep_their_outputs(spark, tmp_path):
     assert len(names) == 4 and {"k=a/processed_same.parquet", "k=b c/processed_same.parquet"} <= names
     listed = spark.read.parquet(jobs.manifest_path(str(tmp_path / "out"), 2)).collect()
     assert {r.output for r in listed} == names and {r.rows for r in listed} == {1}
+
+
+def test_every_epoch_has_an_order_of_its_own(spark):
+    ids = spark.range(100)
+    first, again, second = (
+        [r.id for r in mini_batches(ids, "id", 8, epoch=e).orderBy("batch", "pos").collect()] for e in (0, 0, 1)
+    )
+    assert first == again != second and sorted(second) == list(range(100))

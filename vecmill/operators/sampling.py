@@ -11,13 +11,13 @@ BUCKET_DIGITS = 4
 TOP_N_ROWS = 10_000
 
 
-def shuffle_key(id_col: str, seed: int) -> Column:
+def shuffle_key(id_col: str, seed: int | str) -> Column:
     """Sort key of the seeded order. Depends on the id and the seed only, unlike ``rand``."""
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     return F.md5(F.concat(name, F.lit(f":{seed}")))
 
 
-def seeded_rank(df: DataFrame, id_col: str, seed: int, output: str = "rank") -> DataFrame:
+def seeded_rank(df: DataFrame, id_col: str, seed: int | str, output: str = "rank") -> DataFrame:
     """Append the 1-based position of each row in the seeded order. ``id_col`` must be unique.
 
     No global window: rows are ranked within a bucket of the key and moved by the number of rows
@@ -62,15 +62,18 @@ def mini_batches(
     seed: int = 42,
     shuffle: bool = True,
     order_col: str | None = None,
+    epoch: int | None = None,
 ) -> DataFrame:
     """Append ``batch`` and ``pos``: rows in seeded order, ``batch_size`` to a batch, both from 0.
 
+    The order is that of the seed, or with ``epoch`` that of the seed and the epoch.
     With ``shuffle=False`` the rows must already carry their 1-based position in ``order_col``.
     """
     if batch_size < 1:
         raise ValueError(f"batch_size must be at least 1, got {batch_size}")
     if shuffle:
-        ranked, order = seeded_rank(df, id_col, seed, "_rank"), F.col("_rank")
+        key = seed if epoch is None else f"{seed}:{epoch}"
+        ranked, order = seeded_rank(df, id_col, key, "_rank"), F.col("_rank")
     elif order_col:
         ranked, order = df, F.col(order_col)
     else:

@@ -178,9 +178,13 @@ FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT doc_id, quality, toxic, 2 FROM labels""",
     "seeded_sample": f"SELECT vec_id, label FROM ({SHUFFLED}) WHERE r <= {Q.SAMPLE}",
     "loader_batches": f"""
-SELECT batch, string_agg(vec_id::VARCHAR, ',' ORDER BY pos) AS vec_ids,
-       string_agg(label::VARCHAR, ',' ORDER BY pos) AS labels
-FROM ({BATCHED}) GROUP BY batch""",
+SELECT epoch, (r - 1) // {Q.LOADER_BATCH} AS batch,
+       string_agg(vec_id::VARCHAR, ',' ORDER BY r) AS vec_ids,
+       string_agg(label::VARCHAR, ',' ORDER BY r) AS labels
+FROM (SELECT *, row_number() OVER (PARTITION BY epoch
+                                   ORDER BY md5(vec_id || ':{Q.SEED}:' || epoch), vec_id) AS r
+      FROM embeddings, range({Q.EPOCHS}) e(epoch))
+GROUP BY epoch, batch""",
     "training_steps": f"""
 SELECT rows, steps AS steps_per_epoch, steps * {Q.EPOCHS} AS total_steps
 FROM (SELECT count(*) AS rows, ceil(count(*) / {Q.LOADER_BATCH})::BIGINT AS steps FROM embeddings)""",
@@ -234,7 +238,7 @@ SELECT m.conv_id, '{M.FORMAT_VERSION}' AS anthropic_version,
        row_number() OVER (PARTITION BY m.conv_id ORDER BY m.turn) - 1 AS pos,
        m.role, m.text AS content
 FROM conversations m
-LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations
+LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations
            WHERE role = 'system' GROUP BY conv_id) s USING (conv_id)
 WHERE m.role <> 'system'""",
     "replicate_rows": (

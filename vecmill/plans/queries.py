@@ -379,10 +379,15 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loader_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches of each epoch, every epoch in an order of its own."""
     corpus = _corpus(spark, sf_dir).select("vec_id", "label")
-    batched = sampling.mini_batches(corpus, "vec_id", LOADER_BATCH, SEED)
-    collected = sampling.collect_batches(batched, ["vec_id", "label"])
-    return collected.select(
+    epochs = []
+    for epoch in range(EPOCHS):
+        batched = sampling.mini_batches(corpus, "vec_id", LOADER_BATCH, SEED, epoch=epoch)
+        collected = sampling.collect_batches(batched, ["vec_id", "label"])
+        epochs.append(collected.withColumn("epoch", F.lit(epoch).cast("long")))
+    return _union(epochs).select(
+        "epoch",
         "batch",
         F.array_join(F.col("vec_id").cast("array<string>"), ",").alias("vec_ids"),
         F.array_join(F.col("label").cast("array<string>"), ",").alias("labels"),
@@ -440,8 +445,8 @@ def array_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fanout_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One call per event, gathered and reduced to distinct results."""
-    users = _table(spark, sf_dir, "events").select("user_id")
+    """One task per user that has events, gathered and reduced to distinct results."""
+    users = _table(spark, sf_dir, "events").select("user_id").distinct()
     return batches.fan_out(users, lambda user: f"user-{user}").distinct()
 
 
