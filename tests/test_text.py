@@ -87,9 +87,27 @@ def test_unknown_terms(texts):
     assert row["input_ids"] == [2, 1, 1, 3]
 
 
-def test_small_vocabularies_need_no_shuffle(spark, texts):
+def test_texts_and_found_tokens_are_not_moved(spark, texts, monkeypatch):
+    """Ids are written in the pass that reads the texts; only terms not found are exchanged, and
+    only texts with such terms are joined. The plan is the same whatever the vocabulary."""
     vocabulary = cut_lineage(tokenizing.build_vocabulary(texts), "vocabulary")
-    assert "Exchange" not in plan_of(tokenizing.token_ids(texts, vocabulary, "doc_id"))
+    plans = []
+    for head in (500_000, 2):
+        monkeypatch.setattr(tokenizing, "HEAD_TERMS", head)
+        plans.append(plan_of(tokenizing.token_ids(texts, vocabulary, "doc_id")))
+    assert len(plans[0].splitlines()) == len(plans[1].splitlines())
+    assert all("text#" not in plan and "_tokens" not in plan for plan in plans)
+
+
+def test_ids_of_texts_without_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, "a b c"), (1, None), (2, "c c a")], "doc_id int, text string")
+    vocabulary = cut_lineage(tokenizing.build_vocabulary(docs), "vocabulary")
+    for head in (500_000, 1):
+        monkeypatch.setattr(tokenizing, "HEAD_TERMS", head)
+        ids = tokenizing.token_ids(docs, vocabulary, "doc_id", max_length=5)
+        assert {r["doc_id"]: r["input_ids"] for r in ids.collect()} == {
+            None: [2, 5, 6, 4, 3], 1: [2, 3, 0, 0, 0], 2: [2, 4, 4, 5, 3]
+        }
 
 
 def bm25(docs, query, k):
@@ -151,6 +169,22 @@ def test_the_texts_are_read_once(spark, texts):
     assert "text" not in plan_of(hits)
 
 
+def test_the_plan_does_not_grow_with_the_queries(spark, texts):
+    few, many = ({f"q{i}": f"der hund {i}" for i in range(n)} for n in (5, 500))
+    plans = [search.match_topk(texts, "doc_id", "text", q) for q in (few, many)]
+    assert len({len(plan_of(p).splitlines()) for p in plans}) == 1
+    best = {r["query"] for r in plans[1].filter("rank = 1").collect()}
+    assert len(best) in (0, 500)
+
+
+def test_query_terms_too_large_to_broadcast(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    queries = {"a": "the and Que der", "b": "eau eau los"}
+    expected = rows_of(search.match_topk(docs, "doc_id", "text", queries, 5))
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    assert rows_of(search.match_topk(docs, "doc_id", "text", queries, 5)) == expected
+
+
 def test_no_documents(texts):
     none = texts.limit(0)
     assert search.match_topk(none, "doc_id", "text", {"q": "der"}).isEmpty()

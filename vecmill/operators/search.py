@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -11,13 +10,16 @@ from pyspark.sql import functions as F
 
 from vecmill.functions.text import words
 from vecmill.operators.batches import map_batches
-from vecmill.session import scratch_path
+from vecmill.session import cut_lineage
 
 # The usual BM25 parameters of a search service, and its re-index batch.
 K1 = 1.2
 B = 0.75
 REINDEX_BATCH = 50
 
+# Largest set of query terms, in bytes, that is broadcast; a larger one is joined by term.
+BROADCAST_BYTES = 32 << 20
+
 
 def top_hits(scores: DataFrame, id_col: str, k: int, query_col: str = "query") -> DataFrame:
     """The ``k`` best rows per query with their ``rank``; ties go to the smaller id.
@@ -29,108 +31,99 @@ def top_hits(scores: DataFrame, id_col: str, k: int, query_col: str = "query") -
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def query_terms(spark: SparkSession, queries: Mapping[str, str]) -> dict[str, Counter[str]]:
-    """Terms of each query string, by the same analyser as the documents."""
-    analysed = [words(F.lit(text)).alias(f"q{i}") for i, text in enumerate(queries.values())]
-    row = spark.range(1).select(*analysed).first()
-    return {name: Counter(row[f"q{i}"]) for i, name in enumerate(queries)}
+def query_table(spark: SparkSession, queries: Mapping[str, str] | DataFrame) -> DataFrame:
+    """``(query, text)`` of a mapping of names to query strings, or of such a table."""
+    if isinstance(queries, DataFrame):
+        return queries.select(F.col("query").cast("string").alias("query"), "text")
+    return spark.createDataFrame(list(queries.items()), "query string, text string")
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """``(query, term, n)``: the terms of each query, by the same analyser as the documents."""
+    terms = queries.select("query", F.explode(words("text")).alias("term"))
+    return terms.groupBy("query", "term").agg(F.count("*").alias("n"))
 
 
 def match_topk(
-    docs: DataFrame, id_col: str, text_col: str, queries: Mapping[str, str], k: int = 10
+    docs: DataFrame, id_col: str, text_col: str, queries: Mapping[str, str] | DataFrame, k: int = 10
 ) -> DataFrame:
     """``(query, id_col, score, rank)`` for the ``k`` best documents of each query by BM25.
 
-    ``queries`` maps a name to a query string; a document that holds any of its terms is a hit.
-    The texts are read once: one map-only pass counts query terms per document, writes the
-    documents with a hit to the shared folder (id, length and counts, no text), and sums up the
-    corpus statistics on the way. Documents without any word do not count for them.
+    ``queries`` maps a name to a query string, or is a table ``(query, text)`` of any number of them;
+    a document that holds any of a query's terms is a hit. ``id_col`` must be unique. Documents
+    without any word do not count for the corpus statistics.
+
+    The texts are read once, unless the query terms are too large to be broadcast, when the statistics
+    take a scan of their own: one pass keeps the words that any query asks for and sums up the corpus
+    statistics on the way. Counts of these words per document are then joined with the queries by
+    term, and the parts of a score are added in the order of the terms, so equal texts score equally.
     """
     spark = docs.sparkSession
-    terms_of = query_terms(spark, queries)
-    terms = sorted(set().union(*terms_of.values()))
-    if not terms:
+    wanted = cut_lineage(query_terms(query_table(spark, queries)), "query-terms")
+    if wanted.isEmpty():
         raise ValueError("no query holds a word")
 
     # Words are cut out once; no filter may follow before the counts, or it would be moved below
     # and cut them out again.
-    analysed = docs.select(id_col, words(text_col).alias("_words"))
-    reduced = analysed.select(
-        id_col,
-        F.size("_words").alias("_len"),
-        F.filter("_words", lambda word: word.isin(terms)).alias("_hits"),
-    )
-    counted = reduced.select(
-        id_col, "_len", F.array(*[_occurrences("_hits", term) for term in terms]).alias("_tf")
-    )
-
+    analysed = docs.select(id_col, words(text_col).alias("_words")).withColumn("_len", F.size("_words"))
+    totals = [F.count_if(F.col("_len") > 0).alias("docs"), F.sum("_len").alias("length")]
+    terms = wanted.select("term").distinct()
+    fits = _bytes_of(wanted) <= BROADCAST_BYTES
     seen = Observation()
-    path = scratch_path(spark, "hits")
-    holding = [F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]
-    (
-        counted.observe(
-            seen, F.count_if(F.col("_len") > 0).alias("docs"), F.sum("_len").alias("length"), *holding
-        )
-        .filter(F.array_max("_tf") > 0)
-        .write.parquet(path)
-    )
-    corpus = seen.get
-    hits = spark.read.schema(counted.schema).parquet(path)
+    # Observed sums are exact where retried tasks count once, in the stage that writes.
+    source = analysed.observe(seen, *totals) if fits else analysed
+    held = source.select(id_col, "_len", F.explode("_words").alias("term"))
+    found = cut_lineage(held.join(F.broadcast(terms) if fits else terms.hint("merge"), "term", "left_semi"), "hits")
+    corpus = seen.get if fits else analysed.agg(*totals).first().asDict()
 
     n_docs = corpus["docs"]
     mean_length = (corpus["length"] or 0) / n_docs if n_docs else 1.0
+    counted = cut_lineage(found.groupBy(id_col, "_len", "term").agg(F.count("*").alias("_tf")), "hit-counts")
+    frequency = counted.groupBy("term").agg(F.count("*").alias("_df"))
+    idf = F.log(F.lit(1.0) + (F.lit(n_docs + 0.5) - F.col("_df")) / (F.col("_df") + F.lit(0.5)))
+    # No larger than the query terms.
+    weights = cut_lineage(wanted.join(frequency, "term").select("query", "term", (idf * F.col("n")).alias("_w")), "query-weights")
     relative = F.lit(1.0 - B) + F.lit(B) * F.col("_len") / F.lit(mean_length)
-    weight = []
-    for i in range(len(terms)):
-        held = corpus[f"df{i}"] or 0
-        idf = F.log(F.lit(1.0) + F.lit(n_docs - held + 0.5) / F.lit(held + 0.5))
-        n = F.col("_tf")[i].cast("double")
-        weight.append(idf * n * F.lit(K1 + 1.0) / (n + F.lit(K1) * relative))
-    per_query = [
-        _entry(name, [weight[terms.index(t)] * F.lit(float(n)) for t, n in sorted(wanted.items())])
-        for name, wanted in terms_of.items()
-    ]
-    return top_hits(_scores(hits, id_col, per_query), id_col, k)
+    part = F.col("_w") * F.col("_tf") * F.lit(K1 + 1.0) / (F.col("_tf") + F.lit(K1) * relative)
+    return top_hits(_scores(counted, id_col, weights, part, fits), id_col, k)
 
 
 def sparse_topk(
     docs: DataFrame,
     id_col: str,
     vector_col: str,
-    queries: Mapping[str, Mapping[str, float]],
+    queries: Mapping[str, Mapping[str, float]] | DataFrame,
     k: int = 10,
 ) -> DataFrame:
     """``(query, id_col, score, rank)`` by the dot product of term weights.
 
-    ``vector_col`` is ``map<string, float or double>``; ``queries`` maps a name to term weights.
-    Map-only up to the cut to ``k`` hits.
+    ``vector_col`` is ``map<string, float or double>``; ``queries`` maps a name to term weights, or is
+    a table ``(query, term, weight)`` of any number of them. ``id_col`` must be unique.
     """
-    held = F.col(vector_col)
-
-    def products(wanted: Mapping[str, float]) -> list[Column]:
-        return [
-            F.coalesce(F.try_element_at(held, F.lit(t)).cast("double"), F.lit(0.0)) * F.lit(float(w))
-            for t, w in sorted(wanted.items())
-        ]
-
-    per_query = [_entry(name, products(wanted)) for name, wanted in queries.items()]
-    return top_hits(_scores(docs, id_col, per_query), id_col, k)
-
-
-def _occurrences(array: str, term: str) -> Column:
-    return F.size(F.filter(array, lambda word: word == term))
-
-
-def _entry(query: str, parts: list[Column]) -> Column:
-    score = F.lit(0.0)
-    for part in parts:
-        score = score + part
-    return F.struct(F.lit(query).alias("query"), score.alias("score"))
-
-
-def _scores(docs: DataFrame, id_col: str, per_query: list[Column]) -> DataFrame:
-    """One row per document and query with a positive score."""
-    return docs.select(id_col, F.inline(F.array(*per_query))).filter(F.col("score") > 0)
+    spark = docs.sparkSession
+    if not isinstance(queries, DataFrame):
+        rows = [(q, t, float(w)) for q, weights in queries.items() for t, w in weights.items()]
+        queries = spark.createDataFrame(rows, "query string, term string, weight double")
+    named = queries.select(F.col("query").cast("string").alias("query"), "term", F.col("weight").cast("double").alias("_w"))
+    weights = cut_lineage(named, "query-weights")
+    held = docs.select(id_col, F.explode(vector_col).alias("term", "_held"))
+    part = F.col("_held").cast("double") * F.col("_w")
+    return top_hits(_scores(held, id_col, weights, part, _bytes_of(weights) <= BROADCAST_BYTES), id_col, k)
+
+
+def _bytes_of(rows: DataFrame) -> int:
+    """Size of the strings of a table ``query, term, ...``, and of its numbers."""
+    return rows.agg(F.sum(F.octet_length("query") + F.octet_length("term") + 24)).first()[0] or 0
+
+
+def _scores(held: DataFrame, id_col: str, weights: DataFrame, part: Column, fits: bool) -> DataFrame:
+    """One row per query and document with a positive score; rows come only from common terms."""
+    # By document, so that the sums need no exchange after the join with a small ``weights``.
+    dealt = held.repartition(F.col(id_col)) if fits else held
+    met = dealt.join(F.broadcast(weights) if fits else weights.hint("merge"), "term")
+    parts = F.array_sort(F.collect_list(F.struct("term", part.alias("part"))))
+    total = F.aggregate(parts, F.lit(0.0), lambda so_far, entry: so_far + entry["part"])
+    return met.groupBy("query", id_col).agg(total.alias("score")).filter(F.col("score") > 0)
 
 
 def reindex(

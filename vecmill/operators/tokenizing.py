@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from vecmill.functions import text as X
 from vecmill.operators.batches import map_batches, with_elements
 from vecmill.operators.ranking import global_rank
+from vecmill.session import cut_lineage
 
 # Terms that are broadcast when token ids are looked up: the most frequent ones, unless longer
-# than a word can sensibly be, so 128 MB at worst and a tenth of that as a rule. Ranks follow
-# frequency, so a term beyond them holds less than 1/HEAD_TERMS of all tokens and is no hot key.
-HEAD_TERMS = 500_000
+# than a word can sensibly be, so 16 MB at worst. Ranks follow frequency, so a term beyond them
+# holds less than 1/HEAD_TERMS of all tokens and is no hot key.
+HEAD_TERMS = 1 << 16
 HEAD_TERM_BYTES = 256
 
 
@@ -67,9 +69,10 @@ def token_ids(
 ) -> DataFrame:
     """``(id_col, input_ids, token_type_ids, attention_mask)``, each of ``max_length`` entries.
 
-    ``id_col`` must be unique. Unknown terms become ``[UNK]``. A vocabulary that is small enough,
-    as model vocabularies are, is broadcast and looked up by Arrow batches, without a shuffle; a
-    larger one is joined. It is read several times, so pass a written one.
+    ``id_col`` must be unique. Unknown terms become ``[UNK]``. Texts are read once, and neither they
+    nor their tokens are moved: tasks look up the frequent terms and write the ids, with the terms
+    that they did not find. Only these are joined with the rest of the vocabulary, and only the ids
+    of texts that have some are put right. ``vocabulary`` is read twice, so pass a written one.
     """
     if max_length < 2:
         raise ValueError(f"max_length must leave room for two special tokens: {max_length}")
@@ -78,7 +81,9 @@ def token_ids(
     is_head = (F.col("token_id") < head_end) & (F.octet_length("token") <= HEAD_TERM_BYTES)
     head, tail = lookup.filter(is_head), lookup.filter(~is_head)
     texts = df.select(id_col, F.slice(X.tokens(text_col), 1, max_length - 2).alias("_tokens"))
-    bodies = _ids_in_tasks(texts, head) if tail.isEmpty() else _ids_by_join(texts, head, tail)
+    found = cut_lineage(_ids_in_tasks(texts, head), "head-ids")
+    whole = found.filter(F.size("_rare") <= 0).select(id_col, "_body")
+    bodies = whole.unionByName(_with_rare(found.filter(F.size("_rare") > 0), tail, id_col))
 
     special = {name: F.lit(number) for name, number in X.SPECIAL_IDS.items()}
     body = F.coalesce("_body", F.array().cast("array<int>"))
@@ -91,36 +96,35 @@ def token_ids(
     )
 
 
-def _ids_in_tasks(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``_body``, the ids of ``_tokens``. ``vocabulary`` has at most ``HEAD_TERMS`` short terms."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary.toArrow().combine_chunks())
+def _ids_in_tasks(texts: DataFrame, head: DataFrame) -> DataFrame:
+    """``_body``, the ids of ``_tokens``, and ``_rare``, place and text of those not in ``head``,
+    which has at most ``HEAD_TERMS`` short terms."""
+    shared = texts.sparkSession.sparkContext.broadcast(head.toArrow().combine_chunks())
     unknown = X.SPECIAL_IDS[X.UNK]
 
     def look_up(batch: pa.Table) -> pa.Table:
         terms, ids = (shared.value[c].combine_chunks() for c in ("token", "token_id"))
         lists = batch["_tokens"].combine_chunks()
-        found = ids.take(pc.index_in(lists.flatten(), value_set=terms))
+        flat = lists.flatten()
+        found = ids.take(pc.index_in(flat, value_set=terms))
         bodies = with_elements(lists, pc.fill_null(found, unknown))
-        return batch.drop_columns("_tokens").append_column("_body", bodies)
+        missing = np.flatnonzero(pc.is_null(found).to_numpy(zero_copy_only=False))
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        places = missing - starts[np.searchsorted(starts, missing, "right") - 1]
+        entries = [pa.array(places, pa.int32()), flat.take(pa.array(missing, pa.int64())).cast(pa.string())]
+        ends = pa.array(np.searchsorted(missing, starts), pa.int32())
+        rare = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(entries, ["pos", "token"]))
+        return batch.drop_columns("_tokens").append_column("_body", bodies).append_column("_rare", rare)
 
     return map_batches(texts, look_up)
 
 
-def _ids_by_join(texts: DataFrame, head: DataFrame, tail: DataFrame) -> DataFrame:
-    """As ``_ids_in_tasks``. The head holds almost all tokens and any hot one, and is broadcast;
-    only the few other tokens are shuffled. A text's group has no more rows than it has tokens."""
-    (id_col,) = (c for c in texts.columns if c != "_tokens")
-    placed = texts.select(id_col, F.posexplode_outer("_tokens").alias("pos", "token"))
-    found = placed.join(F.broadcast(head), "token", "left")
-    rare = F.col("token").isNotNull() & F.col("token_id").isNull()
-    looked_up = found.filter(rare).drop("token_id").join(tail, "token", "left")
-    known_or_unk = F.coalesce("token_id", F.lit(X.SPECIAL_IDS[X.UNK])).alias("token_id")
-    ids = (
-        found.filter(~rare)
-        .select(id_col, "pos", "token_id")
-        .unionByName(looked_up.select(id_col, "pos", known_or_unk))
-    )
-    # An empty text has one row with null position; it contributes no entry.
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))
-    grouped = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-    return grouped.select(id_col, F.transform("_entries", lambda e: e["token_id"]).alias("_body"))
+def _with_rare(found: DataFrame, tail: DataFrame, id_col: str) -> DataFrame:
+    """``_body`` with the ids of ``_rare`` terms that are in ``tail``; the others stay unknown."""
+    rare = found.select(F.col(id_col).alias("_id"), F.inline("_rare"))
+    entries = F.map_from_entries(F.collect_list(F.struct("pos", "token_id")))
+    patches = rare.join(tail, "token").groupBy("_id").agg(entries.alias("_ids"))
+    patched = found.join(patches, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    right = F.transform("_body", lambda old, pos: F.coalesce(F.try_element_at("_ids", pos), old))
+    return patched.select(id_col, right.alias("_body"))

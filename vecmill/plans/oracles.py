@@ -104,6 +104,22 @@ JOIN (SELECT query, term, sum((tf > 0)::INT)::DOUBLE AS df FROM p GROUP BY query
      (SELECT count(*)::DOUBLE AS n, avg(len(words)) AS avglen FROM d WHERE len(words) > 0)
 WHERE tf > 0 GROUP BY query, doc_id""")
 
+BENCHMARK = f"""
+WITH q AS (SELECT query, term, count(*) AS weight
+           FROM (SELECT item_id::VARCHAR AS query, unnest({WORDS}) AS term FROM benchmark)
+           GROUP BY query, term),
+     d AS MATERIALIZED (SELECT doc_id, {WORDS} AS words FROM documents),
+     t AS MATERIALIZED (SELECT doc_id, len, term, count(*)::DOUBLE AS tf
+                        FROM (SELECT doc_id, len(words) AS len, unnest(words) AS term FROM d)
+                        GROUP BY doc_id, len, term),
+     f AS (SELECT term, count(*)::DOUBLE AS df FROM t GROUP BY term)""" + _top("""
+SELECT query, doc_id,
+       sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (1.2 + 1)
+           / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avglen)) ORDER BY term) AS score
+FROM q JOIN t USING (term) JOIN f USING (term),
+     (SELECT count(*)::DOUBLE AS n, avg(len(words)) AS avglen FROM d WHERE len(words) > 0)
+GROUP BY query, doc_id""")
+
 SPARSE = _postings(SPARSE_TERMS) + _top("""
 SELECT query, doc_id, sum(weight * tf / len) AS score FROM p WHERE tf > 0 GROUP BY query, doc_id""")
 
@@ -228,6 +244,7 @@ SELECT doc_id, {X.MAX_LENGTH}::BIGINT AS length, coalesce(len(ids), 0) + 2 AS n_
                                    {X.MAX_LENGTH}, {X.SPECIAL_IDS[X.PAD]}), ' ') AS input_ids
 FROM documents LEFT JOIN ids USING (doc_id)""",
     "bm25_topk": BM25,
+    "benchmark_topk": BENCHMARK,
     "sparse_topk": SPARSE,
     "reindex_scored": """
 SELECT doc_id, lang, len(regexp_extract_all(text, '[A-Za-z]+')) AS n_words FROM documents""",

@@ -490,6 +490,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def benchmark_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for every text of ``benchmark`` as a query."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    hits = search.match_topk(_documents(spark, sf_dir), "doc_id", "text", items, TOP_K)
+    return hits.select(
+        "query", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")
+    )
+
+
 def _term_weights(batch: pa.Table) -> pa.Table:
     """A stand-in for a sparse model: relative term frequencies."""
     lists = batch["words"].combine_chunks()
@@ -639,6 +648,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_vocab,
         token_ids,
         bm25_topk,
+        benchmark_topk,
         sparse_topk,
         reindex_scored,
         prompt_requests,
