@@ -14,9 +14,9 @@ from vecmill.operators.ranking import global_rank
 from vecmill.session import cut_lineage
 
 # Terms that are broadcast when token ids are looked up: the most frequent ones, unless longer
-# than a word can sensibly be, so 16 MB at worst. Ranks follow frequency, so a term beyond them
+# than a word can sensibly be, so 64 MB at worst. Ranks follow frequency, so a term beyond them
 # holds less than 1/HEAD_TERMS of all tokens and is no hot key.
-HEAD_TERMS = 1 << 16
+HEAD_TERMS = 1 << 18
 HEAD_TERM_BYTES = 256
 
 
