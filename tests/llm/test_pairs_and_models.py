@@ -113,6 +113,16 @@ def test_language_model_beats_frequencies(spark, data):
     assert [(r.n_words, r.log_prob, r.mean_log_prob) for r in lm.score(odd, words, plain).collect()] == [(0, 0.0, None)] * 2
 
 
+def test_language_model_trains_on_every_position(spark):
+    bounds = np.array([0, 0, 1, 3, 20, 20, 57])
+    assert sorted(np.concatenate([lm.positions(bounds, n, 3) for n in range(3)])) == list(range(57))
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    words = lm.vocabulary(docs)
+    begin, end = lm.Network.start(words.totals).parts[0], lm.train(docs, words).parts[0]
+    # The words around a trained position move; of a document of seven words all must.
+    assert (begin[:7] != end[:7]).any(axis=1).all()
+
+
 def test_pipeline(spark):
     kept = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")

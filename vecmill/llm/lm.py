@@ -3,7 +3,7 @@
 A bidirectional window network predicts every word from the words on both sides; the sum of the
 conditional log-probabilities of a document is its score. The vocabulary, and how many words and
 occurrences lie outside it, are counted over the whole corpus. The network is trained in numpy on
-positions of all documents: each task goes through its own from common parameters, and the
+every position of all documents: each task goes through its own from common parameters, and the
 parameters are averaged, weighted with the positions that they have seen, in a few rounds.
 """
 
@@ -31,8 +31,7 @@ WIDTH = CLASSES // GROUPS
 OFFSETS = (-2, -1, 1, 2)
 DIM = 16
 HIDDEN = 16
-# One position in so many of every document is a training example of a round.
-STRIDE = 16
+# Every position of every document is a training example of one of the rounds.
 ROUNDS = 2
 BATCH = 1024
 RATE = 0.005
@@ -188,7 +187,14 @@ def _contexts(classes: np.ndarray, by_text: np.ndarray, at: np.ndarray) -> np.nd
     return out
 
 
-def train(docs: DataFrame, words_of: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE, text_col: str = "text") -> Network:
+def positions(by_text: np.ndarray, number: int, rounds: int) -> np.ndarray:
+    """Positions that round ``number`` trains on: those in turn within each text, so that every
+    position belongs to one round however the texts are dealt."""
+    within = np.arange(by_text[-1]) - np.repeat(by_text[:-1], np.diff(by_text))
+    return np.flatnonzero(within % rounds == number)
+
+
+def train(docs: DataFrame, words_of: Vocabulary, rounds: int = ROUNDS, text_col: str = "text") -> Network:
     """Parameters averaged over the tasks, in ``rounds`` rounds over all documents."""
     net = Network.start(words_of.totals)
     source = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -207,8 +213,7 @@ def train(docs: DataFrame, words_of: Vocabulary, rounds: int = ROUNDS, stride: i
                     if not len(codes):
                         continue
                     classes = words_of.of(hashed)[codes]
-                    at = np.arange((number * 7) % stride, len(classes), stride)
-                    at = np.random.default_rng(number).permutation(at)
+                    at = np.random.default_rng(number).permutation(positions(by_text, number, rounds))
                     for first in range(0, len(at), BATCH):
                         some = at[first : first + BATCH]
                         own.step(adam, _contexts(classes, by_text, some), classes[some])
