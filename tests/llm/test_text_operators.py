@@ -127,6 +127,16 @@ def test_trees_find_more(spark):
     assert all(spans[i].startswith("secret") for i in range(1, 400, 2)) and not any(spans[i] for i in range(0, 400, 2))
 
 
+def test_candidates_in_long_runs():
+    proposed = lambda text: {text[a:b] for _, a, b in pii.candidates(text)}
+    assert "key=abc123def456" in proposed("https://x.y/" + "a" * 900 + "?key=abc123def456&z")
+    assert "s3cretvalue" in proposed('{"name":"' + "b" * 900 + '","pw":"s3cretvalue"}')
+    assert "token=abcdef1" in proposed("語" * 900 + "token=abcdef1" + "語" * 9)
+    assert {"password:LongSecretOfLetters", "LongSecretOfLetters"} <= proposed("a password:LongSecretOfLetters b")
+    long = "a" * 400
+    assert pii.features(long, "secret", 0, 400) != pii.features(long[:300] + "1" * 100, "secret", 0, 400)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     for frame in (transducer.token_counts(none, BYTE), codec.digests(none, WORD), packing.pack(none, WORD), rules.apply_rules(none), pii.detect(none, pii.fit(none))):

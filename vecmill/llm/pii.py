@@ -36,12 +36,17 @@ KINDS = ("email", "ip", "card", "phone", "secret", "number")
 # Forms of secrets that serve as examples.
 KNOWN_SECRET = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|secret|token|api_?key)[=:][A-Za-z0-9+/_-]{12,}", re.I)
 
-# Generators: any run without white space that holds a digit or an equals sign, and any row of digit
-# groups. Their spans may overlap each other and the base spans.
-TOKEN = re.compile(r"(?<!\S)(?=\S{0,256}[0-9=@])\S+")
+# Generators: any run without white space that holds a digit, a sign of assignment or an @, the pieces
+# of such a run between separators or characters beyond ASCII, the values in a piece, and any row of
+# digit groups. Their spans may overlap each other and the base spans.
+TOKEN = re.compile(r"(?<!\S)(?=\S*(?:[0-9=@]|:\S))\S+")
+PIECE = re.compile(r"[^\s\"'`,;?&(){}\[\]<>|\x80-\U0010ffff]+")
+VALUE = re.compile(r"[^=:]+")
+ASSIGNED = re.compile(r"[=:][\"'`]?")
+SIGN = re.compile(r"[0-9=@:]")
 DIGITS = re.compile(r"(?<![0-9])\(?[0-9]{2,}(?:[\x20().-]{1,2}[0-9]{2,})*")
 TRIGGER = np.zeros(256, bool)
-TRIGGER[[ord(c) for c in "0123456789@="]] = True
+TRIGGER[[ord(c) for c in "0123456789@=:"]] = True
 HINTS = re.compile(r"(?:pass|pwd|secret|token|key|login|user|phone|tel|fax|call|mail|card|account|iban|ssn|ip|addr)\w*\W*$", re.I)
 
 SAMPLE = 20_000
@@ -83,38 +88,52 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Further spans: tokens with a digit, an equals sign or an @, and rows of digit groups."""
-    found = []
-    for m in TOKEN.finditer(text):
-        start, end = m.span()
+    """Further spans: tokens with a digit, a sign of assignment or an @, their pieces and values, and
+    rows of digit groups."""
+    spans: dict[tuple[int, int], None] = {}
+
+    def add(start: int, end: int) -> None:
         while end > start and text[end - 1] in ".,;:!?)]}\"'*$%&#|":
             end -= 1
         while start < end and text[start] in "([{\"'":
             start += 1
         if end - start >= 6:
-            found.append(("secret", start, end))
+            spans[start, end] = None
+
+    for m in TOKEN.finditer(text):
+        add(*m.span())
+        for piece in PIECE.finditer(text, *m.span()):
+            start, end = piece.span()
+            assigned = ASSIGNED.fullmatch(text, max(m.start(), start - 2), start) or ASSIGNED.fullmatch(text, max(m.start(), start - 1), start)
+            if assigned or SIGN.search(text, start, end):
+                add(start, end)
+            for value in VALUE.finditer(text, start, end):
+                if value.start() > start or SIGN.search(text, *value.span()):
+                    add(*value.span())
+    found = [("secret", *span) for span in spans]
     found += [("number", *m.span()) for m in DIGITS.finditer(text) if m.end() - m.start() >= 7]
     return found
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format of the span and its context."""
-    span = text[start:end]
-    own = span[:256]
+    own = text[start:end]
     size = max(len(own), 1)
     count = Counter(own)
     entropy = -sum(n / size * math.log2(n / size) for n in count.values())
     digits = sum(c.isdigit() for c in own)
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(own, own[1:]))
     value = own.partition("=")[2] or own.partition(":")[2]
+    sign = "=" if "=" in own else ":"
+    key = own.partition(sign)[0] if sign in own else ""
     only = re.sub(r"[^0-9]", "", own)
     before = text[max(0, start - 16) : start]
     return [
-        float(kind == "number"), float(min(len(span), 300)), digits / size,
+        float(kind == "number"), float(len(own)), digits / size,
         sum(c.isupper() for c in own) / size, sum(c.islower() for c in own) / size, entropy,
-        switches / size, float("=" in own or ":" in own), float(min(len(value), 300)), float("@" in own),
-        float(own.count(".")), float(min(len(only), 40)),
-        float(13 <= len(only) <= 19 and luhn(only)), float(bool(HINTS.search(before) or HINTS.search(own.partition("=")[0] if "=" in own else ""))),
+        switches / size, float("=" in own or ":" in own), float(len(value)), float("@" in own),
+        float(own.count(".")), float(len(only)),
+        float(13 <= len(only) <= 19 and luhn(only)), float(bool(HINTS.search(before) or HINTS.search(key[-64:]))),
     ]
 
 
@@ -232,11 +251,13 @@ def find(text: str, model: Trees | None) -> tuple[list[tuple[str, int, int]], li
     proposed = candidates(text) if model else []
     if proposed:
         scores = model.probability(np.array([features(text, *c) for c in proposed]))
-        taken = [(a, b) for _, a, b in listed]
+        taken = bytearray(len(text))
+        for _, a, b in listed:
+            taken[a:b] = b"\1" * (b - a)
         for i in sorted(range(len(proposed)), key=lambda i: (-scores[i], proposed[i][1], -proposed[i][2])):
             kind, start, end = proposed[i]
-            if scores[i] >= model.threshold and all(end <= a or b <= start for a, b in taken):
-                taken.append((start, end))
+            if scores[i] >= model.threshold and taken.find(1, start, end) < 0:
+                taken[start:end] = b"\1" * (end - start)
                 more.append(proposed[i])
     return listed, sorted(more, key=lambda s: (KINDS.index(s[0]), s[1]))
 
