@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +88,18 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
+def known_secrets(text: str) -> list[tuple[int, int]]:
+    """Known forms of secrets, each to the end of its piece."""
+    found = []
+    for m in KNOWN_SECRET.finditer(text):
+        rest = PIECE.match(text, m.end())
+        end = rest.end() if rest else m.end()
+        while end > m.end() and text[end - 1] in ".,;:!?)]}\"'*$%&#|":
+            end -= 1
+        found.append((m.start(), end))
+    return found
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Further spans: tokens with a digit, a sign of assignment or an @, their pieces and values, and
     rows of digit groups."""
@@ -110,6 +123,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             for value in VALUE.finditer(text, start, end):
                 if value.start() > start or SIGN.search(text, *value.span()):
                     add(*value.span())
+    for span in known_secrets(text):
+        spans[span] = None
     found = [("secret", *span) for span in spans]
     found += [("number", *m.span()) for m in DIGITS.finditer(text) if m.end() - m.start() >= 7]
     return found
@@ -202,14 +217,19 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def _readable(batch: pa.RecordBatch) -> list[int]:
-    """Rows whose text holds a character that every span needs."""
-    data, offsets = buffers(batch.column("text"))
-    return np.flatnonzero(segment_sum(TRIGGER[data], offsets) > 0).tolist()
+    """Rows whose text holds a character that every span needs, or the letters of a known form."""
+    return _readable_texts(batch.column("text"))
+
+
+def _readable_texts(texts: pa.Array) -> list[int]:
+    data, offsets = buffers(texts)
+    letters = pc.fill_null(pc.match_substring(texts, "akia", ignore_case=True), False).to_numpy(zero_copy_only=False)
+    return np.flatnonzero((segment_sum(TRIGGER[data], offsets) > 0) | letters).tolist()
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Trees | None:
+def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Trees:
     """Trees from at most ``sample`` candidates, chosen by hash from those of all texts; a fifth of
-    them calibrates the probability and sets the threshold. None if there is nothing to learn."""
+    them calibrates the probability and sets the threshold. With too little to learn from, every candidate has the share of examples."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows = []
@@ -230,7 +250,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Trees
     rows = found.orderBy("mark", "label", "features").limit(sample).toPandas()
     y = rows["label"].to_numpy(float)
     if len(y) < 50 or y.min() == y.max():
-        return None
+        share = (y.sum() + 1) / (len(y) + 2)
+        return Trees(np.zeros((BINS - 1, FEATURES)), float(np.log(share / (1 - share))), [], threshold=PRECISION)
     x = np.stack(rows["features"].to_numpy())
     fold = np.arange(len(y)) % 5 == 0
     model = boost(x[~fold], y[~fold])
@@ -244,19 +265,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Trees
 
 
 def find(text: str, model: Trees | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and selected candidates that overlap neither these nor a better candidate."""
+    """Base spans, and known secrets and selected candidates that overlap neither these nor a better
+    candidate; without a model only base spans."""
     base = base_spans(text)
     listed = [(kind, *span) for kind in KINDS[:4] for span in base[kind]]
     more: list[tuple[str, int, int]] = []
     proposed = candidates(text) if model else []
     if proposed:
         scores = model.probability(np.array([features(text, *c) for c in proposed]))
+        known = set(known_secrets(text))
+        sure = [(start, end) in known for _, start, end in proposed]
         taken = bytearray(len(text))
         for _, a, b in listed:
             taken[a:b] = b"\1" * (b - a)
-        for i in sorted(range(len(proposed)), key=lambda i: (-scores[i], proposed[i][1], -proposed[i][2])):
+        for i in sorted(range(len(proposed)), key=lambda i: (not sure[i], -scores[i], proposed[i][1], -proposed[i][2])):
             kind, start, end = proposed[i]
-            if scores[i] >= model.threshold and taken.find(1, start, end) < 0:
+            if (sure[i] or scores[i] >= model.threshold) and taken.find(1, start, end) < 0:
                 taken[start:end] = b"\1" * (end - start)
                 more.append(proposed[i])
     return listed, sorted(more, key=lambda s: (KINDS.index(s[0]), s[1]))
@@ -317,8 +341,7 @@ def redact(docs: DataFrame, model: Trees | None, text_col: str = "text") -> Data
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(place)
         found = {}
-        data, offsets = buffers(texts)
-        for row in np.flatnonzero(segment_sum(TRIGGER[data], offsets) > 0).tolist():
+        for row in _readable_texts(texts):
             text = texts[row].as_py()
             listed, more = find(text, model)
             if listed or more:
