@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecmill.llm import bottomk, codec, ego, lm, packing, periodic, pii, quality, rules, toxicity, transducer
+from vecmill.llm import bottomk, codec, ego, lm, packing, periodic, pii, quality, rules, substrings, toxicity, transducer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +64,15 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, words, lm.train(docs, words))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_links, op3_minhash_dedup, op4_bpe_codec, op5_toxicity, op6_quality, op7_packing, op8_quality_rules, op9_pii, op10_lm_scores, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_links, op3_minhash_dedup, op4_bpe_codec, op5_toxicity, op6_quality, op7_packing, op8_quality_rules, op9_pii, op10_lm_scores, op12_substring_dedup, op13_periodic_runs)}
 # CRC-32 of the id's digits, byte by byte and bit by bit.
 CRC = """xor(4294967295, list_reduce(
     [4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
@@ -101,4 +105,18 @@ SELECT m.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, first::BIGINT AS start,
     (1000 * size // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
 FROM marked m LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op13_periodic_runs": PERIODIC}
+SUBSTRINGS = """
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, i, array_to_string(w[i + 1 : i + 20], ' ') AS phrase
+    FROM (SELECT *, unnest(range(greatest(len(w) - 19, 0))) AS i FROM split)),
+late AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY doc_id, i) > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM split),
+judged AS (
+    SELECT doc_id, i, word, max(late.i) OVER (PARTITION BY doc_id ORDER BY i ROWS 19 PRECEDING) IS NOT NULL AS removed
+    FROM words LEFT JOIN late USING (doc_id, i))
+SELECT doc_id, any_value(len(w))::BIGINT AS n_words, (count(*) FILTER (removed))::BIGINT AS n_removed,
+    sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT removed), '')) AS kept_sha256
+FROM split LEFT JOIN judged USING (doc_id) GROUP BY doc_id"""
+
+ORACLES: dict[str, str] = {"op12_substring_dedup": SUBSTRINGS, "op13_periodic_runs": PERIODIC}
