@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecmill.llm import bottomk, codec, ego, lm, packing, periodic, pii, quality, rules, substrings, toxicity, transducer
+from vecmill.llm import bottomk, codec, ego, lm, packing, periodic, pii, quality, rules, substrings, toxicity, transducer, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, words, lm.train(docs, words))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_links, op3_minhash_dedup, op4_bpe_codec, op5_toxicity, op6_quality, op7_packing, op8_quality_rules, op9_pii, op10_lm_scores, op12_substring_dedup, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_links, op3_minhash_dedup, op4_bpe_codec, op5_toxicity, op6_quality, op7_packing, op8_quality_rules, op9_pii, op10_lm_scores, op11_embedding_whitening, op12_substring_dedup, op13_periodic_runs)}
 # CRC-32 of the id's digits, byte by byte and bit by bit.
 CRC = """xor(4294967295, list_reduce(
     [4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
