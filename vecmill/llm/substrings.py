@@ -1,6 +1,6 @@
 """Repeated passages by super-k-mer partitioning (operator 12).
 
-A window is 20 consecutive words. Its minimiser is the smallest hash of the runs of four words in it,
+A window is 20 consecutive words. Its minimiser is the smallest hash of the rows of three words in it,
 so equal windows have equal minimisers wherever they stand, and neighbouring windows mostly share
 theirs. Windows in a row that share a minimiser travel as one packed string, a super-k-mer, to the
 bucket of the minimiser; there all windows of different super-k-mers are sorted and compared word by
@@ -32,7 +32,7 @@ from vecmill.llm.periodic import join_words
 from vecmill.session import cut_lineage
 
 WINDOW = 20
-SEED_WORDS = 4
+SEED_WORDS = 3
 # Bytes of super-k-mers that a task combines before it passes them on, and that a bucket may hold.
 COMBINE_BYTES = 16 << 20
 BUCKET_BYTES = 32 << 20
@@ -142,43 +142,44 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _combined(source: DataFrame) -> DataFrame:
-    """``minimiser, packed, least, most, places``: the super-k-mers of each task, equal ones combined."""
+    """``minimiser, packed, least, several, more``: the super-k-mers of each task. Equal ones are
+    combined: the smallest id, whether there are others, and how many more places there are."""
 
-    def emit(seen: dict[bytes, int], columns: list[list]) -> Iterator[pa.RecordBatch]:
-        packed = list(seen)
-        for a in range(0, len(packed), BUCKET_ROWS):
-            arrays = [pa.array(c[a : a + BUCKET_ROWS], pa.int64()) for c in columns]
-            yield pa.RecordBatch.from_arrays([arrays[0], pa.array(packed[a : a + BUCKET_ROWS], pa.binary()), *arrays[1:]], PACKED)
+    def emit(seen: dict[bytes, int], columns: tuple[list, ...]) -> Iterator[pa.RecordBatch]:
+        keys, least, several, more = columns
+        table = pa.table([pa.array(keys, pa.int64()), pa.array(list(seen), pa.binary()), pa.array(least, pa.int64()), pa.array(several, pa.bool_()), pa.array(more, pa.int64())], PACKED)
+        yield from table.to_batches(BUCKET_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, columns, held = {}, [[], [], [], []], 0
+        seen, columns, held = {}, ([], [], [], []), 0
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             ids = batch.column("own").to_numpy()
             for a, b in slices(offsets):
                 packed, key, text, _, _ = super_kmers(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                keys, least, most, places = columns
+                keys, least, several, more = columns
                 for one, minimiser, own in zip(packed, key.tolist(), ids[a + text].tolist()):
                     if (i := seen.get(one)) is None:
                         seen[one] = len(keys)
                         keys.append(minimiser)
                         least.append(own)
-                        most.append(own)
-                        places.append(1)
+                        several.append(False)
+                        more.append(0)
                         held += len(one)
                     else:
-                        least[i], most[i], places[i] = min(least[i], own), max(most[i], own), places[i] + 1
+                        several[i] |= least[i] != own
+                        least[i], more[i] = min(least[i], own), more[i] + 1
                 if held > COMBINE_BYTES:
                     yield from emit(seen, columns)
-                    seen, columns, held = {}, [[], [], [], []], 0
+                    seen, columns, held = {}, ([], [], [], []), 0
         yield from emit(seen, columns)
 
     bound_batches(source.sparkSession)
-    return source.select("own", "text").mapInArrow(run, "minimiser long, packed binary, least long, most long, places long")
+    return source.select("own", "text").mapInArrow(run, "minimiser long, packed binary, least long, several boolean, more long")
 
 
-PACKED = ["minimiser", "packed", "least", "most", "places"]
-ANSWER = "d1 long, d2 long, least long, most long, places long, repeated array<int>, packed binary"
+PACKED = ["minimiser", "packed", "least", "several", "more"]
+ANSWER = "d1 long, d2 long, least long, several boolean, places long, repeated array<int>, packed binary"
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -186,15 +187,14 @@ def _merge(table: pa.Table) -> pa.Table:
     codes, distinct = encoded(table.column("packed").combine_chunks())
     if len(distinct) == table.num_rows:
         return table
-    minimiser, least, most, places = (table.column(c).to_numpy() for c in ("minimiser", "least", "most", "places"))
-    low, high = np.full(len(distinct), NO_ID), np.full(len(distinct), -NO_ID - 1)
+    minimiser, least, several, more = (table.column(c).to_numpy() for c in ("minimiser", "least", "several", "more"))
+    low = np.full(len(distinct), NO_ID)
     np.minimum.at(low, codes, least)
-    np.maximum.at(high, codes, most)
-    key = np.zeros(len(distinct), np.int64)
+    key, total, others = np.zeros(len(distinct), np.int64), np.full(len(distinct), -1), np.zeros(len(distinct), bool)
     key[codes] = minimiser
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, codes, places)
-    return pa.table([pa.array(key), distinct, pa.array(low), pa.array(high), pa.array(total)], PACKED)
+    np.add.at(total, codes, more + 1)
+    np.logical_or.at(others, codes, several | (least != low[codes]))
+    return pa.table([pa.array(key), distinct, pa.array(low), pa.array(others), pa.array(total)], PACKED)
 
 
 def _answer(table: pa.Table, defer: bool = False) -> pa.RecordBatch:
@@ -202,7 +202,7 @@ def _answer(table: pa.Table, defer: bool = False) -> pa.RecordBatch:
     a smaller id has too."""
     table = _merge(table)
     packed = table.column("packed").combine_chunks()
-    least, most = table.column("least").to_numpy(), table.column("most").to_numpy()
+    least, others = table.column("least").to_numpy(), table.column("several").to_numpy()
     repeated: list[list[int]] = [[] for _ in range(table.num_rows)]
     _, inverse, count = np.unique(table.column("minimiser").to_numpy(), return_inverse=True, return_counts=True)
     several = np.flatnonzero(count[inverse] > 1)
@@ -214,12 +214,12 @@ def _answer(table: pa.Table, defer: bool = False) -> pa.RecordBatch:
         at, row = spread_ranges(by_text[:-1], counts), np.repeat(np.arange(len(several)), counts)
         for w in np.flatnonzero(earlier(codes, at, np.zeros(len(at), np.int64), least[several][row])).tolist():
             repeated[several[row[w]]].append(int(at[w] - by_text[row[w]]))
-    told = np.flatnonzero((most > least) | np.array([bool(x) for x in repeated], bool) | defer)
+    told = np.flatnonzero(others | np.array([bool(x) for x in repeated], bool) | defer)
     d1, d2 = digests([packed[i].as_py() for i in told.tolist()])
     lists = pa.array([repeated[i] for i in told.tolist()], pa.list_(pa.int32()))
     kept = packed.take(pa.array(told)) if defer else pa.nulls(len(told), pa.binary())
-    numbers = [pa.array(x[told]) for x in (least, most, table.column("places").to_numpy())]
-    return pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), *numbers, lists, kept], ["d1", "d2", "least", "most", "places", "repeated", "packed"])
+    numbers = [pa.array(x[told]) for x in (least, others, table.column("more").to_numpy() + 1)]
+    return pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), *numbers, lists, kept], ["d1", "d2", "least", "several", "places", "repeated", "packed"])
 
 
 def _buckets(rows: DataFrame, limit: int) -> DataFrame:
@@ -265,7 +265,8 @@ def meet(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
 def _one_by_one(deferred: DataFrame) -> DataFrame:
     """Answers for the strings of buckets that were too large: by windows, each under its digest."""
     whole = deferred.groupBy("d1", "d2").agg(
-        F.min("least").alias("least"), F.max("most").alias("most"), F.sum("places").alias("places"), F.first("packed").alias("packed")
+        F.min("least").alias("least"), (F.bool_or("several") | (F.min("least") < F.max("least"))).alias("several"),
+        F.sum("places").alias("places"), F.first("packed").alias("packed"),
     )
     whole = cut_lineage(whole, "large-buckets")
 
@@ -354,7 +355,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     deferred = answers.where("packed is not null")
     if not deferred.isEmpty():
         told = cut_lineage(told.unionByName(_one_by_one(deferred).withColumn("repeated", F.coalesce("repeated", F.array().cast("array<int>")))), "answers")
-    told = told.where("most > least or size(repeated) > 0").drop("most")
+    told = told.where("several or size(repeated) > 0").drop("several")
     places = cut_lineage(_places(source), "places")
     window = lambda start, size: F.struct(start.alias("start"), size.alias("size"))
     found = meet(places, told, ["d1", "d2"]).select(
