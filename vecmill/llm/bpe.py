@@ -14,14 +14,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from vecmill.llm.columnar import spread_ranges
 
 NONE = np.int32(-1)
 MATRIX_SYMBOLS = 48
-CACHE_WORDS = 300_000
+# A task keeps results of short words up to this size; an entry has a fixed part beside its bytes.
+CACHE_BYTES = 24 << 20
+CACHE_LONGEST = 64
+CACHE_ENTRY = 150
 
 
 class PairTable:
@@ -233,30 +235,41 @@ class Bpe:
 
 
 class WordCache:
-    """Results of words seen before, at most ``CACHE_WORDS`` of them; then it starts anew."""
+    """Results of words seen before, of at most ``CACHE_BYTES`` in all; then it starts anew. Words of
+    more than ``CACHE_LONGEST`` bytes are not kept."""
 
     def __init__(self):
-        self.words = pa.array([], pa.binary())
+        self.place: dict[bytes, int] = {}
         self.values = np.zeros(0, np.int32)
-        self.starts = np.zeros(1, np.int64)
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+        self.bytes = 0
 
     def look_up(self, wanted: pa.Array, compute) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(values, start, length) of each distinct word in ``wanted``; ``compute(words)`` gives the
         values and counts of unknown words."""
-        place = pc.index_in(wanted, value_set=self.words)
-        place = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if self.bytes > CACHE_BYTES:
+            self.__init__()
+        spelled = wanted.to_pylist()
+        place = np.fromiter((self.place.get(w, -1) for w in spelled), np.int64, len(spelled))
         missing = np.flatnonzero(place < 0)
-        if len(missing):
-            if len(self.words) > CACHE_WORDS:
-                self.__init__()
-                return self.look_up(wanted, compute)
-            new = wanted.take(pa.array(missing))
-            values, counts = compute(new)
-            place[missing] = len(self.words) + np.arange(len(missing))
-            self.words = pa.concat_arrays([self.words, new])
-            self.values = np.concatenate([self.values, values])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
-        return self.values, self.starts[place], self.starts[place + 1] - self.starts[place]
+        if not len(missing):
+            return self.values, self.starts[place], self.lengths[place]
+        values, counts = compute(wanted.take(pa.array(missing)))
+        all_values = np.concatenate([self.values, values])
+        starts, lengths = np.empty(len(spelled), np.int64), np.empty(len(spelled), np.int64)
+        known = place >= 0
+        starts[known], lengths[known] = self.starts[place[known]], self.lengths[place[known]]
+        starts[missing], lengths[missing] = len(self.values) + np.cumsum(counts) - counts, counts
+        short = missing[np.array([len(spelled[i]) <= CACHE_LONGEST for i in missing.tolist()])]
+        own = spread_ranges(starts[short], lengths[short])
+        ends = np.cumsum(lengths[short])
+        self.place.update(zip([spelled[i] for i in short.tolist()], range(len(self.starts), len(self.starts) + len(short))))
+        self.starts = np.concatenate([self.starts, len(self.values) + ends - lengths[short]])
+        self.lengths = np.concatenate([self.lengths, lengths[short]])
+        self.values = np.concatenate([self.values, all_values[own]])
+        self.bytes += sum(len(spelled[i]) + CACHE_ENTRY for i in short.tolist()) + 4 * len(own)
+        return all_values, starts, lengths
 
 
 class Classes:

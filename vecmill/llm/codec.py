@@ -15,16 +15,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from vecmill.llm import bpe as B
-from vecmill.llm.columnar import buffers, encoded, id_text, map_arrow, slices, spread_ranges, strings
+from vecmill.llm.columnar import buffers, encoded, id_text, kept, map_arrow, slices, spread_ranges, strings
 from vecmill.llm.transducer import pieces, unspaced_machine
 
 # UTF-8 bytes of characters from U+0300 on start with 0xCC or more; U+0130 is 0xC4 0xB0.
 SIMPLE_BELOW = 0xCC
 
 
-@cache
 def _seen(path: str) -> B.WordCache:
-    return B.WordCache()
+    return kept(("codec", path), B.WordCache)
 
 
 def _normalize(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

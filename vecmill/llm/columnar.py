@@ -7,6 +7,8 @@ Everything works on whole texts. A batch is cut into slices of documents with ab
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +34,37 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+# What the functions of a task keep from one batch to the next.
+_KEPT: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """The object that this task keeps under ``key``, made when it is first asked for."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+@contextmanager
+def task_memory() -> Iterator[None]:
+    """Workers go on to other tasks: what a task has kept is freed at its end."""
+    _KEPT.clear()
+    try:
+        yield
+    finally:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` of a function from one record batch to one record batch or None."""
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None:
-                yield out
+        with task_memory():
+            for batch in batches:
+                if batch.num_rows and (out := function(batch)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

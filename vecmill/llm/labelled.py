@@ -26,10 +26,22 @@ def sample_ids(labels: DataFrame, label: str, folds: int, held: int, bound: int,
         .agg(F.max(label).cast("int").alias("label"))
         .withColumn("rank", F.xxhash64(F.col("doc_id").cast("string"), F.lit(label)))
     )
-    classes = [known.where(F.col("label") == c).orderBy("rank", "doc_id").limit(bound) for c in (0, 1)]
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    classes = []
+    for c in (0, 1):
+        # A cut of the hash leaves little more than ``bound`` rows to be sorted, however many tasks there are.
+        share = min(1.0, (bound + 6 * bound**0.5 + 6) / max(counts.get(c, 0), 1))
+        own = known.where((F.col("label") == c) & (F.shiftrightunsigned("rank", 11) <= int(share * (1 << 53))))
+        classes.append(own.orderBy("rank", "doc_id").limit(bound))
     return classes[0].unionByName(classes[1]).select("doc_id", "label")
 
 
+def class_totals(labels: DataFrame, label: str, folds: int, held: int, id_col: str = "doc_id") -> dict[int, int]:
+    """Rows of each class among the labels outside the held-out fold."""
+    learnt = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (remainder(id_col, folds) != held))
+    return {r["c"]: r["n"] for r in learnt.groupBy(F.col(label).cast("int").alias("c")).agg(F.count("*").alias("n")).collect()}
+
+
 def hashes(distinct: pa.Array) -> np.ndarray:
     """A 64-bit hash of each of the distinct byte strings, the same in every process."""
     count = len(distinct)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from vecmill.llm.codec import encode_texts
-from vecmill.llm.columnar import bound_batches, buffers, id_text, slices
+from vecmill.llm.columnar import bound_batches, buffers, id_text, slices, task_memory
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -144,6 +144,10 @@ def pack(
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task_memory():
+            yield from packed(batches)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens)
         id_type = None
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecmill.llm.columnar import bound_batches, buffers, encoded, id_text, map_arrow, slices, strings, words
-from vecmill.llm.labelled import Adam, hashes, platt, remainder, sample_ids, sigmoid
+from vecmill.llm.labelled import Adam, class_totals, hashes, platt, remainder, sample_ids, sigmoid
 
 UNIT_BITS = 11
 UNITS = 1 << UNIT_BITS
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     kind = source.schema["doc_id"].dataType.simpleString()
     found = map_arrow(source, run, f"doc_id {kind}, label int, features array<float>").toPandas()
     found = found.sort_values(["doc_id", "label"], kind="stable").drop_duplicates("doc_id")
-    totals = {r["c"]: r["n"] for r in labels.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("int").alias("c")).agg(F.count("*").alias("n")).collect()}
+    totals = class_totals(labels, label, FOLDS, HELD)
     y = found["label"].to_numpy(int)
     x = np.stack(found["features"].to_numpy()).astype(np.float32) if len(found) else np.zeros((0, 3 * DIM + 4), np.float32)
     weights = np.ones(len(y))

@@ -13,13 +13,13 @@ from vecmill.llm.bottomk import FILTER_WORDS, id_filter
 from vecmill.llm.columnar import buffers, map_arrow, slices
 
 
-def keep_rows(docs: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], text_col: str = "text") -> DataFrame:
-    """Rows for which ``keep(bytes, offsets)`` is true; one scan, no shuffle, all columns."""
+def keep_rows(docs: DataFrame, keep: Callable[[np.ndarray, np.ndarray, pa.RecordBatch], np.ndarray], text_col: str = "text") -> DataFrame:
+    """Rows for which ``keep(bytes, offsets, rows)`` is true; one scan, no shuffle, all columns."""
     place = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = buffers(batch.column(place))
-        kept = [keep(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
+        kept = [keep(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch.slice(a, b - a)) for a, b in slices(offsets)]
         return batch.filter(pa.array(np.concatenate(kept)))
 
     return map_arrow(docs, run, docs.schema)

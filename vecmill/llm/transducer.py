@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecmill.llm import bpe as B
-from vecmill.llm.columnar import buffers, encoded, id_text, map_arrow, segment_sum, slices, strings
+from vecmill.llm.columnar import buffers, encoded, id_text, kept, map_arrow, segment_sum, slices, strings
 
 CHUNK = 256
 LONG_PIECE = 256
@@ -200,9 +200,8 @@ def compile_counts(bpe: B.Bpe, words: pa.Array) -> tuple[np.ndarray, np.ndarray]
     return counts, np.ones(len(counts), np.int64)
 
 
-@cache
 def _seen(path: str) -> B.WordCache:
-    return B.WordCache()
+    return kept(("transducer", path), B.WordCache)
 
 
 def count_texts(path: str, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
