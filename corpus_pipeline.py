@@ -22,13 +22,14 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of at least 0.3."""
     model = quality.fit(docs, _labels(spark, sf_dir))
-    return keep_rows(docs, lambda data, offsets: model.score(data, offsets) >= quality.CUT)
+    return keep_rows(docs, lambda data, offsets, rows: model.score(data, offsets) >= quality.CUT)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.3."""
+    """Documents with a toxicity score below the threshold of their language, or 0.3 where the labels
+    are too few for one."""
     model = toxicity.fit(docs, _labels(spark, sf_dir))
-    return keep_rows(docs, lambda data, offsets: model.score(data, offsets) < toxicity.CUT)
+    return keep_rows(docs, lambda data, offsets, rows: model.score(data, offsets) < model.limits(rows.column("lang"), toxicity.CUT))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
