@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecmill.llm.columnar import bound_batches
 from vecmill.llm.components import components
@@ -86,7 +87,7 @@ def _projected(classes: DataFrame, size: int, directions: np.ndarray, reach: flo
     return classes.mapInArrow(run, f"{schema}, place array<double>, {', '.join(f'{n} int' for n in names)}")
 
 
-def _blocks(sorted_rows: DataFrame, size: int, label_type: str) -> DataFrame:
+def _blocks(sorted_rows: DataFrame, size: int, label_type: str, single: bool) -> DataFrame:
     """Consecutive rows of one label as blocks with their bounding boxes."""
 
     def emit(rows: list[pa.RecordBatch], serial: int) -> pa.RecordBatch:
@@ -94,13 +95,14 @@ def _blocks(sorted_rows: DataFrame, size: int, label_type: str) -> DataFrame:
         chunk = lambda name: table.column(name).combine_chunks()
         place = chunk("place")
         place = place.flatten().to_numpy().reshape(len(place), -1)
-        unit = _unit(_vectors(chunk("embedding"), size))
+        # As in the table: single precision travels as such and is made unit length where it is compared.
+        own = _vectors(chunk("embedding"), size).astype(np.float32 if single else np.float64)
         columns = [
             pa.array([serial]), table.column("label").slice(0, 1).combine_chunks(), table.column("dims").slice(0, 1).combine_chunks(),
             pa.array([place.min(axis=0).tolist()]), pa.array([place.max(axis=0).tolist()]),
-            pa.array([chunk("class_id").to_pylist()]), pa.array([chunk("copies").to_pylist()]), pa.array([unit.tobytes()], pa.binary()),
+            pa.array([chunk("node").to_pylist()]), pa.array([chunk("copies").to_pylist()]), pa.array([own.tobytes()], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["serial", "label", "dims", "low", "high", "ids", "copies", "unit"])
+        return pa.RecordBatch.from_arrays(columns, ["serial", "label", "dims", "low", "high", "ids", "copies", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial, held, count, key = TaskContext.get().partitionId() << PART_BITS, [], 0, None
@@ -119,7 +121,7 @@ def _blocks(sorted_rows: DataFrame, size: int, label_type: str) -> DataFrame:
         if held:
             yield emit(held, serial)
 
-    schema = f"serial long, label {label_type}, dims int, low array<double>, high array<double>, ids array<long>, copies array<long>, unit binary"
+    schema = f"serial long, label {label_type}, dims int, low array<double>, high array<double>, ids array<long>, copies array<long>, own binary"
     return sorted_rows.mapInArrow(run, schema)
 
 
@@ -172,17 +174,19 @@ def _local_roots(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tu
         a, b = new_a, new_b
 
 
-def _compare(pairs: DataFrame, blocks: DataFrame, cosine: float) -> DataFrame:
-    """``class_id, root, links`` of each vector that has a link in a pair of blocks."""
-    side = lambda x: blocks.select(F.col("serial").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("ids", "copies", "unit")])
+def _compare(pairs: DataFrame, blocks: DataFrame, cosine: float, single: bool) -> DataFrame:
+    """``node, root, links`` of each class that has a link in a pair of blocks."""
+    side = lambda x: blocks.select(F.col("serial").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("ids", "copies", "own")])
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids_a, ids_b = np.array(row["ids_a"]), np.array(row["ids_b"])
-                unit_a = np.frombuffer(row["unit_a"]).reshape(len(ids_a), -1)
-                unit_b = np.frombuffer(row["unit_b"]).reshape(len(ids_b), -1)
+                unit_a, unit_b = (
+                    _unit(np.frombuffer(row[c], np.float32 if single else np.float64).reshape(len(ids), -1).astype(np.float64))
+                    for c, ids in (("own_a", ids_a), ("own_b", ids_b))
+                )
                 product = unit_a @ unit_b.T
                 linked = product >= cosine
                 for i, j in zip(*np.nonzero(np.abs(product - cosine) < 1e-12)):
@@ -199,9 +203,34 @@ def _compare(pairs: DataFrame, blocks: DataFrame, cosine: float) -> DataFrame:
                     some_b = linked.any(axis=0)
                     out.append((ids_b[some_b], root_b[some_b], links_b[some_b]))
                 arrays = [pa.array(np.concatenate(x)) for x in zip(*out)]
-                yield pa.RecordBatch.from_arrays(arrays, ["class_id", "root", "links"])
+                yield pa.RecordBatch.from_arrays(arrays, ["node", "root", "links"])
 
-    return joined.mapInArrow(run, "class_id long, root long, links long")
+    return joined.mapInArrow(run, "node long, root long, links long")
+
+
+def _numbered(members: DataFrame) -> DataFrame:
+    """``members`` with a number ``node`` that only one class has: its smallest id, or, where classes
+    have the same one (repeated ids with different vectors), a number that is no id."""
+    several = members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
+    if several.isEmpty():
+        return members.withColumn("node", F.col("class_id"))
+    low, high = members.agg(F.min("class_id"), F.max("class_id")).first()
+    base = high + 1 if high < 1 << 61 else low - (1 << 61)
+    shared = members.join(several, "class_id", "left_semi").withColumn("node", F.lit(base) + F.monotonically_increasing_id())
+    alone = members.join(several, "class_id", "left_anti").withColumn("node", F.col("class_id"))
+    return cut_lineage(alone.unionByName(shared.select(*alone.columns)), "vector-classes")
+
+
+def _components(found: DataFrame, members: DataFrame) -> DataFrame:
+    """``node, component`` with the smallest id of each component; its smallest number unless a class
+    in it has a number that is no id."""
+    roots = components(found, "node", "root")
+    named = members.where("node != class_id").select("node", "class_id")
+    if named.isEmpty():
+        return roots
+    smallest = roots.join(members.select("node", "class_id"), "node").groupBy("component").agg(F.min("class_id").alias("smallest"))
+    changed = named.join(roots, "node").select("component").distinct().join(smallest, "component")
+    return roots.join(changed, "component", "left").select("node", F.coalesce("smallest", "component").alias("component"))
 
 
 def link(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -227,26 +256,26 @@ def link(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec
     )
     good = keyed.where("usable")
     members = good.groupBy("class_key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"))
-    members = cut_lineage(members, "vector-classes")
+    members = _numbered(cut_lineage(members, "vector-classes"))
     leaders = good.join(members, (F.col("vec_id") == F.col("class_id")) & (good["class_key"] == members["class_key"]))
-    classes = leaders.select("class_id", "copies", "label", F.size("embedding").alias("dims"), "embedding").dropDuplicates(["class_id", "label"])
+    classes = leaders.select("node", "copies", "label", F.size("embedding").alias("dims"), "embedding").dropDuplicates(["node"])
     classes = cut_lineage(classes, "vector-leaders")
     size = classes.agg(F.max("dims")).first()[0]
     if size is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     directions = _directions(classes, size)
     cells = [f"cell{j}" for j in range(directions.shape[1])]
-    order = ["label", "dims", *cells, "class_id"]
+    order = ["label", "dims", *cells, "node"]
     placed = _projected(classes, size, directions, reach)
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartitionByRange(count, *order).sortWithinPartitions(*order)
-    blocks = cut_lineage(_blocks(ordered, size, rows.schema["label"].dataType.simpleString()), "blocks")
-    found = cut_lineage(_compare(_near_blocks(blocks, reach, directions.shape[1]), blocks, cosine), "vector-links")
-    totals = found.groupBy("class_id").agg(F.sum("links").alias("links"))
-    roots = components(found, "class_id", "root")
+    single = isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType)
+    blocks = cut_lineage(_blocks(ordered, size, rows.schema["label"].dataType.simpleString(), single), "blocks")
+    found = cut_lineage(_compare(_near_blocks(blocks, reach, directions.shape[1]), blocks, cosine, single), "vector-links")
+    totals = found.groupBy("node").agg(F.sum("links").alias("links"))
     result = (
-        members.join(totals, "class_id", "left")
-        .join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
+        members.join(totals, "node", "left")
+        .join(_components(found, members), "node", "left")
         .select(
             "class_key",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
