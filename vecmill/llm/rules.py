@@ -33,6 +33,8 @@ RATES = {
 }
 FENCE = 3.0
 SKETCH_K = 400
+# Rates that a group needs for fences of its own.
+LEAST_ROWS = 20
 
 
 def _repeats(codes: np.ndarray, texts: np.ndarray, rows: int) -> np.ndarray:
@@ -112,20 +114,29 @@ def count_texts(docs: DataFrame, id_col: str, text_col: str, groups: tuple[str,
     return map_arrow(source, run, schema)
 
 
-def fences(counted: DataFrame, names: list[str]) -> DataFrame:
+def fences(counted: DataFrame, names: list[str], least: int = LEAST_ROWS) -> DataFrame:
     """The highest usual rate of each group: the upper quartile and ``FENCE`` times the distance of
-    the quartiles, at least the rule's own margin above the upper quartile."""
-    sketches = [
-        F.kll_sketch_agg_double(F.expr(rate).cast("double"), SKETCH_K).alias(r)
-        for r, (rate, _) in RATES.items()
-    ]
-    grouped = counted.groupBy(*names).agg(*sketches)
+    the quartiles, at least the rule's own margin above the upper quartile.
+
+    A group with fewer than ``least`` rates takes the fences of its first name (the language), and those
+    of all documents where that has too few too. All levels come from one pass.
+    """
+    sketches = [F.kll_sketch_agg_double(F.expr(rate).cast("double"), SKETCH_K).alias(r) for r, (rate, _) in RATES.items()]
+    rolled = counted.rollup(*names).agg(F.grouping_id().alias("_level"), *sketches)
     highest = []
     for r, (_, margin) in RATES.items():
-        filled = F.kll_sketch_get_n_double(r) > 0
-        low, high = (F.when(filled, F.kll_sketch_get_quantile_double(r, F.lit(q))) for q in (0.25, 0.75))
-        highest.append((high + F.greatest(FENCE * (high - low), F.lit(margin))).alias(f"{r}_most"))
-    return grouped.select(*names, *highest)
+        n = F.kll_sketch_get_n_double(r)
+        enough = n >= F.when(F.col("_level") == (1 << len(names)) - 1, 1).otherwise(least)
+        low, high = (F.when(enough, F.kll_sketch_get_quantile_double(r, F.lit(q))) for q in (0.25, 0.75))
+        highest.append((high + F.greatest(FENCE * (high - low), F.lit(margin))).alias(r))
+    # Sketches draw random bits, so what they say is written once and every row is judged by the same.
+    levels = cut_lineage(rolled.select(*names, "_level", *highest), "fences")
+    top = levels.where(F.col("_level") == (1 << len(names)) - 1).first()
+    parent = levels.where(F.col("_level") == (1 << (len(names) - 1)) - 1)
+    parent = parent.select(F.col(names[0]).alias("_parent"), *[F.col(r).alias(f"{r}_parent") for r in RATES])
+    joined = levels.where("_level = 0").join(parent, F.col(names[0]).eqNullSafe(F.col("_parent")), "left")
+    limits = [F.coalesce(r, f"{r}_parent", F.lit(top[r] if top else None).cast("double")).alias(f"{r}_most") for r in RATES]
+    return joined.select(*names, *limits)
 
 
 def apply_rules(
@@ -139,7 +150,8 @@ def apply_rules(
 
     ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``. A
     null or empty text has no words and fails. A null language or source is a group of its own.
-    Repeated ids are judged row by row. An empty table gives an empty result.
+    Repeated ids are judged row by row. Quartiles of groups of more than ``SKETCH_K`` rates are those of
+    a sketch, within about one percent in rank. An empty table gives an empty result.
     """
     names = [f"_group{i}" for i in range(len(groups))]
     counted = cut_lineage(count_texts(docs, id_col, text_col, groups), "rule-counts")
