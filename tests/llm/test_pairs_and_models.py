@@ -6,10 +6,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF
-from vecmill.llm import bottomk, components, ego, lm, quality, toxicity
+from vecmill.llm import bottomk, components, ego, labelled, lm, quality, toxicity
 
 
 def joined(ids, links):
@@ -85,6 +86,18 @@ def test_embedding_links(spark):
     assert len(links) > 100 and found == {i: (count[i], want[i], want[i] == i) for i in want}
 
 
+def test_embedding_links_of_repeated_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(1, a, 0), (1, b, 0), (2, near(a), 0), (3, near(b), 0), (4, near(near(b)), 0), (1, c, 1), (5, near(c), 1), (6, near(c), 0), (7, c, 1)]
+    for kind in ("double", "float"):
+        found = sorted(tuple(r) for r in ego.link(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")).collect())
+        assert found == [
+            (1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False),
+            (5, 2, 1, False), (6, 0, 6, True), (7, 2, 1, False),
+        ]
+
+
 @pytest.fixture(scope="module")
 def data(spark):
     folder = SF.replace("0.001", "0.1")
@@ -102,6 +115,15 @@ def test_classifiers_on_held_out_rows(spark, data, module, label, least):
     assert module.score(odd.limit(0), module.fit(odd.limit(0), labels)).count() == 0
 
 
+@pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
+def test_held_out_labels_change_nothing(spark, module, label):
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    held = labelled.remainder("doc_id", module.FOLDS) == module.HELD
+    changed = labels.withColumn(label, F.when(held, 1 - F.col(label)).otherwise(F.col(label)).cast("int"))
+    scores = [{r.doc_id: r.score for r in module.score(docs, module.fit(docs, own)).collect()} for own in (labels, changed)]
+    assert scores[0] == scores[1]
+
+
 def test_language_model_beats_frequencies(spark, data):
     docs = data[0]
     words = lm.vocabulary(docs)

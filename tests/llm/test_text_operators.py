@@ -94,6 +94,29 @@ def test_rules_keep_usual_documents(spark):
     assert {r.doc_id: r.kept for r in rows} == {**{i: True for i in range(40)}, 99: False}
 
 
+def test_fences_of_groups_and_pools(spark):
+    rng = random.Random(6)
+    rows = [(lang, source, 100, rng.randint(400, 800), rng.randint(0, 40), 0, rng.randint(0, 90)) for lang, source, n in
+            (("en", "a", 900), ("en", "b", 30), ("en", "c", 3), ("de", "a", 5), (None, "a", 25), (None, None, 2)) for _ in range(n)]
+    names = ["_group0", "_group1"]
+    counted = spark.createDataFrame(rows, ", ".join(["_group0 string", "_group1 string", *[f"{c} long" for c in rules.COUNTS]]))
+    found = {(r[0], r[1]): r for r in rules.fences(counted, names).collect()}
+    frame = counted.toPandas()
+    for (lang, source), row in found.items():
+        own = frame[(frame["_group0"].fillna("") == (lang or "")) & (frame["_group1"].fillna("") == (source or ""))]
+        if len(own) < rules.LEAST_ROWS:
+            own = frame[frame["_group0"].fillna("") == (lang or "")]
+        if len(own) < rules.LEAST_ROWS:
+            own = frame
+        for rate, values, margin in (("symbol_rate", own["n_symbols"] / own["word_chars"], 0.05), ("word_length", own["word_chars"] / 100, 2.0)):
+            # The sketch may be off by some ranks, never by more than two in a hundred.
+            at = lambda q: np.quantile(values, np.clip(q, 0, 1))  # noqa: E731, B023
+            low, high = (at(0.73) + max(3 * (at(0.73) - at(0.27)), margin), at(0.77) + max(3 * (at(0.77) - at(0.23)), margin))
+            slack = 0.03 * (values.max() - values.min()) if len(own) < 50 else 0
+            assert low - slack - 1e-9 <= row[f"{rate}_most"] <= high + 4 * slack + 1e-9
+    assert len(found) == 6 and found["en", "c"][2:] != found["en", "a"][2:]
+
+
 def plain_spans(text):
     digits = lambda m: re.sub("[^0-9]", "", m.group())
     found = lambda p, ok: [m.span() for m in re.finditer(p, text) if ok(m)]
@@ -145,6 +168,29 @@ def test_known_secrets_in_a_small_table(spark):
     assert {r.text for r in pii.redact(docs, model).collect()} == {"key [secret] end", "[secret], y", "plain"}
 
 
+def test_secrets_as_they_are_written(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    forms = [f'a token = "{key}" b', f"TOKEN = '{key.upper()}', c", f"api-key: {key}", f'{{"password" : "{key}"}}', f"secret={key}."]
+    plain = ["version 1.2.3 of 2024", "it costs 12345678 or so", "token = none", "see https://a.b/c?d=1"]
+    docs = spark.createDataFrame(list(enumerate(forms + plain)), "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in pii.redact(docs, pii.fit(docs)).collect()}
+    assert all(key not in texts[i].lower() and "[secret]" in texts[i] for i in range(len(forms)))
+    assert [texts[len(forms) + i] for i in range(len(plain))] == plain
+
+
+def test_planted_secrets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null")
+    model = pii.fit(docs)
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
+    planted = re.compile(r'token = "[0-9a-f]{40}"', re.I)
+    held = [i for i, text in before.items() if planted.search(text)]
+    assert len(held) > 100 and sum(bool(planted.search(after[i])) for i in held) <= 0.05 * len(held)
+    # Texts without a digit, an @ or an assignment hold nothing to redact.
+    clean = [i for i, text in before.items() if not re.search(r"[0-9@=:]", text)]
+    assert len(clean) > 1000 and all(after[i] == before[i] for i in clean)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     for frame in (transducer.token_counts(none, BYTE), codec.digests(none, WORD), packing.pack(none, WORD), rules.apply_rules(none), pii.detect(none, pii.fit(none))):

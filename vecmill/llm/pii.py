@@ -3,8 +3,9 @@
 The base formats (mail address, IP address, card number, telephone number) are always reported.
 High-recall generators propose further spans, which may overlap; gradient-boosted trees over the
 format of a span and its context score them, and a calibrated threshold selects. The trees learn from
-the corpus itself: candidates that hold a checked format or a known form of a secret are examples,
-all others are counter-examples. Only texts with one of the characters that any span needs are read
+the corpus itself. Candidates in a checked format, and values that stand behind a word such as
+"token" and are as mixed as keys are, are examples; what is neither mixed nor announced is a
+counter-example, and all others stay unlabelled. Only texts with one of the characters that any span needs are read
 character by character.
 """
 
@@ -14,6 +15,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +37,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone", "secret", "number")
 
 # Forms of secrets that serve as examples.
-KNOWN_SECRET = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|secret|token|api_?key)[=:][A-Za-z0-9+/_-]{12,}", re.I)
+KNOWN_SECRET = re.compile(
+    r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"'`]?[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"'`]?[A-Za-z0-9+/_-]{12,}", re.I
+)
 
 # Generators: any run without white space that holds a digit, a sign of assignment or an @, the pieces
 # of such a run between separators or characters beyond ASCII, the values in a piece, and any row of
@@ -54,6 +58,8 @@ SAMPLE = 20_000
 ROUNDS, DEPTH, RATE, BINS = 40, 3, 0.2, 32
 PRECISION = 0.99
 FEATURES = 14
+# Values at least this long, of at least this many bits a character, are as mixed as keys are.
+MIXED_LENGTH, MIXED_BITS = 16, 3.0
 
 
 def luhn(digits: str) -> bool:
@@ -152,10 +158,24 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
-def example(text: str, kind: str, start: int, end: int, base: dict[str, list[tuple[int, int]]]) -> int:
-    """1 if the span lies in a base span or holds one or a known secret, else 0."""
-    inside = any(a < end and start < b for spans in base.values() for a, b in spans)
-    return int(inside or bool(KNOWN_SECRET.search(text, start, end)))
+def mixed(value: str) -> bool:
+    """Whether a value is as mixed as a key: long, with digits, and of many different characters."""
+    if len(value) < MIXED_LENGTH or not any(c.isdigit() for c in value):
+        return False
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values()) >= MIXED_BITS
+
+
+def example(text: str, kind: str, start: int, end: int, base: dict[str, list[tuple[int, int]]], known: list[tuple[int, int]]) -> int | None:
+    """1 if the span overlaps a base span or a known secret, or is a mixed value behind a hint; 0 if it
+    is neither mixed nor behind a hint; else unknown."""
+    if any(a < end and start < b for spans in (*base.values(), known) for a, b in spans):
+        return 1
+    own = text[start:end]
+    sign = "=" if "=" in own else ":"
+    key, _, value = own.partition(sign)
+    hint = bool(HINTS.search(text[max(0, start - 16) : start]) or (value and HINTS.search(key[-64:])))
+    is_mixed = kind == "secret" and (mixed(value) if value else mixed(own))
+    return int(hint) if hint == is_mixed else None
 
 
 @dataclass
@@ -228,17 +248,30 @@ def _readable_texts(texts: pa.Array) -> list[int]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Trees:
-    """Trees from at most ``sample`` candidates, chosen by hash from those of all texts; a fifth of
-    them calibrates the probability and sets the threshold. With too little to learn from, every candidate has the share of examples."""
+    """Trees from at most ``sample`` labelled candidates, chosen by hash from those of all texts; a
+    fifth of them calibrates the probability and sets the threshold. A first scan counts the labelled
+    candidates, so that tasks pass on little more than the sample. With too little to learn from,
+    every candidate has the share of examples."""
+
+    def labelled(text: str) -> Iterator[tuple[int, str, int, int]]:
+        base, known = base_spans(text), known_secrets(text)
+        for kind, start, end in candidates(text):
+            if (label := example(text, kind, start, end, base, known)) is not None:
+                yield label, kind, start, end
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text")
+        n = sum(1 for row in _readable(batch) for _ in labelled(texts[row].as_py()))
+        return pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows = []
         for row in _readable(batch):
             text = batch.column("text")[row].as_py()
-            base = base_spans(text)
-            for kind, start, end in candidates(text):
-                mark = hashlib.blake2b(f"{start}:{text[max(0, start - 24):end]}".encode(), digest_size=8).digest()
-                rows.append((int.from_bytes(mark, "little", signed=True), example(text, kind, start, end, base), features(text, kind, start, end)))
+            for label, kind, start, end in labelled(text):
+                mark = int.from_bytes(hashlib.blake2b(f"{start}:{text[max(0, start - 24):end]}".encode(), digest_size=8).digest(), "little")
+                if mark <= cut:
+                    rows.append((mark - (1 << 63), label, features(text, kind, start, end)))
         if not rows:
             return None
         columns = list(zip(*rows))
@@ -246,6 +279,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Trees:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["mark", "label", "features"])
 
     source = docs.select(F.col(text_col).cast("string").alias("text"))
+    total = map_arrow(source, count, "n long").agg(F.sum("n")).first()[0] or 0
+    cut = int(min(1.0, (sample + 6 * sample**0.5) / max(total, 1)) * ((1 << 64) - 1))
     found = map_arrow(source, run, "mark long, label int, features array<double>")
     rows = found.orderBy("mark", "label", "features").limit(sample).toPandas()
     y = rows["label"].to_numpy(float)
