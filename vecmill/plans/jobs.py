@@ -82,11 +82,13 @@ def process_table(
     batch_size: int,
     checkpoint: str | None = None,
     max_files: int | None = None,
+    commit_rows: int | None = None,
 ) -> str:
     """The table form: via float32, at most ``batch_size`` rows to a file.
 
     Without ``checkpoint`` the result is one new version of the target, so readers see all of it
-    or nothing. With it, new files of ``source`` are worked through in chunks of ``max_files``.
+    or nothing. With it, new files of ``source`` are worked through in chunks of ``max_files``, or, with
+    ``commit_rows``, in commits of at most so many rows, rounded to row groups.
     """
     size = batch_rows(batch_size)
     out = f"{target}/batch_size={size}"
@@ -95,7 +97,7 @@ def process_table(
         return append_scaled(df, via="float32")
 
     if checkpoint is not None:
-        process_chunks(spark, source, out, checkpoint, transform, max_files)
+        process_chunks(spark, source, out, checkpoint, transform, max_files, max_rows=commit_rows)
         return out
     versioned = latest_version(spark, source) is not None
     table = read_version(spark, source) if versioned else read_parquet(spark, source)

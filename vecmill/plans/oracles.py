@@ -162,6 +162,11 @@ FROM embeddings GROUP BY label
 UNION ALL SELECT 'label=-1/part', 'label=-1/processed_part', 0, 0, NULL, NULL""",
     "overwrite_then_append": SCALED,
     "incremental_events": "SELECT event_id, user_id, event_type, value, props FROM events",
+    "row_commits": f"""
+SELECT event_id, user_id, event_type, value,
+       ((row_number() OVER (ORDER BY event_id) - 1)
+        // ({Q.COMMIT_GROUPS} * ((count(*) OVER () + {Q.ROW_GROUPS} - 1) // {Q.ROW_GROUPS})))::BIGINT AS batch_id
+FROM events""",
     "param_partition": (
         "SELECT vec_id, label, unnest([64, 128])::BIGINT AS batch_size FROM embeddings"
     ),

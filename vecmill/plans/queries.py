@@ -10,6 +10,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,9 @@ SAMPLE = 100
 LOADER_BATCH = 8
 EPOCHS = 2
 REPORT_BATCH = 128
+# Row groups of a large file, and how many of them a commit has room for.
+ROW_GROUPS = 10
+COMMIT_GROUPS = 2
 SHARDS = 3
 COPIES = 100
 TOP_K = 10
@@ -228,6 +232,29 @@ def incremental_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def row_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file of events, committed in chunks of bounded rows; the job stops after two and goes on."""
+    source, target = scratch_path(spark, "large-file"), scratch_path(spark, "row-commits")
+    progress, done = scratch_path(spark, "progress"), []
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    ordered = events.coalesce(1).sortWithinPartitions("event_id")
+    group = -(-events.count() // ROW_GROUPS)
+    ordered.write.option("parquet.block.row.count.limit", group).parquet(source)
+    most = group * COMMIT_GROUPS + group // 2
+
+    def stopping(chunk: DataFrame) -> DataFrame:
+        if len(done) == 2:
+            raise InterruptedError("stopped on purpose")
+        done.append(chunk)
+        return chunk
+
+    try:
+        process_chunks(spark, source, target, progress, stopping, max_rows=most)
+    except StreamingQueryException:
+        process_chunks(spark, source, target, progress, lambda df: df, max_rows=most)
+    return sources.read_parquet(spark, target).withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
 def param_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "by-parameter")
     scaled = append_scaled(_corpus(spark, sf_dir))
@@ -622,6 +649,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         shard_outputs,
         overwrite_then_append,
         incremental_events,
+        row_commits,
         param_partition,
         compact_files,
         strategy_parity,
