@@ -250,6 +250,7 @@ SELECT doc_id, {X.MAX_LENGTH}::BIGINT AS length, coalesce(len(ids), 0) + 2 AS n_
 FROM documents LEFT JOIN ids USING (doc_id)""",
     "bm25_topk": BM25,
     "benchmark_topk": BENCHMARK,
+    "indexed_topk": BENCHMARK,
     "sparse_topk": SPARSE,
     "reindex_scored": """
 SELECT doc_id, lang, len(regexp_extract_all(text, '[A-Za-z]+')) AS n_words FROM documents""",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vecmill.functions import messages as M
 from vecmill.functions.text import words
 from vecmill.functions.vectors import append_scaled, argmax, cast_elements
-from vecmill.operators import batches, columns, metrics, parity, sampling, search, shards, tokenizing
+from vecmill.operators import batches, columns, index, metrics, parity, sampling, search, shards, tokenizing
 from vecmill.operators.upsert import upsert
 from vecmill.plans import jobs
 from vecmill.session import cut_lineage, scratch_path
@@ -526,6 +526,16 @@ def benchmark_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hits as ``benchmark_topk``, from an index that is written first."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    path = scratch_path(spark, "index")
+    index.build_index(_documents(spark, sf_dir), "doc_id", "text", path)
+    return index.index_topk(spark, path, items, TOP_K, "doc_id").select(
+        "query", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")
+    )
+
+
 def _term_weights(batch: pa.Table) -> pa.Table:
     """A stand-in for a sparse model: relative term frequencies."""
     lists = batch["words"].combine_chunks()
@@ -677,6 +687,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_ids,
         bm25_topk,
         benchmark_topk,
+        indexed_topk,
         sparse_topk,
         reindex_scored,
         prompt_requests,
