@@ -264,6 +264,17 @@ FROM conversations m
 LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations
            WHERE role = 'system' GROUP BY conv_id) s USING (conv_id)
 WHERE m.role <> 'system'""",
+    "request_parts": f"""
+WITH placed AS (SELECT *, coalesce(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {Q.PART_BYTES} AS slot
+                FROM conversations WHERE text IS NOT NULL),
+     said AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY slot) - 1 AS part
+              FROM placed WHERE role <> 'system')
+SELECT m.conv_id || CASE WHEN m.part = 0 THEN '' ELSE '-' || m.part END AS record_id, m.conv_id, m.part, s.text AS system,
+       row_number() OVER (PARTITION BY m.conv_id, m.part ORDER BY m.turn, m.role, m.text) - 1 AS pos, m.role, m.text AS content
+FROM said m
+LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations
+           WHERE role = 'system' GROUP BY conv_id) s USING (conv_id)""",
     "replicate_rows": (
         f"SELECT conv_id, turn, role, unnest(range({Q.COPIES})) AS rep FROM conversations"
     ),
@@ -271,6 +282,13 @@ WHERE m.role <> 'system'""",
         f"SELECT '{{t}}' AS table_name, count(*) AS rows, count(*) >= {M.BATCH_MINIMUM} "
         "AS meets_minimum FROM {t}"
     ),
+    "response_check": """
+SELECT conv_id, turn, role, role = 'assistant' AS valid,
+       CASE WHEN role = 'assistant' THEN NULL WHEN role = 'system' THEN 'missing $.hits.hits[0]._source'
+            WHEN role = 'user' AND turn = 0 THEN 'other type at top' ELSE 'not JSON' END AS reason,
+       CASE WHEN role = 'system' THEN '{"hits":{"hits":[]}}' WHEN role = 'user' AND turn = 0 THEN '["text"]'
+            ELSE text END AS text
+FROM conversations""",
     "response_parse": """
 SELECT conv_id, turn, role = 'assistant' AS parsed, text FROM conversations""",
 }

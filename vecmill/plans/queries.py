@@ -42,6 +42,8 @@ REPORT_BATCH = 128
 ROW_GROUPS = 10
 COMMIT_GROUPS = 2
 SHARDS = 3
+PART_BYTES = 1000
+REQUEST_MINIMUM = 10
 COPIES = 100
 TOP_K = 10
 SYSTEM_PROMPT = "Answer in one sentence."
@@ -601,6 +603,20 @@ def prompt_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def request_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long conversations cut by the bytes of their turns; each part is a request with its own name,
+    written when there are enough of them."""
+    path = scratch_path(spark, "request-parts")
+    parts = M.conversations(_table(spark, sf_dir, "conversations"), max_bytes=PART_BYTES)
+    requests = cut_lineage(parts.select("conv_id", "part", M.record_id().alias("record_id"), M.request_json("messages", "system").alias("body")), "parts")
+    sinks.write_requests(requests, path, REQUEST_MINIMUM)
+    lines = spark.read.schema("conv_id long, part long, record_id string, body string").json(path)
+    request = lines.withColumn("r", F.from_json("body", M.REQUEST))
+    return request.select("record_id", "conv_id", "part", "r.system", F.posexplode("r.messages").alias("pos", "m")).select(
+        "record_id", "conv_id", "part", "system", F.col("pos").cast("long").alias("pos"), "m.role", "m.content"
+    )
+
+
 def replicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     copies = columns.replicate(turns, COPIES)
@@ -619,22 +635,39 @@ def batch_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assistant turn as a search response; the other turns are plain text, so no JSON."""
     turns = _table(spark, sf_dir, "conversations")
     source = F.struct(F.col("text").alias("title"), F.col("turn").alias("turn"))
     hit = F.struct(F.col("conv_id").cast("string").alias("_id"), source.alias("_source"))
     response = F.to_json(F.struct(F.struct(F.array(hit).alias("hits")).alias("hits")))
     body = F.when(F.col("role") == "assistant", response).otherwise(F.col("text"))
-    answers = turns.select("conv_id", "turn", body.alias("body"))
-    shape = "hits struct<hits:array<struct<_id:string,_source:struct<title:string,turn:long>>>>"
-    good, bad = M.parse_responses(answers, "body", shape)
+    return turns.select("conv_id", "turn", "role", body.alias("body"))
+
+
+RESPONSE = "hits struct<hits:array<struct<_id:string,_source:struct<title:string,turn:long>>>>"
+
+
+def response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = _answers(spark, sf_dir).drop("role")
+    good, bad = M.parse_responses(answers, "body", RESPONSE)
     first = F.col("response.hits.hits")[0]["_source"]["title"]
     return good.select("conv_id", "turn", F.lit(True).alias("parsed"), first.alias("text")).unionByName(
         bad.select("conv_id", "turn", F.lit(False).alias("parsed"), F.col("body").alias("text"))
     )
 
 
+def response_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with a reason for each that is no use; turns of system have a list without hits, the
+    first turn of a user's is a list."""
+    empty = F.when(F.col("role") == "system", F.lit('{"hits":{"hits":[]}}'))
+    listed = F.when((F.col("role") == "user") & (F.col("turn") == 0), F.lit('["text"]'))
+    answers = _answers(spark, sf_dir).withColumn("body", F.coalesce(empty, listed, "body"))
+    checked = M.check_responses(answers, "body", RESPONSE, ["$.hits.hits[0]._source"])
+    first = F.get("response.hits.hits", F.lit(0))["_source"]["title"]
+    return checked.select("conv_id", "turn", "role", "valid", "reason", F.coalesce(first, "body").alias("text"))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     result = parts[0]
     for part in parts[1:]:
@@ -691,8 +724,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sparse_topk,
         reindex_scored,
         prompt_requests,
+        request_parts,
         replicate_rows,
         batch_minimum,
         response_parse,
+        response_check,
     )
 }

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecmill.functions.messages import BATCH_MINIMUM
 from vecmill.functions.vectors import plain_encoding
 from vecmill.operators.columns import append_column, conform
+from vecmill.operators.metrics import require_minimum
 from vecmill.sources.files import dataset_bytes, file_rows, processed_name, relative_path
 
 FILE_BYTES = 1 << 30
@@ -102,3 +104,9 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "error") -> None:
     if [f.dataType for f in df.schema] != [T.StringType()]:
         df = df.select(F.to_json(F.struct("*")).alias("value"))
     df.write.mode(mode).text(path)
+
+
+def write_requests(requests: DataFrame, path: str, minimum: int = BATCH_MINIMUM, mode: str = "error") -> None:
+    """Requests as JSON lines, one to a row, or an error before anything is written when there are fewer
+    than a batch must hold. Pass written rows: they are read twice."""
+    write_json_lines(require_minimum(requests, minimum), path, mode)
