@@ -3,33 +3,39 @@
 Four tables below one path, all written once and read by any number of searches:
 
 - ``forward``: ``(id, len, terms)``, the counted words of each document;
-- ``blocks``: ``(term, level, seg, bound, ids, impacts)``, at most ``BLOCK`` postings each, from the
-  highest impact to the lowest. The impact is what BM25 gives for a posting without the weight of its
-  term, the level its whole number of ``1 / LEVELS``;
-- ``lexicon``: ``(term, level, n, bound)``, how many postings a term has on a level and the highest;
-- ``corpus``: one row, ``(docs, length, segments)``.
-
-A segment holds about ``SEGMENT`` documents by hash, so no list of a term, however frequent, is one
-group: a group is what one term has on one level of one segment.
+- ``blocks``: ``(term, level, draw, bound, ids, impacts)``, at most ``BLOCK`` postings of a term in a segment, those
+  of the highest impact first. The impact is what BM25 gives for a posting without the weight of its
+  term, rounded up to single precision; ``bound`` is the block's highest, ``level`` its whole number
+  of ``1 / LEVELS``;
+- ``lexicon``: ``(term, level, n, bound)``, how many postings a term has in blocks of a level, and the
+  highest bound of these;
+- ``corpus``: one row, ``(docs, length)``.
+
+A segment is a run of documents with ``SEGMENT`` postings that one task reads, so blocks are made without
+moving a row, and a term that nearly every document holds is no large group anywhere. ``draw`` is a
+number from 0 to 1 for each segment.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import zlib
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vecmill.functions.text import words
 from vecmill.operators.batches import map_batches
 from vecmill.operators.search import B, BROADCAST_BYTES, K1, query_table, query_terms, top_hits
 from vecmill.session import cut_lineage
 
-BLOCK = 128
-SEGMENT = 1 << 14
+BLOCK = 64
+SEGMENT = 1 << 21
 # Levels for each unit of impact; impacts lie between 0 and K1 + 1.
 LEVELS = 16
 # Postings of a query that are read, and documents of it that are scored, for its first threshold.
@@ -55,53 +61,95 @@ def _counted(batch: pa.Table) -> pa.Table:
     return batch.drop_columns("_words").append_column("terms", pa.ListArray.from_arrays(pa.array(offsets), entries))
 
 
-def _impact(mean_length: float) -> Column:
-    relative = F.lit(1.0 - B) + F.lit(B) * F.col("len") / F.lit(mean_length)
-    return F.col("tf") * F.lit(K1 + 1.0) / (F.col("tf") + F.lit(K1) * relative)
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Documents in pieces of about ``SEGMENT`` postings; a piece has one document at least."""
+    held, postings = [], 0
+    for batch in batches:
+        ends = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(ends):
+            before = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + SEGMENT - postings, "right")))
+            held.append(batch.slice(begin, end - begin))
+            postings += int(ends[end - 1] - before)
+            begin = end
+            if postings >= SEGMENT or begin < len(ends):
+                yield pa.Table.from_batches(held)
+                held, postings = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _cut_blocks(segment: pa.Table, mean_length: float) -> pa.Table:
+    """The blocks of one segment, in the order of their terms."""
+    lists = segment["terms"].combine_chunks()
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    entries = lists.flatten()
+    doc = np.repeat(np.arange(len(lists)), lengths)
+    tf = entries.field("tf").to_numpy().astype(np.float64)
+    relative = (1.0 - B) + B * segment["len"].to_numpy() / mean_length
+    impact = tf * (K1 + 1.0) / (tf + K1 * relative[doc])
+    single = impact.astype(np.float32)
+    single = np.where(single < impact, np.nextafter(single, np.float32(np.inf)), single)
+
+    encoded = entries.field("term").dictionary_encode()
+    by_name = pc.sort_indices(encoded.dictionary).to_numpy()
+    place = np.empty(len(by_name), np.int64)
+    place[by_name] = np.arange(len(by_name))
+    term = place[encoded.indices.to_numpy()]
+    order = np.lexsort((doc, -single, term))
+    term, single = term[order], single[order]
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    position = np.arange(len(term)) - np.repeat(first, np.diff(np.r_[first, len(term)]))
+    starts = np.flatnonzero(position % BLOCK == 0)
+    offsets = pa.array(np.r_[starts, len(term)].astype(np.int32))
+    bound = single[starts].astype(np.float64)
+    ids = segment["id"].combine_chunks().take(pa.array(doc[order]))
+    draw = zlib.crc32(str(segment["id"][0]).encode()) / 2.0**32
+    return pa.table(
+        {
+            "term": encoded.dictionary.take(pa.array(by_name[term[starts]])),
+            "level": pa.array(np.floor(bound * LEVELS).astype(np.int32)),
+            "draw": pa.array(np.full(len(starts), draw)),
+            "bound": pa.array(bound),
+            "ids": pa.ListArray.from_arrays(offsets, ids),
+            "impacts": pa.ListArray.from_arrays(offsets, pa.array(single)),
+        }
+    )
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
     """Write the index of ``docs`` below ``path``, which must not exist.
 
     ``id_col`` must be unique and not null. Documents without a word are not in it and do not count
-    for the corpus statistics. The texts are read once, their words counted before anything is
-    shuffled; the shuffle moves one row per document and term.
+    for the corpus statistics. The texts are read once and no row of theirs is shuffled; only the
+    lexicon, one row per term, level and task, is.
     """
     spark = docs.sparkSession
     analysed = docs.select(F.col(id_col).alias("id"), words(text_col).alias("_words")).withColumn("len", F.size("_words"))
     held = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
-    schema = T.StructType([analysed.schema["id"], T.StructField("len", T.IntegerType()), T.StructField("terms", held)])
+    key = analysed.schema["id"]
+    schema = T.StructType([key, T.StructField("len", T.IntegerType()), T.StructField("terms", held)])
     seen = Observation()
     forward = map_batches(analysed.filter("len > 0"), _counted, schema=schema)
     forward.observe(seen, F.count("*").alias("docs"), F.sum("len").alias("length")).write.parquet(f"{path}/forward")
     n_docs, length = seen.get["docs"], seen.get["length"] or 0
-    segments = max(1, -(-n_docs // SEGMENT))
     spark.range(0, 1, 1, 1).select(
-        F.lit(n_docs).cast("long").alias("docs"), F.lit(length).cast("long").alias("length"), F.lit(segments).alias("segments")
+        F.lit(n_docs).cast("long").alias("docs"), F.lit(length).cast("long").alias("length")
     ).write.parquet(f"{path}/corpus")
 
-    postings = spark.read.parquet(f"{path}/forward").select("id", "len", F.inline("terms"))
-    impact = _impact(length / n_docs if n_docs else 1.0)
-    placed = postings.select(
-        "term",
-        F.floor(impact * LEVELS).cast("int").alias("level"),
-        F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int").alias("seg"),
-        F.struct((-impact).alias("falling"), "id").alias("posting"),
-    )
-    grouped = placed.groupBy("term", "level", "seg").agg(F.array_sort(F.collect_list("posting")).alias("_all"))
-    starts = F.sequence(F.lit(1), F.size("_all"), F.lit(BLOCK))
-    cut = grouped.select("term", "level", "seg", F.explode(F.transform(starts, lambda s: F.slice("_all", s, BLOCK))).alias("_block"))
-    blocks = cut.select(
-        "term",
-        "level",
-        "seg",
-        (-F.col("_block")[0]["falling"]).alias("bound"),
-        F.col("_block.id").alias("ids"),
-        F.transform("_block.falling", lambda x: -x).alias("impacts"),
-    )
-    # By term within each file, so that row groups can be told apart by their terms.
-    blocks.sortWithinPartitions("term", F.desc("level")).write.parquet(f"{path}/blocks")
-    written = spark.read.parquet(f"{path}/blocks").groupBy("term", "level")
+    mean_length = length / n_docs if n_docs else 1.0
+    shape = T.StructType.fromDDL("term string, level int, draw double, bound double")
+    shape = shape.add("ids", T.ArrayType(key.dataType)).add("impacts", T.ArrayType(T.FloatType()))
+    arrow = to_arrow_schema(shape)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for segment in _segments(batches):
+            yield from _cut_blocks(segment, mean_length).cast(arrow).to_batches(max_chunksize=8192)
+
+    # By term within each segment, so that row groups can be told apart by their terms.
+    spark.read.schema(schema).parquet(f"{path}/forward").mapInArrow(cut, shape).write.parquet(f"{path}/blocks")
+    written = spark.read.schema(shape).parquet(f"{path}/blocks").groupBy("term", "level")
     lexicon = written.agg(F.sum(F.size("ids")).cast("long").alias("n"), F.max("bound").alias("bound"))
     lexicon.sortWithinPartitions("term").write.parquet(f"{path}/lexicon")
 
@@ -124,7 +172,7 @@ def index_topk(spark: SparkSession, path: str, queries: Mapping[str, str] | Data
     if wanted.isEmpty():
         raise ValueError("no query holds a word")
     corpus = spark.read.parquet(f"{path}/corpus").first()
-    n_docs, segments = corpus["docs"], corpus["segments"]
+    n_docs = corpus["docs"]
     mean_length = corpus["length"] / n_docs if n_docs else 1.0
 
     found = _of_terms(spark.read.parquet(f"{path}/lexicon"), wanted)
@@ -143,8 +191,7 @@ def index_topk(spark: SparkSession, path: str, queries: Mapping[str, str] | Data
     first = Window.partitionBy("query").orderBy(gain.desc(), "term").rowsBetween(Window.unboundedPreceding, -1)
     seeds = levels.withColumn("_before", F.coalesce(F.sum("n").over(first), F.lit(0))).filter(F.col("_before") < SEED_POSTINGS)
     # Of a long level only some segments; any choice of postings gives a valid threshold.
-    share = F.greatest(F.lit(1.0), F.lit(float(segments * SEED_POSTINGS)) / F.col("n"))
-    named = _blocks(spark, path, seeds.select("query", "term", "level", "_w", share.alias("_share"))).filter("seg < _share")
+    named = _blocks(spark, path, seeds.select("query", "term", "level", "_w", "n")).filter(F.col("draw") * F.col("n") < SEED_POSTINGS)
     seen = _postings(named).groupBy("query", "id").agg(F.sum(F.col("_w") * F.col("_impact")).alias("score"))
     some = top_hits(seen, "id", SEED_DOCS + k).select("query", "id")
     scored = top_hits(_scores(spark, path, cut_lineage(some, "query-seeds"), weights, mean_length), "id", k)
