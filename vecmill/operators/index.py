@@ -40,12 +40,12 @@ SEGMENT = 1 << 21
 LEVELS = 16
 # Postings of a query that are read, and documents of it that are scored, for its first threshold.
 SEED_POSTINGS = 10_000
-SEED_DOCS = 100
+SEED_DOCS = 40
 # Query terms that are named in the filter of a scan, so that Parquet skips row groups without them.
 NAMED_TERMS = 256
 # What all unread postings of a query may add up to, as a share of its threshold: the less, the more
 # postings are read and the fewer documents stay open.
-OPEN_SHARE = 0.7
+OPEN_SHARE = 0.5
 # Bounds and scores are sums in different orders, so a bound counts as reached a little earlier.
 SLACK = 1.0 - 1e-9
 
