@@ -13,6 +13,9 @@ from conftest import SF
 from vecmill.llm import bottomk, components, ego, labelled, lm, quality, toxicity
 
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def joined(ids, links):
     parent = {i: i for i in ids}
 
@@ -145,6 +148,40 @@ def test_language_model_trains_on_every_position(spark):
     assert (begin[:7] != end[:7]).any(axis=1).all()
 
 
+def test_language_model_counts_of_rare_words(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    full = lm.vocabulary(docs)
+    net = lm.Network.start(full.totals)
+    want = {r.doc_id: r.log_prob for r in lm.score(docs, full, net).collect()}
+    assert full.rare is None
+    counts = collections.Counter(w for r in docs.collect() for w in re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(LOWER)))
+    assert full.totals.sum() == sum(counts.values()) and len(full.lookup.head) == len(counts)
+    # Parts of a class by own counts are one whole, class by class.
+    sums = np.bincount(full.lookup.classes, np.exp(full.lookup.parts), len(full.totals))
+    assert np.allclose(sums[full.totals > 0], 1)
+    # With a small head, classes of their own are fewer; what is joined gives every word its own count.
+    monkeypatch.setattr(lm, "HEAD", 3000)
+    small = lm.vocabulary(docs)
+    assert 0 < len(small.lookup.head) <= 3000 and small.rare is not None
+    assert {r.doc_id: r.log_prob for r in lm.score(docs, small, net).collect()} == pytest.approx(want, rel=1e-9)
+
+
+def test_language_model_classes_grow():
+    sizes = [lm.Network.size(1 << k) for k in range(11, 17)]
+    assert all(1.9 < b / a < 2.1 for a, b in zip(sizes, sizes[1:]))
+    assert all(g * w == 1 << k for k in range(11, 17) for g, w in [lm.shape_of(1 << k)])
+
+
+def test_language_model_odd_tables(spark):
+    odd = spark.createDataFrame([(1, None, 2.0, "x"), (1, "", 1.0, "y"), (2, "a " * 70000, 0.0, None), (2, "a " * 70000, 0.0, None)], "doc_id long, text string, log_prob double, word string")
+    words = lm.vocabulary(odd)
+    rows = sorted((r.doc_id, r.n_words, r.log_prob) for r in lm.score(odd, words, lm.train(odd, words)).collect())
+    assert rows[:2] == [(1, 0, 0.0)] * 2 and rows[2] == rows[3] and rows[2][1] == 70000 and rows[2][2] <= 0
+    none = odd.limit(0)
+    words = lm.vocabulary(none)
+    assert lm.score(none, words, lm.train(none, words)).collect() == []
+
+
 def test_pipeline(spark):
     kept = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")

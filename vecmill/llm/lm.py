@@ -1,10 +1,13 @@
 """Masked pseudo-likelihood scores (operator 10).
 
 A bidirectional window network predicts every word from the words on both sides; the sum of the
-conditional log-probabilities of a document is its score. The vocabulary, and how many words and
-occurrences lie outside it, are counted over the whole corpus. The network is trained in numpy on
-every position of all documents: each task goes through its own from common parameters, and the
-parameters are averaged, weighted with the positions that they have seen, in a few rounds.
+conditional log-probabilities of a document is its score. All words are counted over the whole corpus.
+The number of classes that the network predicts grows with the corpus: frequent words have a class
+each, the others share some by hash, and within such a class each has the part that its own count gives.
+The network is trained in numpy on every position of all documents: each task goes through its own from
+common parameters, and these are averaged, weighted with the positions seen, in a few rounds.
+
+So the scores depend on how the scan is cut into tasks, as averaged training does; they are the same for the same cut.
 """
 
 from __future__ import annotations
@@ -14,46 +17,78 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecmill.llm.columnar import LOWER_ASCII, bound_batches, buffers, encoded, id_text, map_arrow, segment_sum, slices, strings, words
-from vecmill.llm.labelled import Adam, hashes
+from vecmill.llm.labelled import hashes
 from vecmill.session import cut_lineage
 
-# Words with a class of their own, and classes that share the other words by hash; the classes are
-# split into groups of equal size, so that a probability is that of a group and of a class in it.
-KNOWN = 1984
-TAIL = 64
-CLASSES = KNOWN + TAIL
-GROUPS = 32
-WIDTH = CLASSES // GROUPS
+# Classes are about the square root of the words of the corpus, a power of two, so that the parameters
+# stay small beside the texts of a task. Their limit bounds the model (8 MB), not what is counted.
+LEAST_CLASSES = 2048
+MOST_CLASSES = 1 << 16
+# One class in this many is shared by words without one of their own.
+TAIL_SHARE = 32
+# Words whose counts every task holds; the counts of the others are joined.
+HEAD = 1 << 18
+# Words are told apart for the head by steps of a sixteenth of a power of two.
+STEPS = 16
 OFFSETS = (-2, -1, 1, 2)
 DIM = 16
 HIDDEN = 16
 # Every position of every document is a training example of one of the rounds.
 ROUNDS = 2
-BATCH = 1024
-RATE = 0.005
+BATCH = 4096
+RATE = 0.1
 SEED = 13
 BLOCK = 32
+# Logarithms of counts are added up as integers, so that sums do not depend on the order of rows.
+LOG_UNIT = 1e9
 
 
 @dataclass
-class Vocabulary:
-    """Hashes of known words in order with their classes; occurrences and words of each class."""
+class Lookup:
+    """What each task holds: hashes of the head words in order, their classes and the logarithms of
+    their parts of these; the logarithms of the words of each class."""
 
-    known: np.ndarray
+    head: np.ndarray
     classes: np.ndarray
+    parts: np.ndarray
+    totals: np.ndarray
+
+    def of(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each word, and whether it is a head word."""
+        count = len(self.totals)
+        tail = count - count // TAIL_SHARE + (hashed % (count // TAIL_SHARE)).astype(np.int64)
+        if not len(self.head):
+            return tail, np.zeros(len(hashed), bool)
+        at = np.minimum(np.searchsorted(self.head, hashed), len(self.head) - 1)
+        found = self.head[at] == hashed
+        return np.where(found, self.classes[at], tail), found
+
+    def part(self, hashed: np.ndarray, classes: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Logarithm of each word's part of its class; for one that is no head word, as if it
+        occurred once."""
+        if not len(self.head):
+            return -self.totals[classes]
+        at = np.minimum(np.searchsorted(self.head, hashed), len(self.head) - 1)
+        return np.where(found, self.parts[at], -self.totals[classes])
+
+
+@dataclass
+class Vocabulary:
+    """The lookup, the words of each class, and the counts above 1 of words outside the head."""
+
+    lookup: Lookup
     totals: np.ndarray
-    sizes: np.ndarray
+    rare: DataFrame | None
 
-    def of(self, hashed: np.ndarray) -> np.ndarray:
-        tail = KNOWN + (hashed % TAIL).astype(np.int64)
-        if not len(self.known):
-            return tail
-        at = np.minimum(np.searchsorted(self.known, hashed), len(self.known) - 1)
-        return np.where(self.known[at] == hashed, self.classes[at], tail)
+
+def shape_of(classes: int) -> tuple[int, int]:
+    """Groups of classes, and classes in each: a probability is that of a group and of a class in it."""
+    width = 1 << (classes.bit_length() // 2)
+    return classes // width, width
 
 
 def _hashed(data: np.ndarray, offsets: np.ndarray):
@@ -64,6 +99,10 @@ def _hashed(data: np.ndarray, offsets: np.ndarray):
     return codes, (hashes(distinct) >> np.uint64(1)).astype(np.int64), by_text
 
 
+def _step(n: str) -> Column:
+    return F.floor(F.log2(n) * STEPS).cast("int")
+
+
 def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     """Counts of all words of all documents; tasks add up first, only counts are shuffled."""
     bound_batches(docs.sparkSession)
@@ -78,42 +117,58 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word long, n long")
     counts = cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
-    tails = counts.groupBy(F.pmod("word", F.lit(TAIL)).alias("tail")).agg(F.sum("n").alias("n"), F.count("*").alias("size")).toPandas()
-    totals, sizes = np.zeros(CLASSES), np.ones(CLASSES)
-    totals[: len(top)] = top["n"]
-    at = KNOWN + tails["tail"].to_numpy(int)
-    totals[at], sizes[at] = tails["n"], tails["size"]
-    # Known words do not belong to the shared classes.
-    known = top["word"].to_numpy(np.int64)
-    np.subtract.at(totals, KNOWN + known % TAIL, top["n"].to_numpy(float))
-    np.subtract.at(sizes, KNOWN + known % TAIL, 1)
-    order = np.argsort(known)
-    return Vocabulary(known[order], order, totals, np.maximum(sizes, 1))
+    # A few hundred steps whatever the corpus.
+    steps = counts.groupBy(_step("n").alias("step")).agg(F.count("*").alias("size"), F.sum("n").alias("n")).toPandas()
+    steps = steps.sort_values("step", ascending=False)
+    some = int(np.searchsorted(np.cumsum(steps["size"].to_numpy(int)), HEAD, "right"))
+    least = int(steps["step"].iloc[some - 1]) if some else 1 << 30
+    top = counts.where(_step("n") >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
+
+    power = round(np.log2(max(float(steps["n"].sum()), 1.0)) / 2)
+    classes = min(max(1 << power, LEAST_CLASSES), MOST_CLASSES)
+    tail, own = classes // TAIL_SHARE, classes - classes // TAIL_SHARE
+    shared = counts.groupBy(F.pmod("word", F.lit(tail)).alias("tail")).agg(F.sum("n").alias("n")).toPandas()
+    word, n = top["word"].to_numpy(np.int64), top["n"].to_numpy(float)
+    totals = np.zeros(classes)
+    totals[: min(own, len(n))] = n[:own]
+    totals[own + shared["tail"].to_numpy(int)] = shared["n"]
+    # Words with a class of their own do not belong to the shared classes.
+    np.subtract.at(totals, own + word[:own] % tail, n[:own])
+    of = np.append(np.arange(min(own, len(word))), own + word[own:] % tail).astype(np.int64)
+    parts = np.log(n) - np.log(np.maximum(totals[of], 1))
+    order = np.argsort(word)
+    lookup = Lookup(word[order], of[order], parts[order], np.log(np.maximum(totals, 1)))
+    rare = counts.where((F.col("n") > 1) & (_step("n") < least)) if some < len(steps) else None
+    return Vocabulary(lookup, totals, rare)
 
 
 class Network:
     """Parameters as views of one flat array, so that averaging is one sum."""
 
-    def __init__(self, flat: np.ndarray):
-        self.flat = flat
-        shapes = [(CLASSES + 1, DIM), (len(OFFSETS), DIM, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, WIDTH), (GROUPS, WIDTH)]
+    def __init__(self, flat: np.ndarray, classes: int):
+        self.flat, self.classes = flat, classes
+        self.groups, self.width = shape_of(classes)
         self.parts, at = [], 0
-        for shape in shapes:
+        for shape in self.shapes(classes):
             size = int(np.prod(shape))
             self.parts.append(flat[at : at + size].reshape(shape))
             at += size
 
     @staticmethod
-    def size() -> int:
-        return (CLASSES + 1) * DIM + len(OFFSETS) * DIM * HIDDEN + HIDDEN + HIDDEN * GROUPS + GROUPS + CLASSES * HIDDEN + CLASSES
+    def shapes(classes: int) -> list[tuple[int, ...]]:
+        groups, width = shape_of(classes)
+        return [(classes + 1, DIM), (len(OFFSETS), DIM, HIDDEN), (HIDDEN,), (HIDDEN, groups), (groups,), (groups, HIDDEN, width), (groups, width)]
+
+    @classmethod
+    def size(cls, classes: int) -> int:
+        return sum(int(np.prod(shape)) for shape in cls.shapes(classes))
 
     @classmethod
     def start(cls, totals: np.ndarray) -> Network:
         """Small random weights; without context it gives the frequencies of the classes."""
         rng = np.random.default_rng(SEED)
-        net = cls(rng.normal(0, 0.1, cls.size()).astype(np.float32))
-        counts = (np.maximum(totals, 0) + 1).reshape(GROUPS, WIDTH)
+        net = cls(rng.normal(0, 0.1, cls.size(len(totals))).astype(np.float32), len(totals))
+        counts = (np.maximum(totals, 0) + 1).reshape(net.groups, net.width)
         net.parts[1][:] *= 3
         net.parts[2][:] = 0
         net.parts[4][:] = np.log(counts.sum(axis=1) / counts.sum())
@@ -122,64 +177,83 @@ class Network:
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         table, mix, bias = self.parts[:3]
-        total = bias + np.zeros((len(context), HIDDEN), np.float32)
-        for j in range(len(OFFSETS)):
-            total += (table @ mix[j])[context[:, j]]
-        return np.tanh(total)
+        return np.tanh(table[context].reshape(len(context), -1) @ mix.reshape(-1, HIDDEN) + bias)
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target class in its context."""
         hidden = self.hidden(context)
         logits = hidden @ self.parts[3] + self.parts[4]
-        group, member = target // WIDTH, target % WIDTH
+        group, member = target // self.width, target % self.width
+        out = np.zeros(len(target))
         rows = np.arange(len(target))
         top = logits.max(axis=1)
-        out = logits[rows, group] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            own = order[cuts[g] : cuts[g + 1]]
-            if len(own):
-                inner = hidden[own] @ self.parts[5][g] + self.parts[6][g]
-                top = inner.max(axis=1)
-                out[own] += inner[np.arange(len(own)), member[own]] - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
+        out += logits[rows, group] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+        for g, own in _by_group(group, self.groups):
+            inner = hidden[own] @ self.parts[5][g] + self.parts[6][g]
+            top = inner.max(axis=1)
+            out[own] += inner[np.arange(len(own)), member[own]] - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
         return out
 
-    def step(self, adam: Adam, context: np.ndarray, target: np.ndarray) -> None:
-        table, mix, _, top, _, low, _ = self.parts
-        hidden = self.hidden(context)
-        group, member, rows = target // WIDTH, target % WIDTH, np.arange(len(target))
-        outer = hidden @ top + self.parts[4]
-        outer = np.exp(outer - outer.max(axis=1, keepdims=True))
-        outer /= outer.sum(axis=1, keepdims=True)
-        outer[rows, group] -= 1
-        inner = np.einsum("bh,bhw->bw", hidden, low[group], optimize=True) + self.parts[6][group]
-        inner = np.exp(inner - inner.max(axis=1, keepdims=True))
-        inner /= inner.sum(axis=1, keepdims=True)
-        inner[rows, member] -= 1
-        outer /= np.float32(len(target))
-        inner /= np.float32(len(target))
-        gradient = Network(np.zeros(self.size(), np.float32))
-        g = gradient.parts
-        back = outer @ top.T + np.einsum("bw,bhw->bh", inner, low[group], optimize=True)
+    def step(self, rates: Rates, context: np.ndarray, target: np.ndarray) -> None:
+        """One step on these positions; only the rows and groups that they touch are changed."""
+        table, mix, bias, top, top_bias, low, low_bias = self.parts
+        before = table[context].reshape(len(context), -1)
+        hidden = np.tanh(before @ mix.reshape(-1, HIDDEN) + bias)
+        group, member = target // self.width, target % self.width
+        scale = np.float32(1 / len(target))
+        outer = _softmax(hidden @ top + top_bias)
+        outer[np.arange(len(target)), group] -= 1
+        outer *= scale
+        back = outer @ top.T
+        for g, own in _by_group(group, self.groups):
+            inner = _softmax(hidden[own] @ low[g] + low_bias[g])
+            inner[np.arange(len(own)), member[own]] -= 1
+            inner *= scale
+            back[own] += inner @ low[g].T
+            rates.update(5, g, hidden[own].T @ inner)
+            rates.update(6, g, inner.sum(axis=0))
         back *= 1 - hidden * hidden
-        g[2][:], g[3][:], g[4][:] = back.sum(axis=0), hidden.T @ outer, outer.sum(axis=0)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for k in range(GROUPS):
-            own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                g[5][k], g[6][k] = hidden[own].T @ inner[own], inner[own].sum(axis=0)
-        for j in range(len(OFFSETS)):
-            g[1][j] = table[context[:, j]].T @ back
-            np.add.at(g[0], context[:, j], back @ mix[j].T)
-        adam.update([gradient.flat])
-
-
-def _contexts(classes: np.ndarray, by_text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Classes around each position; beyond the ends of its text there is a class of their own."""
+        to_table = (back @ mix.reshape(-1, HIDDEN).T).reshape(-1, DIM)
+        flat = context.ravel()
+        order = np.argsort(flat, kind="stable")
+        cuts = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
+        rates.update(1, slice(None), (before.T @ back).reshape(mix.shape))
+        rates.update(2, slice(None), back.sum(axis=0))
+        rates.update(3, slice(None), hidden.T @ outer)
+        rates.update(4, slice(None), outer.sum(axis=0))
+        rates.update(0, flat[order][cuts], np.add.reduceat(to_table[order], cuts, axis=0))
+
+
+class Rates:
+    """Adaptive steps by the squares that each parameter has seen, so that untouched ones stay."""
+
+    def __init__(self, net: Network, rate: float = RATE):
+        self.parts, self.rate = net.parts, np.float32(rate)
+        self.squares = Network(np.full(len(net.flat), 1e-10, np.float32), net.classes).parts
+
+    def update(self, part: int, at: int | slice | np.ndarray, gradient: np.ndarray) -> None:
+        seen = self.squares[part][at] + gradient * gradient
+        self.squares[part][at] = seen
+        self.parts[part][at] -= self.rate * gradient / np.sqrt(seen)
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    out = np.exp(logits - logits.max(axis=1, keepdims=True))
+    out /= out.sum(axis=1, keepdims=True)
+    return out
+
+
+def _by_group(group: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(groups + 1))
+    for g in np.flatnonzero(cuts[1:] > cuts[:-1]):
+        yield int(g), order[cuts[g] : cuts[g + 1]]
+
+
+def _contexts(classes: np.ndarray, by_text: np.ndarray, at: np.ndarray, outside: int) -> np.ndarray:
+    """Classes around each position; beyond the ends of its text lies the class ``outside``."""
     text = np.searchsorted(by_text, at, "right") - 1
-    out = np.full((len(at), len(OFFSETS)), CLASSES)
+    out = np.full((len(at), len(OFFSETS)), outside)
     for j, offset in enumerate(OFFSETS):
         place = at + offset
         inside = (place >= by_text[text]) & (place < by_text[text + 1])
@@ -199,28 +273,29 @@ def train(docs: DataFrame, words_of: Vocabulary, rounds: int = ROUNDS, text_col:
     net = Network.start(words_of.totals)
     source = docs.select(F.col(text_col).cast("string").alias("text"))
     bound_batches(docs.sparkSession)
-    blocks = -(-Network.size() // BLOCK)
+    lookup, classes, size = words_of.lookup, net.classes, len(net.flat)
+    blocks = -(-size // BLOCK)
     for number in range(rounds):
         begin = net.flat.copy()
 
         def run(batches: Iterator[pa.RecordBatch], begin=begin, number=number) -> Iterator[pa.RecordBatch]:
-            own, seen = Network(begin.copy()), 0
-            adam = Adam([own.flat], RATE)
+            own, seen = Network(begin.copy(), classes), 0
+            rates = Rates(own)
             for batch in batches:
                 data, offsets = buffers(batch.column("text"))
                 for a, b in slices(offsets):
                     codes, hashed, by_text = _hashed(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     if not len(codes):
                         continue
-                    classes = words_of.of(hashed)[codes]
+                    placed = lookup.of(hashed)[0][codes]
                     at = np.random.default_rng(number).permutation(positions(by_text, number, rounds))
                     for first in range(0, len(at), BATCH):
                         some = at[first : first + BATCH]
-                        own.step(adam, _contexts(classes, by_text, some), classes[some])
+                        own.step(rates, _contexts(placed, by_text, some, classes), placed[some])
                         seen += len(some)
             if seen:
                 padded = np.zeros(blocks * BLOCK)
-                padded[: len(own.flat)] = own.flat.astype(float) * seen
+                padded[:size] = own.flat.astype(float) * seen
                 columns = [pa.array(np.arange(blocks)), pa.array(np.full(blocks, float(seen)))]
                 columns += [pa.array(c) for c in padded.reshape(blocks, BLOCK).T]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "seen", *[f"v{i}" for i in range(BLOCK)]])
@@ -232,36 +307,53 @@ def train(docs: DataFrame, words_of: Vocabulary, rounds: int = ROUNDS, text_col:
         found = summed.toPandas().sort_values("block")
         if len(found):
             values = found[[f"v{i}" for i in range(BLOCK)]].to_numpy() / found[["seen"]].to_numpy()
-            net = Network(values.ravel()[: Network.size()].astype(np.float32))
+            net = Network(values.ravel()[:size].astype(np.float32), classes)
     return net
 
 
 def score(docs: DataFrame, words_of: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, log_prob, mean_log_prob`` of every whole text; one scan, no shuffle.
+    """``doc_id, n_words, log_prob, mean_log_prob`` of every whole text.
 
-    ``log_prob`` sums the log-probability of every word given the words on both sides. A word without
-    a class of its own has an equal part of its class. A null or empty text has no words, a sum of 0
-    and no mean. Repeated rows are scored each for itself.
+    ``log_prob`` sums the log-probability of every word given the words on both sides. A word that shares
+    its class has the part of it that its count in the corpus gives; one that the corpus does not hold
+    counts as occurring once. One scan of the texts; the counts of words outside the head are joined
+    with these words alone, if any of them occurs twice. A null or empty text has no words, a sum of 0 and no
+    mean. Repeated rows are scored each for itself; an empty table has no rows.
     """
     source = id_text(docs, id_col, text_col)
+    lookup, join = words_of.lookup, words_of.rare is not None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = buffers(batch.column("text"))
-        counts, sums = [], []
+        counts, sums, rare, sizes = [], [], [], []
         for a, b in slices(offsets, 1 << 20):
             codes, hashed, by_text = _hashed(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            classes = words_of.of(hashed)[codes]
+            distinct, found = lookup.of(hashed)
+            parts = lookup.part(hashed, distinct, found)
+            classes = distinct[codes]
             each = np.zeros(len(classes))
             for first in range(0, len(classes), 1 << 15):
                 at = np.arange(first, min(first + (1 << 15), len(classes)))
-                each[at] = net.log_probs(_contexts(classes, by_text, at), classes[at])
-            each -= np.log(words_of.sizes)[classes]
+                each[at] = net.log_probs(_contexts(classes, by_text, at, net.classes), classes[at])
+            each += parts[codes]
             counts.append(np.diff(by_text))
             sums.append(segment_sum(each, by_text))
-        columns = [batch.column("doc_id"), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(sums))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "log_prob"])
+            outside = ~found[codes] if join else np.zeros(len(codes), bool)
+            rare.append(hashed[codes[outside]])
+            sizes.append(segment_sum(outside.astype(np.int64), by_text))
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(rare).astype(np.int64)))
+        columns = [batch.column("doc_id"), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(sums)), lists]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "log_prob", "rare"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return map_arrow(source, run, f"doc_id {kind}, n_words long, log_prob double").withColumn(
-        "mean_log_prob", F.try_divide("log_prob", "n_words")
-    )
+    scored = map_arrow(source, run, f"doc_id {kind}, n_words long, log_prob double, rare array<long>")
+    if join:
+        # Numbers of rows are fixed by the written table.
+        rows = cut_lineage(scored.withColumn("row", F.monotonically_increasing_id()), "scored-rows")
+        asked = rows.select("row", F.explode("rare").alias("word"))
+        added = asked.join(words_of.rare, "word").groupBy("row").agg(F.sum(F.round(F.log("n") * LOG_UNIT).cast("long")).alias("added"))
+        scored = rows.drop("rare").join(added, "row", "left").withColumn(
+            "log_prob", F.col("log_prob") + F.coalesce(F.col("added") / F.lit(LOG_UNIT), F.lit(0.0))
+        )
+    return scored.select("doc_id", "n_words", "log_prob", F.try_divide("log_prob", "n_words").alias("mean_log_prob"))
