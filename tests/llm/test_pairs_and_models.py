@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,33 @@ def test_classifiers_on_held_out_rows(spark, data, module, label, least):
     assert module.score(odd.limit(0), module.fit(odd.limit(0), labels)).count() == 0
 
 
+def test_quality_word_contexts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "WORDS", 60)
+    monkeypatch.setattr(quality, "CHUNK", 50)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(20)
+    docs = docs.unionByName(docs.selectExpr(*[f"null as {c}" for c in docs.columns]))
+    vectors = quality.word_vectors(docs)
+    texts = [re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode()) for r in docs.collect()]
+    counts = collections.Counter(w for t in texts for w in t)
+    hashed = lambda w: labelled.hashes(pa.array(w, pa.binary()))
+    names = sorted(counts)
+    number = dict(zip(names, range(len(names))))
+    rows, weights = vectors.words.of(hashed(names))
+    index = quality.index_vectors(hashed(names))
+    assert 0 < len(vectors.words.known) <= 60
+    least = min(counts[w] for w, r in zip(names, rows) if r < len(vectors.words.known))
+    assert all(r < len(vectors.words.known) for w, r in zip(names, rows) if counts[w] >= least)
+    want = np.zeros_like(vectors.table, float)
+    for t in texts:
+        for i, w in enumerate(t):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(t):
+                    want[rows[number[w]]] += weights[number[t[j]]] * index[number[t[j]]]
+    length = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(vectors.table, want / np.where(length > 0, length, 1), atol=1e-6)
+    assert np.abs(want[: len(vectors.words.known)]).sum() > 0
+
+
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
 def test_held_out_labels_change_nothing(spark, module, label):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))

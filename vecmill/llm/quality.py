@@ -1,10 +1,12 @@
 """Quality classifier on random-indexing word vectors (operator 6).
 
-Every word has two units, its hashed spelling and its hashed shape (letters, digits and signs, runs
-joined). A unit's vector is its own sparse random index vector and the sum of the index vectors of
-the shapes beside it, over the whole corpus: tasks add up what they read, and sums of the bounded
-number of units are shuffled. A document is the mean and the spread of its words' vectors, with its
-size and its share of repeated words; a two-layer numpy network with a fitted temperature scores it.
+Every word has a sparse random index vector, drawn from its hash. The vector of a word is its own index
+vector and the sum of those of the words up to two places beside it, over the whole corpus, rare
+neighbours counting more. Words are counted first: the most frequent, a bounded number, have a vector
+each, the others one for each of 2,048 hashed spellings. Tasks add up what they read; only the sums are
+shuffled. A document is the mean and the spread of its words' vectors and the mean index vector of
+their shapes (letters, digits and signs, runs joined), with its size and its share of repeated words; a
+two-layer numpy network with a fitted temperature scores it.
 """
 
 from __future__ import annotations
@@ -19,11 +21,19 @@ from pyspark.sql import functions as F
 
 from vecmill.llm.columnar import bound_batches, buffers, encoded, id_text, map_arrow, slices, strings, words
 from vecmill.llm.labelled import Adam, class_totals, hashes, platt, remainder, sample_ids, sigmoid
+from vecmill.session import cut_lineage
 
+# Bound of the words with a vector of their own, so that a task can hold them all (4 MB).
+WORDS = 1 << 15
+# Words are told apart for it by steps of a sixteenth of a power of two in their count.
+STEPS = 16
 UNIT_BITS = 11
 UNITS = 1 << UNIT_BITS
 DIM = 32
 NONZERO = 4
+WINDOW = (-2, -1, 1, 2)
+# Positions whose contexts are added up at a time, which bounds the memory for a long text.
+CHUNK = 1 << 17
 HIDDEN = 32
 EPOCHS = 60
 BATCH = 128
@@ -35,13 +45,14 @@ CUT = 0.3
 SEED = 11
 
 
-def index_vectors() -> np.ndarray:
-    """Sparse random vectors of the units: a few components of +1 or -1."""
-    rng = np.random.default_rng(SEED)
-    out = np.zeros((2 * UNITS, DIM), np.float32)
-    for unit in range(2 * UNITS):
-        out[unit, rng.choice(DIM, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
-    return out / np.sqrt(NONZERO)
+def index_vectors(hashed: np.ndarray) -> np.ndarray:
+    """Sparse random vectors: ``NONZERO`` times +1 or -1 at places that the hash names."""
+    out = np.zeros((len(hashed), DIM), np.float32)
+    rows = np.arange(len(hashed))
+    for j in range(NONZERO):
+        place = (hashed >> np.uint64(8 * j + 5)).astype(np.int64) % DIM
+        out[rows, place] += np.where((hashed >> np.uint64(44 + j)) & np.uint64(1), np.float32(1), np.float32(-1))
+    return out
 
 
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -61,59 +72,123 @@ def shapes(distinct: pa.Array) -> pa.Array:
     return strings(kinds[kept], total[bounds])
 
 
-def units(data: np.ndarray, offsets: np.ndarray):
-    """Codes of the words, spelling and shape unit of each code, and the texts' bounds in words."""
+def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Codes of the words, the distinct words, and the texts' bounds in words."""
     body, bounds, by_text = words(data, offsets)
     if len(bounds) < 2:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, by_text
-    codes, distinct = encoded(strings(body, bounds))
-    spelled = (hashes(distinct) >> np.uint64(64 - UNIT_BITS)).astype(np.int64)
-    shape_codes, shape_words = encoded(shapes(distinct))
-    shaped = UNITS + (hashes(shape_words) >> np.uint64(64 - UNIT_BITS)).astype(np.int64)[shape_codes]
-    return codes, spelled, shaped, by_text
+        return np.zeros(0, np.int64), pa.array([], pa.binary()), by_text
+    return *encoded(strings(body, bounds)), by_text
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Vectors of all units from all documents, as one array of ``2 * UNITS`` rows."""
-    index = index_vectors()
+def _bits(hashed: np.ndarray) -> np.ndarray:
+    return (hashed >> np.uint64(64 - UNIT_BITS)).astype(np.int64)
+
+
+@dataclass
+class Words:
+    """Hashes of the frequent words in order, and how much each counts as a neighbour."""
+
+    known: np.ndarray
+    weights: np.ndarray
+    most: float
+
+    def of(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each word's vector and its weight as a neighbour, a whole number."""
+        rows = len(self.known) + _bits(hashed)
+        if not len(self.known):
+            return rows, np.full(len(hashed), self.most, np.float32)
+        at = np.minimum(np.searchsorted(self.known, hashed), len(self.known) - 1)
+        same = self.known[at] == hashed
+        return np.where(same, at, rows), np.where(same, self.weights[at], self.most).astype(np.float32)
+
+
+def frequent_words(docs: DataFrame) -> Words:
+    """At most ``WORDS`` words, those of the highest counts in the whole corpus."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2 * UNITS, DIM))
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for a, b in slices(offsets):
-                codes, spelled, shaped, by_text = units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if len(codes) < 2:
-                    continue
-                same = np.ones(len(codes) - 1, bool)
-                inner = by_text[(by_text > 0) & (by_text < len(codes))]
-                same[inner - 1] = False
-                left, right = codes[:-1][same], codes[1:][same]
-                for kind in (spelled, shaped):
-                    key = np.concatenate([kind[left] * UNITS + (shaped[right] - UNITS), kind[right] * UNITS + (shaped[left] - UNITS)])
-                    distinct, count = np.unique(key, return_counts=True)
-                    np.add.at(total, distinct // UNITS, count[:, None] * index[UNITS + distinct % UNITS])
+                codes, distinct, _ = spelled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if len(codes):
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes(distinct).view(np.int64)), pa.array(np.bincount(codes))], ["word", "n"])
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, n long")
+    counts = cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")), "quality-words")
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    # A few hundred steps whatever the corpus.
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("size"), F.sum("n").alias("n")).toPandas()
+    steps = steps.sort_values("step", ascending=False)
+    some = int(np.searchsorted(np.cumsum(steps["size"].to_numpy(int)), WORDS, "right"))
+    least = int(steps["step"].iloc[some - 1]) if some else 1 << 30
+    top = counts.where(step >= least).toPandas()
+    known = top["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    total = max(float(steps["n"].sum()), 1.0)
+    return Words(known[order], np.round(np.log2(total / top["n"].to_numpy(float)))[order] + 1, np.round(np.log2(total)) + 1)
+
+
+def contexts(codes: np.ndarray, hashed: np.ndarray, by_text: np.ndarray, of: Words, total: np.ndarray) -> None:
+    """Add to the rows of ``total`` the weighted index vectors of the words beside each position."""
+    rows, weights = of.of(hashed)
+    index = index_vectors(hashed) * weights[:, None]
+    for first in range(0, len(codes), CHUNK):
+        at = np.arange(first, min(first + CHUNK, len(codes)))
+        text = np.searchsorted(by_text, at, "right") - 1
+        beside = np.zeros((len(at), DIM), np.float32)
+        for offset in WINDOW:
+            place = at + offset
+            inside = (place >= by_text[text]) & (place < by_text[text + 1])
+            beside[inside] += index[codes[place[inside]]]
+        own = rows[codes[at]]
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))
+        # Whole numbers below 2^24, so that no sum depends on an order.
+        total[own[order][cuts]] += np.add.reduceat(beside[order], cuts, axis=0, dtype=np.float64)
+
+
+@dataclass
+class Vectors:
+    words: Words
+    table: np.ndarray
+
+    def of(self, distinct: pa.Array) -> np.ndarray:
+        """Vectors of distinct words: their own index vectors beside their contexts."""
+        hashed = hashes(distinct)
+        return index_vectors(hashed) / np.float32(np.sqrt(NONZERO)) + self.table[self.words.of(hashed)[0]]
+
+
+def word_vectors(docs: DataFrame) -> Vectors:
+    """Contexts of all words from all documents, each scaled to length 1."""
+    of = frequent_words(docs)
+    size = len(of.known) + UNITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, DIM))
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for a, b in slices(offsets):
+                codes, distinct, by_text = spelled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if len(codes):
+                    contexts(codes, hashes(distinct), by_text, of, total)
         used = np.flatnonzero(total.any(axis=1))
-        # Four decimals as integers, so that the sum does not depend on the order of the tasks.
-        values = np.round(total[used] * 1e4).astype(np.int64)
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), DIM).cast(pa.list_(pa.int64()))
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(total[used].astype(np.int64).ravel()), DIM).cast(pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(used), lists], ["unit", "sums"])
 
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "unit long, sums array<long>")
-    summed = parts.groupBy("unit").agg(*[F.sum(F.col("sums")[i]).alias(f"d{i}") for i in range(DIM)])
-    found = summed.toPandas()
-    context = np.zeros((2 * UNITS, DIM))
+    # One row for each of at most ``WORDS + UNITS`` vectors.
+    found = parts.groupBy("unit").agg(*[F.sum(F.col("sums")[i]).alias(f"d{i}") for i in range(DIM)]).toPandas()
+    table = np.zeros((size, DIM))
     if len(found):
-        context[found["unit"].to_numpy(int)] = found[[f"d{i}" for i in range(DIM)]].to_numpy(float)
-    size = np.linalg.norm(context, axis=1, keepdims=True)
-    return (index + context / np.where(size > 0, size, 1)).astype(np.float32)
+        table[found["unit"].to_numpy(int)] = found[[f"d{i}" for i in range(DIM)]].to_numpy(float)
+    length = np.linalg.norm(table, axis=1, keepdims=True)
+    return Vectors(of, (table / np.where(length > 0, length, 1)).astype(np.float32))
 
 
-def pooled(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def pooled(vectors: Vectors, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Features of each whole text; a text without words has zeros."""
-    codes, spelled, shaped, by_text = units(data, offsets)
+    codes, distinct, by_text = spelled(data, offsets)
     rows = len(offsets) - 1
     count = np.diff(by_text)
     out = np.zeros((rows, 3 * DIM + 4), np.float32)
@@ -121,17 +196,20 @@ def pooled(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.nda
         return out
     text = np.repeat(np.arange(rows), count)
     some = np.maximum(count, 1)[:, None]
-    full = np.flatnonzero(count > 0)
-    for at, kind in ((0, spelled), (DIM, shaped)):
-        own = vectors[kind][codes]
-        mean = np.zeros((rows, DIM), np.float32)
-        mean[full] = np.add.reduceat(own, by_text[full], axis=0)
-        mean /= some
-        out[:, at : at + DIM] = mean
-        if kind is shaped:
-            square = np.zeros((rows, DIM), np.float32)
-            square[full] = np.add.reduceat(own * own, by_text[full], axis=0)
-            out[:, 2 * DIM : 3 * DIM] = np.sqrt(np.maximum(square / some - mean * mean, 0))
+    shape_codes, shape_words = encoded(shapes(distinct))
+    shaped = (index_vectors(hashes(shape_words)) / np.float32(np.sqrt(NONZERO)))[shape_codes]
+    each = np.concatenate([vectors.of(distinct), shaped], axis=1)
+    total, square = np.zeros((rows, 2 * DIM)), np.zeros((rows, 2 * DIM))
+    # Words of a text meet in any number of chunks, so a long text needs no more memory.
+    for first in range(0, len(codes), CHUNK):
+        own = each[codes[first : first + CHUNK]]
+        cuts = np.flatnonzero(np.append(True, text[first : first + CHUNK][1:] != text[first : first + CHUNK][:-1]))
+        whose = text[first : first + CHUNK][cuts]
+        total[whose] += np.add.reduceat(own, cuts, axis=0)
+        square[whose] += np.add.reduceat(own * own, cuts, axis=0)
+    mean = total / some
+    spread = np.sqrt(np.maximum(square / some - mean * mean, 0))
+    out[:, : 2 * DIM], out[:, 2 * DIM : 3 * DIM] = mean, spread[:, DIM:]
     seen = np.bincount(np.unique(text * (int(codes.max()) + 1) + codes) // (int(codes.max()) + 1), minlength=rows)
     again = np.bincount(text[1:][(codes[1:] == codes[:-1]) & (text[1:] == text[:-1])], minlength=rows)
     triples = _repeated_triples(codes, text, rows)
@@ -159,7 +237,7 @@ def _repeated_triples(codes: np.ndarray, text: np.ndarray, rows: int) -> np.ndar
 
 @dataclass
 class Model:
-    vectors: np.ndarray
+    vectors: Vectors
     mean: np.ndarray
     scale: np.ndarray
     weights: list[np.ndarray]
@@ -173,7 +251,7 @@ class Model:
         return sigmoid(self.logits(pooled(self.vectors, data, offsets)) / self.temperature)
 
 
-def train(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, vectors: np.ndarray, epochs: int = EPOCHS) -> Model:
+def train(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, vectors: Vectors, epochs: int = EPOCHS) -> Model:
     """The network, by Adam with a little weight decay."""
     rng = np.random.default_rng(SEED)
     mean = features.mean(axis=0) if len(features) else np.zeros(3 * DIM + 4, np.float32)
