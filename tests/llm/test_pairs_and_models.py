@@ -218,3 +218,16 @@ def test_pipeline(spark):
         assert after.schema == docs.schema, name
         docs = spark.createDataFrame(after.collect(), docs.schema)
     assert kept == {r.doc_id for r in docs.select("doc_id").collect()} and 0 < len(kept) < 200
+
+
+def test_calibration_descends():
+    # Two classes that are apart, one of them a single row: full Newton steps run away here.
+    logits, labels = np.array([-1.9, -2.0, -2.1, -2.2, -2.05, -1.95, -2.15, -1.4]), np.array([0.0] * 7 + [1.0])
+    slope, intercept = labelled.platt(logits, labels, np.ones(8))
+    scores = labelled.sigmoid(slope * logits + intercept)
+    assert slope > 0 and scores[:7].max() < scores[7] and scores.mean() == pytest.approx(1 / 8, abs=0.05)
+    # Halves that overlap: the probabilities meet the shares.
+    rng = np.random.default_rng(0)
+    logits = rng.normal(0, 2, 20000)
+    labels = (rng.random(20000) < labelled.sigmoid(0.5 * logits - 1)).astype(float)
+    assert labelled.platt(logits, labels, np.ones(20000)) == pytest.approx((0.5, -1), abs=0.06)

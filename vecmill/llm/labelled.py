@@ -95,15 +95,30 @@ def platt(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray, slope_onl
     slope, intercept = 1.0, 0.0
     if len(logits) < 2 or labels.min() == labels.max():
         return slope, intercept
+    rows = np.stack([logits] if slope_only else [logits, np.ones_like(logits)])
+    start = np.array([1.0] if slope_only else [1.0, 0.0])
+    # The slope stays positive: more of the logit is never less likely.
+    least, most = np.array([0.02, -np.inf])[: len(start)], np.array([20.0, np.inf])[: len(start)]
+
+    def loss(at: np.ndarray) -> float:
+        z = at @ rows
+        return float(weights @ (np.logaddexp(0, z) - labels * z) + 5e-4 * ((at - start) ** 2).sum())
+
+    at, value = start, loss(start)
     for _ in range(50):
-        p = sigmoid(slope * logits + intercept)
+        p = sigmoid(at @ rows)
         error, curve = weights * (p - labels), weights * np.maximum(p * (1 - p), 1e-9)
-        rows = np.stack([logits] if slope_only else [logits, np.ones_like(logits)])
-        gradient = rows @ error + 1e-3 * np.array([slope - 1.0] if slope_only else [slope - 1.0, intercept])
-        hessian = (rows * curve) @ rows.T + 1e-3 * np.eye(len(rows))
-        step = np.clip(np.linalg.solve(hessian, gradient), -2, 2)
-        slope = float(np.clip(slope - step[0], 0.02, 20))
-        intercept -= 0.0 if slope_only else float(step[1])
-        if np.abs(step).max() < 1e-6:
+        step = np.linalg.solve((rows * curve) @ rows.T + 1e-3 * np.eye(len(rows)), rows @ error + 1e-3 * (at - start))
+        # Full steps run away where the classes are few or apart, so they are halved until the loss falls.
+        for _ in range(30):
+            tried = np.clip(at - step, least, most)
+            found = loss(tried)
+            if found < value:
+                break
+            step = step / 2
+        else:
+            break
+        moved, at, value = np.abs(tried - at).max(), tried, found
+        if moved < 1e-6:
             break
-    return slope, intercept
+    return float(at[0]), 0.0 if slope_only else float(at[1])

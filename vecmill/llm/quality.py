@@ -295,10 +295,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     totals = class_totals(labels, label, FOLDS, HELD)
     y = found["label"].to_numpy(int)
     x = np.stack(found["features"].to_numpy()).astype(np.float32) if len(found) else np.zeros((0, 3 * DIM + 4), np.float32)
+    # Rows of a class that was cut to the bound count for those left out.
     weights = np.ones(len(y))
     for c in (0, 1):
         if (y == c).any():
-            weights[y == c] = totals.get(c, 1) / (y == c).sum()
+            weights[y == c] = max(totals.get(c, 1) / sample_rows, 1.0)
     weights /= weights.mean() if len(weights) else 1.0
     fold = np.arange(len(y)) % 5 == 0
     model = train(x[~fold], y[~fold], weights[~fold], vectors)
