@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -55,6 +56,14 @@ def with_elements(lists: pa.ListArray, elements: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, elements, mask=lists.is_null())
 
 
+def release_memory() -> None:
+    """Give free memory of this worker back to the system; allocators would keep it for the next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(
     df: DataFrame,
     fn: Callable[[Any], Any],

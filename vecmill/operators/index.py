@@ -30,12 +30,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vecmill.functions.text import words
-from vecmill.operators.batches import map_batches
+from vecmill.operators.batches import map_batches, release_memory
 from vecmill.operators.search import B, BROADCAST_BYTES, K1, query_table, query_terms, top_hits
 from vecmill.session import cut_lineage
 
 BLOCK = 64
 SEGMENT = 1 << 21
+# What a task counts or weighs at a time, and bytes of the batches that it is given, whatever the table.
+COUNTED_WORDS = 1 << 17
+BATCH_BYTES = 8 << 20
 # Levels for each unit of impact; impacts lie between 0 and K1 + 1.
 LEVELS = 16
 # Postings of a query that are read, and documents of it that are scored, for its first threshold.
@@ -48,17 +51,32 @@ NAMED_TERMS = 256
 OPEN_SHARE = 0.5
 # Bounds and scores are sums in different orders, so a bound counts as reached a little earlier.
 SLACK = 1.0 - 1e-9
+ENTRIES = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
 
 
 def _counted(batch: pa.Table) -> pa.Table:
     """Each document's words once, with their count, in the order of the words."""
     lists = batch["_words"].combine_chunks()
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    parts, begin = [], 0
+    while begin < len(lists):
+        # Some documents at a time, one at least, so that memory does not grow with the batch.
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + COUNTED_WORDS, "right")))
+        parts.append(_counted_lists(lists.slice(begin, end - begin)))
+        begin = end
+    terms = pa.chunked_array(parts, ENTRIES)
+    return batch.drop_columns("_words").append_column("terms", terms)
+
+
+def _counted_lists(lists: pa.Array) -> pa.Array:
     lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     placed = pa.table({"doc": np.repeat(np.arange(len(lists)), lengths), "term": lists.flatten()})
-    counts = placed.group_by(["doc", "term"]).aggregate([([], "count_all")]).sort_by([("doc", "ascending"), ("term", "ascending")])
+    counts = placed.group_by(["doc", "term"], use_threads=False).aggregate([([], "count_all")])
+    counts = counts.sort_by([("doc", "ascending"), ("term", "ascending")])
     offsets = np.searchsorted(counts["doc"].to_numpy(), np.arange(len(lists) + 1)).astype(np.int32)
     entries = pa.StructArray.from_arrays([counts["term"].combine_chunks(), counts["count_all"].combine_chunks().cast(pa.int32())], ["term", "tf"])
-    return batch.drop_columns("_words").append_column("terms", pa.ListArray.from_arrays(pa.array(offsets), entries))
+    return pa.ListArray.from_arrays(pa.array(offsets), entries)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -83,25 +101,32 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _cut_blocks(segment: pa.Table, mean_length: float) -> pa.Table:
     """The blocks of one segment, in the order of their terms."""
     lists = segment["terms"].combine_chunks()
-    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
     entries = lists.flatten()
-    doc = np.repeat(np.arange(len(lists)), lengths)
-    tf = entries.field("tf").to_numpy().astype(np.float64)
-    relative = (1.0 - B) + B * segment["len"].to_numpy() / mean_length
-    impact = tf * (K1 + 1.0) / (tf + K1 * relative[doc])
-    single = impact.astype(np.float32)
-    single = np.where(single < impact, np.nextafter(single, np.float32(np.inf)), single)
+    frequency, relative = entries.field("tf").to_numpy(), (1.0 - B) + B * segment["len"].to_numpy() / mean_length
+    single = np.empty(len(doc), np.float32)
+    # Double precision for some postings at a time.
+    for begin in range(0, len(doc), COUNTED_WORDS):
+        own = slice(begin, begin + COUNTED_WORDS)
+        tf = frequency[own].astype(np.float64)
+        impact = tf * (K1 + 1.0) / (tf + K1 * relative[doc[own]])
+        near = impact.astype(np.float32)
+        single[own] = np.where(near < impact, np.nextafter(near, np.float32(np.inf)), near)
 
     encoded = entries.field("term").dictionary_encode()
+    del lists, entries, frequency
     by_name = pc.sort_indices(encoded.dictionary).to_numpy()
-    place = np.empty(len(by_name), np.int64)
-    place[by_name] = np.arange(len(by_name))
+    place = np.empty(len(by_name), np.int32)
+    place[by_name] = np.arange(len(by_name), dtype=np.int32)
     term = place[encoded.indices.to_numpy()]
-    order = np.lexsort((doc, -single, term))
+    # Documents are in order already, and the orders are stable.
+    order = np.argsort(-single, kind="stable").astype(np.int32)
+    order = order[np.argsort(term[order], kind="stable")]
     term, single = term[order], single[order]
     first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-    position = np.arange(len(term)) - np.repeat(first, np.diff(np.r_[first, len(term)]))
-    starts = np.flatnonzero(position % BLOCK == 0)
+    sizes = np.diff(np.r_[first, len(term)])
+    blocks = -(-sizes // BLOCK)
+    starts = np.repeat(first - BLOCK * (np.cumsum(blocks) - blocks), blocks) + BLOCK * np.arange(blocks.sum())
     offsets = pa.array(np.r_[starts, len(term)].astype(np.int32))
     bound = single[starts].astype(np.float64)
     ids = segment["id"].combine_chunks().take(pa.array(doc[order]))
@@ -126,6 +151,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
     lexicon, one row per term, level and task, is.
     """
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     analysed = docs.select(F.col(id_col).alias("id"), words(text_col).alias("_words")).withColumn("len", F.size("_words"))
     held = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
     key = analysed.schema["id"]
@@ -146,6 +172,8 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segment in _segments(batches):
             yield from _cut_blocks(segment, mean_length).cast(arrow).to_batches(max_chunksize=8192)
+            del segment
+            release_memory()
 
     # By term within each segment, so that row groups can be told apart by their terms.
     spark.read.schema(schema).parquet(f"{path}/forward").mapInArrow(cut, shape).write.parquet(f"{path}/blocks")
