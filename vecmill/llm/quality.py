@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmill.llm.columnar import bound_batches, buffers, encoded, id_text, map_arrow, slices, strings, words
+from vecmill.llm.columnar import bound_batches, buffers, encoded, id_text, map_arrow, slices, spread_ranges, strings, task_memory, words
 from vecmill.llm.labelled import Adam, class_totals, hashes, platt, remainder, sample_ids, sigmoid
 from vecmill.session import cut_lineage
 
@@ -34,6 +34,8 @@ NONZERO = 4
 WINDOW = (-2, -1, 1, 2)
 # Positions whose contexts are added up at a time, which bounds the memory for a long text.
 CHUNK = 1 << 17
+# Words of a text that are added up at a time, and how many a text needs for sums of its own.
+SUM_WORDS, LONG = 1 << 13, 24
 HIDDEN = 32
 EPOCHS = 60
 BATCH = 128
@@ -107,12 +109,13 @@ def frequent_words(docs: DataFrame) -> Words:
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            for a, b in slices(offsets):
-                codes, distinct, _ = spelled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if len(codes):
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes(distinct).view(np.int64)), pa.array(np.bincount(codes))], ["word", "n"])
+        with task_memory():
+            for batch in batches:
+                data, offsets = buffers(batch.column("text"))
+                for a, b in slices(offsets):
+                    codes, distinct, _ = spelled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    if len(codes):
+                        yield pa.RecordBatch.from_arrays([pa.array(hashes(distinct).view(np.int64)), pa.array(np.bincount(codes))], ["word", "n"])
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, n long")
     counts = cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")), "quality-words")
@@ -132,20 +135,26 @@ def frequent_words(docs: DataFrame) -> Words:
 def contexts(codes: np.ndarray, hashed: np.ndarray, by_text: np.ndarray, of: Words, total: np.ndarray) -> None:
     """Add to the rows of ``total`` the weighted index vectors of the words beside each position."""
     rows, weights = of.of(hashed)
-    index = index_vectors(hashed) * weights[:, None]
+    # A row for each dimension, so that shifts and sums run along the positions.
+    index = np.ascontiguousarray((index_vectors(hashed) * weights[:, None]).T)
+    own, text = rows[codes], np.repeat(np.arange(len(by_text) - 1), np.diff(by_text))
+    margin = max(WINDOW)
     for first in range(0, len(codes), CHUNK):
-        at = np.arange(first, min(first + CHUNK, len(codes)))
-        text = np.searchsorted(by_text, at, "right") - 1
-        beside = np.zeros((len(at), DIM), np.float32)
+        last = min(first + CHUNK, len(codes))
+        low, high = max(first - margin, 0), min(last + margin, len(codes))
+        # Empty places between the texts keep their words apart.
+        place = np.arange(low, high) + margin * (text[low:high] - text[low] + 1)
+        spaced = np.zeros((DIM, int(place[-1]) - low + 1 + margin), np.float32)
+        spaced[:, place - low] = index[:, codes[low:high]]
+        beside = np.zeros_like(spaced)
+        inner = slice(margin, spaced.shape[1] - margin)
         for offset in WINDOW:
-            place = at + offset
-            inside = (place >= by_text[text]) & (place < by_text[text + 1])
-            beside[inside] += index[codes[place[inside]]]
-        own = rows[codes[at]]
-        order = np.argsort(own, kind="stable")
-        cuts = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))
+            beside[:, inner] += spaced[:, margin + offset : spaced.shape[1] - margin + offset]
+        at = place[first - low : last - low] - low
+        used, row = np.unique(own[first:last], return_inverse=True)
         # Whole numbers below 2^24, so that no sum depends on an order.
-        total[own[order][cuts]] += np.add.reduceat(beside[order], cuts, axis=0, dtype=np.float64)
+        for d in range(DIM):
+            total[used, d] += np.bincount(row, beside[d, at], len(used))
 
 
 @dataclass
@@ -165,16 +174,17 @@ def word_vectors(docs: DataFrame) -> Vectors:
     size = len(of.known) + UNITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, DIM))
-        for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            for a, b in slices(offsets):
-                codes, distinct, by_text = spelled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if len(codes):
-                    contexts(codes, hashes(distinct), by_text, of, total)
-        used = np.flatnonzero(total.any(axis=1))
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(total[used].astype(np.int64).ravel()), DIM).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(used), lists], ["unit", "sums"])
+        with task_memory():
+            total = np.zeros((size, DIM))
+            for batch in batches:
+                data, offsets = buffers(batch.column("text"))
+                for a, b in slices(offsets):
+                    codes, distinct, by_text = spelled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    if len(codes):
+                        contexts(codes, hashes(distinct), by_text, of, total)
+            used = np.flatnonzero(total.any(axis=1))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(total[used].astype(np.int64).ravel()), DIM).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(used), lists], ["unit", "sums"])
 
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "unit long, sums array<long>")
     # One row for each of at most ``WORDS + UNITS`` vectors.
@@ -199,18 +209,13 @@ def pooled(vectors: Vectors, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     shape_codes, shape_words = encoded(shapes(distinct))
     shaped = (index_vectors(hashes(shape_words)) / np.float32(np.sqrt(NONZERO)))[shape_codes]
     each = np.concatenate([vectors.of(distinct), shaped], axis=1)
-    total, square = np.zeros((rows, 2 * DIM)), np.zeros((rows, 2 * DIM))
-    # Words of a text meet in any number of chunks, so a long text needs no more memory.
-    for first in range(0, len(codes), CHUNK):
-        own = each[codes[first : first + CHUNK]]
-        cuts = np.flatnonzero(np.append(True, text[first : first + CHUNK][1:] != text[first : first + CHUNK][:-1]))
-        whose = text[first : first + CHUNK][cuts]
-        total[whose] += np.add.reduceat(own, cuts, axis=0)
-        square[whose] += np.add.reduceat(own * own, cuts, axis=0)
-    mean = total / some
-    spread = np.sqrt(np.maximum(square / some - mean * mean, 0))
-    out[:, : 2 * DIM], out[:, 2 * DIM : 3 * DIM] = mean, spread[:, DIM:]
-    seen = np.bincount(np.unique(text * (int(codes.max()) + 1) + codes) // (int(codes.max()) + 1), minlength=rows)
+    each = np.concatenate([each, each[:, DIM:] ** 2], axis=1)
+    sums = _text_sums(each, codes, by_text)
+    mean, square = sums[:, : 2 * DIM] / some, sums[:, 2 * DIM :] / some
+    out[:, : 2 * DIM] = mean
+    out[:, 2 * DIM : 3 * DIM] = np.sqrt(np.maximum(square - mean[:, DIM:] ** 2, 0))
+    different = np.sort(text * len(distinct) + codes)
+    seen = np.bincount(different[np.append(True, different[1:] != different[:-1])] // len(distinct), minlength=rows)
     again = np.bincount(text[1:][(codes[1:] == codes[:-1]) & (text[1:] == text[:-1])], minlength=rows)
     triples = _repeated_triples(codes, text, rows)
     out[:, 3 * DIM] = np.log1p(count) / 5
@@ -220,19 +225,46 @@ def pooled(vectors: Vectors, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     return out
 
 
+def _text_sums(each: np.ndarray, codes: np.ndarray, by_text: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``each`` over the words of each text."""
+    sums, count = np.zeros((len(by_text) - 1, each.shape[1])), np.diff(by_text)
+    ones = np.ones(SUM_WORDS, np.float32)
+    # Words of a text meet in any number of pieces, so a long text needs no more memory.
+    for t in np.flatnonzero(count >= LONG).tolist():
+        for first in range(by_text[t], by_text[t + 1], SUM_WORDS):
+            own = each[codes[first : min(first + SUM_WORDS, by_text[t + 1])]]
+            sums[t] += ones[: len(own)] @ own
+    short = np.flatnonzero((count > 0) & (count < LONG))
+    if len(short):
+        place = spread_ranges(by_text[short], count[short])
+        ends = np.cumsum(count[short])
+        for a, b in slices(np.append(0, ends), CHUNK):
+            begin = ends[a] - count[short[a]]
+            sums[short[a:b]] = np.add.reduceat(each[codes[place[begin : ends[b - 1]]]], ends[a:b] - count[short[a:b]] - begin, axis=0)
+    return sums
+
+
 def _repeated_triples(codes: np.ndarray, text: np.ndarray, rows: int) -> np.ndarray:
     """How many words of each text begin three words that it has had before."""
     if len(codes) < 3:
         return np.zeros(rows, np.int64)
-    mixed = codes[:-2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + codes[1:-1].astype(np.uint64)
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + codes[2:].astype(np.uint64)
-    inside = text[2:] == text[:-2]
-    key = (mixed[inside] * np.uint64(0x94D049BB133111EB)) ^ text[:-2][inside].astype(np.uint64)
-    at = text[:-2][inside]
-    _, first = np.unique(key, return_index=True)
-    again = np.ones(len(key), bool)
-    again[first] = False
-    return np.bincount(at[again], minlength=rows)
+    inside = np.flatnonzero(text[2:] == text[:-2])
+    whose, words_of, bits = text[inside], int(codes.max()) + 1, max(int(rows - 1).bit_length(), 1)
+    first, second, third = (codes[inside + i].astype(np.uint64) for i in range(3))
+    if rows * words_of**3 < 1 << 63:
+        key = (first * np.uint64(words_of) + second) * np.uint64(words_of) + third
+        width = np.uint64(words_of**3)
+        key += whose.astype(np.uint64) * width
+        key.sort()
+        owner = key // width
+    else:
+        key = first * np.uint64(0x9E3779B97F4A7C15) + second
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + third
+        key = ((key ^ (key >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(bits)
+        key |= whose.astype(np.uint64) << np.uint64(64 - bits)
+        key.sort()
+        owner = key >> np.uint64(64 - bits)
+    return np.bincount(owner[1:][key[1:] == key[:-1]].astype(np.int64), minlength=rows)
 
 
 @dataclass
