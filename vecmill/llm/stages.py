@@ -25,21 +25,23 @@ def keep_rows(docs: DataFrame, keep: Callable[[np.ndarray, np.ndarray, pa.Record
     return map_arrow(docs, run, docs.schema)
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows whose id is not in ``dropped``. Most rows pass by a filter of bounded size and are not
-    moved; only those that may be in ``dropped`` are joined with it."""
-    dropped = dropped.select("doc_id").distinct()
-    bits = id_filter(dropped)
+def by_filter(docs: DataFrame, bits: np.ndarray, maybe: bool, id_col: str = "doc_id") -> DataFrame:
+    """Rows whose id may be one of those that ``bits`` was made from, or rows whose id is none."""
     word, bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_WORDS)), F.pmod(F.xxhash64(F.lit(7), id_col), F.lit(64))
     names = docs.columns
 
-    def part(wanted: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = (bits[batch.column("_word").to_numpy()] >> batch.column("_bit").to_numpy()) & 1
-                yield batch.select(names).filter(pa.array(hit == wanted))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = (bits[batch.column("_word").to_numpy()] >> batch.column("_bit").to_numpy()) & 1
+            yield batch.select(names).filter(pa.array(hit == int(maybe)))
+
+    return docs.select(*names, word.alias("_word"), bit.alias("_bit")).mapInArrow(run, docs.schema)
 
-        return docs.select(*names, word.alias("_word"), bit.alias("_bit")).mapInArrow(run, docs.schema)
 
-    doubtful = part(1).join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col(id_col) == F.col("_dropped"), "left_anti")
-    return part(0).unionByName(doubtful)
+def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows whose id is not in ``dropped``. Most rows pass by a filter of bounded size and are not
+    moved; only those that may be in ``dropped`` are joined with it."""
+    dropped = dropped.select("doc_id").distinct()
+    bits = id_filter(dropped)
+    doubtful = by_filter(docs, bits, True, id_col).join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col(id_col) == F.col("_dropped"), "left_anti")
+    return by_filter(docs, bits, False, id_col).unionByName(doubtful)

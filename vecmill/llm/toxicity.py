@@ -1,13 +1,15 @@
 """Convolutional text classifier for toxicity (operator 5).
 
 Hashed word embeddings, convolutions of several widths, the maximum of each filter over the whole
-text, and a linear layer, all trained in numpy on a bounded sample of labelled rows. Scores are
-calibrated on a part of the sample that training did not see; thresholds per language come from the
-same part and are reported beside the score, which never looks at the language.
+text, and a linear layer, trained in numpy on all labelled rows outside the held-out fold: tasks go through
+their rows from common parameters, which are then averaged, in a few rounds. A fifth of these rows only
+calibrates; scores and thresholds per language, which are reported beside a score that never looks at the
+language, come from all rows of that fifth, counted by fine steps of their logit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,8 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmill.llm.columnar import LOWER_ASCII, bound_batches, buffers, encoded, id_text, map_arrow, slices, strings, words
-from vecmill.llm.labelled import Adam, bare, class_totals, hashes, platt, remainder, sample_ids, sigmoid
+from vecmill.llm.bottomk import id_filter
+from vecmill.llm.columnar import LOWER_ASCII, bound_batches, buffers, encoded, map_arrow, slices, strings, task_memory, words
+from vecmill.llm.labelled import Adam, bare, hashes, platt, remainder, sigmoid
+from vecmill.llm.stages import by_filter
+from vecmill.session import cut_lineage
 
 BUCKET_BITS = 22
 DIM = 8
@@ -26,9 +31,14 @@ EPOCHS = 4
 BATCH = 64
 RATE = 0.01
 FOLDS, HELD = 4, 2
-# Bounds of the training sample: rows of each class, and words of a row that may be in it.
-SAMPLE_ROWS = 3000
-SAMPLE_WORDS = 20_000
+# One row in this many calibrates.
+CALIBRATES = 5
+# Bound of the embeddings, those of the buckets that tell most about the class (4 MB); not of what is counted.
+MOST_BUCKETS = 1 << 17
+# Changes of parameters are added up as integers, so that sums do not depend on the order of rows.
+DELTA_UNIT = 1 << 30
+# Logits are counted by steps of one of these.
+LOGIT_STEPS = 4096
 CUT = 0.3
 SEED = 7
 
@@ -96,19 +106,10 @@ class Model:
         return sigmoid(self.slope * logits + self.intercept)
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """Fit on bucket sequences. Embeddings exist for buckets in three texts or more; their first
-    component starts at the log-odds of the class where these are significant."""
+def start(known: np.ndarray, count: np.ndarray, ones: np.ndarray, share: float) -> Model:
+    """A model with embeddings for the buckets ``known``, in order, which are in ``count`` texts and in ``ones``
+    of class 1. Their first component starts at the log-odds of the class where these are significant."""
     rng = np.random.default_rng(SEED)
-    labels = labels.astype(float)
-    seen = [np.unique(t) for t in texts]
-    flat = np.concatenate(seen) if seen else np.zeros(0, np.int64)
-    positive = np.repeat(labels, [len(s) for s in seen]) if seen else flat
-    known, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    ones = np.bincount(inverse, weights=positive, minlength=len(known))
-    often = count >= 3
-    known, count, ones = known[often], count[often], ones[often]
-    share = float(np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99))
     sure = np.abs(ones - count * share) > 4 * np.sqrt(count * share * (1 - share))
     odds = np.log((ones + 0.5) / (count - ones + 0.5)) - np.log(share / (1 - share))
     table = np.zeros((len(known) + 1, DIM), np.float32)
@@ -120,31 +121,89 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoc
     size = len(WIDTHS) * FILTERS
     out = rng.normal(0, 0.1, size).astype(np.float32)
     out[::FILTERS] = 1.0
-    model = Model(known, table, kernels, np.zeros(size, np.float32), out, np.full(1, -2, np.float32))
-    if not len(texts) or labels.min() == labels.max():
-        model.shift[0] = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)) if len(texts) else 0.0
-        model.out[:] = 0
-        return model
-    rows = [model.rows(t) for t in texts]
-    adam = Adam([table, *kernels, model.bias, model.out, model.shift], RATE)
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), BATCH):
-            _step(model, adam, [rows[i] for i in order[at : at + BATCH]], labels[order[at : at + BATCH]], weights[order[at : at + BATCH]])
-    return model
+    return Model(known, table, kernels, np.zeros(size, np.float32), out, np.full(1, -2, np.float32))
+
+
+class RowAdam:
+    """Adaptive steps for the rows of a table that a gradient touches; the others stay."""
+
+    def __init__(self, table: np.ndarray, rate: float):
+        self.table, self.rate = table, rate
+        self.mean, self.square = np.zeros_like(table), np.zeros_like(table)
+        self.steps = np.zeros((len(table), 1), np.float32)
+
+    def update(self, rows: np.ndarray, gradient: np.ndarray) -> None:
+        self.steps[rows] += 1
+        steps = self.steps[rows]
+        mean = self.mean[rows] + 0.1 * (gradient - self.mean[rows])
+        square = self.square[rows] + 0.001 * (gradient * gradient - self.square[rows])
+        self.mean[rows], self.square[rows] = mean, square
+        fix = np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
+        self.table[rows] -= self.rate * fix * mean / (np.sqrt(square) + 1e-8)
+
+
+def train(rows: DataFrame, model: Model, epochs: int = EPOCHS) -> None:
+    """Fit ``model`` to all ``rows (label, words)``: each task steps through its own, then every parameter becomes
+    the average of the tasks that have changed it, weighted with their rows."""
+    size = len(model.table)
+
+    def dense(of: Model) -> np.ndarray:
+        flat = np.concatenate([p.ravel() for p in (*of.kernels, of.bias, of.out, of.shift)])
+        return np.concatenate([flat, np.zeros(-len(flat) % DIM, np.float32)]).reshape(-1, DIM)
+
+    for epoch in range(epochs):
+
+        def run(batches: Iterator[pa.RecordBatch], epoch: int = epoch) -> Iterator[pa.RecordBatch]:
+            with task_memory():
+                own = Model(model.known, model.table.copy(), [k.copy() for k in model.kernels], model.bias.copy(), model.out.copy(), model.shift.copy())
+                adam, table_adam, seen = Adam([*own.kernels, own.bias, own.out, own.shift], RATE), RowAdam(own.table, RATE), 0
+                for batch in batches:
+                    labels, lists = batch.column("label").to_numpy().astype(float), batch.column("words")
+                    places = own.rows(lists.flatten().to_numpy().astype(np.int64))
+                    ends = np.cumsum(lists.value_lengths().to_numpy())
+                    texts = np.split(places, ends[:-1]) if len(ends) else []
+                    order = np.random.default_rng([SEED, epoch]).permutation(len(texts))
+                    for at in range(0, len(order), BATCH):
+                        _step(own, adam, table_adam, [texts[i] for i in order[at : at + BATCH]], labels[order[at : at + BATCH]])
+                    seen += len(texts)
+                if not seen:
+                    return
+                moved = np.flatnonzero(table_adam.steps[:, 0])
+                after, before = dense(own), dense(model)
+                delta = np.concatenate([own.table[moved] - model.table[moved], after - before]).astype(float)
+                units = np.rint(delta * (seen * DELTA_UNIT)).astype(np.int64)
+                names = ["row", "seen", *[f"d{i}" for i in range(DIM)]]
+                row = np.concatenate([moved, size + np.arange(len(after))])
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.full(len(row), seen)), *[pa.array(c) for c in units.T]], names)
+
+        schema = f"row long, seen long, {', '.join(f'd{i} long' for i in range(DIM))}"
+        sums = [F.sum(c).alias(c) for c in ("seen", *[f"d{i}" for i in range(DIM)])]
+        # One row for each embedding that a task has changed, and some for the other parameters.
+        found = rows.select("label", "words").mapInArrow(run, schema).groupBy("row").agg(*sums).toPandas()
+        if not len(found):
+            return
+        change = found[[f"d{i}" for i in range(DIM)]].to_numpy(float) / DELTA_UNIT / found[["seen"]].to_numpy(float)
+        row = found["row"].to_numpy(np.int64)
+        model.table[row[row < size]] += change[row < size].astype(np.float32)
+        flat = np.zeros_like(dense(model))
+        flat[row[row >= size] - size] = change[row >= size]
+        flat, at = flat.ravel(), 0
+        for part in (*model.kernels, model.bias, model.out, model.shift):
+            part += flat[at : at + part.size].reshape(part.shape)
+            at += part.size
 
 
-def _step(model: Model, adam: Adam, batch: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> None:
+def _step(model: Model, adam: Adam, table_adam: RowAdam, batch: list[np.ndarray], labels: np.ndarray) -> None:
     flat = np.concatenate(batch)
     by_text = np.concatenate([[0], np.cumsum([len(b) for b in batch])])
     distinct, codes = np.unique(flat, return_inverse=True)
     pooled, places = model.pooled(codes, distinct, by_text, where=True)
     active = pooled + model.bias > 0
     hidden = np.where(active, pooled + model.bias, 0)
-    error = (weights * (sigmoid(hidden @ model.out + model.shift[0]) - labels) / max(weights.sum(), 1e-9)).astype(np.float32)
+    error = ((sigmoid(hidden @ model.out + model.shift[0]) - labels) / len(labels)).astype(np.float32)
     back = np.where(active, error[:, None] * model.out, 0)
     back[np.diff(by_text) == 0] = 0
-    table = np.zeros_like(model.table)
+    touched, parts = [], []
     kernels = [np.zeros_like(k) for k in model.kernels]
     ends = by_text[1:, None]
     for w, (width, kernel) in enumerate(zip(WIDTHS, model.kernels)):
@@ -154,10 +213,15 @@ def _step(model: Model, adam: Adam, batch: list[np.ndarray], labels: np.ndarray,
             word = np.where(at < ends, flat[np.minimum(at, max(len(flat) - 1, 0))], 0) if len(flat) else np.zeros_like(at)
             part = np.where(at < ends, back[:, own], 0)
             kernels[w][step] = np.einsum("tf,tfd->df", part, model.table[word])
-            np.add.at(table, word.ravel(), (part[:, :, None] * kernel[step].T[None]).reshape(-1, DIM))
-    table[0] = 0
-    adam.update([table, *kernels, back.sum(axis=0), hidden.T @ error + 1e-4 * model.out, np.array([error.sum()])])
-    model.table[0] = 0
+            touched.append(word.ravel())
+            parts.append((part[:, :, None] * kernel[step].T[None]).reshape(-1, DIM))
+    touched, parts = np.concatenate(touched), np.concatenate(parts)
+    # Row 0 stays zero; what has no part in the error does not move.
+    some = (touched > 0) & parts.any(axis=1)
+    rows, place = np.unique(touched[some], return_inverse=True)
+    gradient = np.stack([np.bincount(place, parts[some, d], len(rows)) for d in range(DIM)], axis=1).astype(np.float32)
+    table_adam.update(rows, gradient)
+    adam.update([*kernels, back.sum(axis=0), hidden.T @ error + 1e-4 * model.out, np.array([error.sum()])])
 
 
 def best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
@@ -172,50 +236,83 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray)
     return float((s[place] + below) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> Model:
-    """Train and calibrate on at most ``sample_rows`` labelled rows of each class that have at most
-    ``sample_words`` words; a fifth of them only calibrates."""
-    chosen = sample_ids(labels, label, FOLDS, HELD, sample_rows)
+def learning_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """``(lang, label, calibrates, words)`` of every row of ``docs`` that has a label outside the held-out
+    fold; of several labels of one id the largest counts. ``words`` are buckets, and all of the text's."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder("doc_id", FOLDS) != HELD))
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("label"))
     bound_batches(docs.sparkSession)
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    source = source.join(F.broadcast(chosen), "doc_id")
+    source = docs.where(F.col("doc_id").isNotNull() & (remainder("doc_id", FOLDS) != HELD))
+    source = source.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    if known.schema["_id"].dataType == source.schema["doc_id"].dataType:
+        # Texts that have no label do not move, but for few.
+        source = by_filter(source, id_filter(known.select(F.col("_id").alias("doc_id"))), True)
+    source = source.join(known, F.col("doc_id") == F.col("_id"))
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(label)), F.lit(CALIBRATES)) == 0
+    source = source.select("lang", "label", part.alias("calibrates"), "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = buffers(batch.column("text"))
         codes, bucket, by_text = buckets(data, offsets)
         lists = pa.ListArray.from_arrays(pa.array(by_text, pa.int32()), pa.array(bucket[codes].astype(np.int32)))
-        short = pa.array(np.diff(by_text) <= sample_words)
-        names = ["doc_id", "lang", "label", "words"]
-        out = pa.RecordBatch.from_arrays([*[batch.column(n) for n in names[:3]], lists], names)
-        return out.filter(short)
+        names = ["lang", "label", "calibrates", "words"]
+        return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names[:3]], lists], names)
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    found = map_arrow(source, run, f"doc_id {kind}, lang string, label int, words array<int>").toPandas()
-    found = found.sort_values(["doc_id", "label"], kind="stable").drop_duplicates("doc_id")
-    totals = class_totals(labels, label, FOLDS, HELD)
-    texts = [np.asarray(w, np.int64) for w in found["words"]]
-    y = found["label"].to_numpy(int)
-    # Rows of a class that was cut to the bound count for those left out. Labels whose document is not
-    # in ``docs`` have no weight: a pipeline trains on what its stages have kept.
-    weights = np.ones(len(y))
-    for c in (0, 1):
-        if (y == c).any():
-            weights[y == c] = max(totals.get(c, 1) / sample_rows, 1.0)
-    weights /= weights.mean() if len(weights) else 1.0
-    fold = np.arange(len(y)) % 5 == 0
-    model = train([t for t, f in zip(texts, fold) if not f], y[~fold], np.ones((~fold).sum()))
-    check = [t for t, f in zip(texts, fold) if f]
-    if check:
-        by_text = np.concatenate([[0], np.cumsum([len(t) for t in check])])
-        flat = np.concatenate(check)
-        logits = model.logits(model.pooled(np.arange(len(flat)), model.rows(flat), by_text)[0]).astype(float)
-        model.slope, model.intercept = platt(logits, y[fold].astype(float), weights[fold])
-        scores = sigmoid(model.slope * logits + model.intercept)
-        langs = found["lang"].to_numpy(object)[fold]
-        for lang in {x for x in langs.tolist() if x is not None}:
+    return map_arrow(source, run, "lang string, label int, calibrates boolean, words array<int>")
+
+
+def bucket_counts(rows: DataFrame) -> DataFrame:
+    """``(bucket, n, ones)``: the texts that hold a bucket, and those of class 1 among them."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("words")
+        text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        pairs = np.unique((text << BUCKET_BITS) + lists.flatten().to_numpy())
+        bucket, inverse, count = np.unique(pairs & ((1 << BUCKET_BITS) - 1), return_inverse=True, return_counts=True)
+        ones = np.bincount(inverse, batch.column("label").to_numpy()[pairs >> BUCKET_BITS], len(bucket)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(count), pa.array(ones)], ["bucket", "n", "ones"])
+
+    counted = map_arrow(rows.select("label", "words"), run, "bucket long, n long, ones long")
+    return counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
+    """Train on all labelled rows outside the held-out fold but a fifth of them, which calibrates the
+    score and sets the thresholds. Labels whose document is not in ``docs`` do not count: a pipeline trains
+    on what its stages have kept."""
+    rows = cut_lineage(learning_rows(docs, labels, label), "toxicity-rows")
+    learns = rows.where("not calibrates")
+    totals = {r["label"]: r["n"] for r in learns.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    every, ones = sum(totals.values()), totals.get(1, 0)
+    share = float(np.clip(ones / every if every else 0.5, 0.01, 0.99))
+    sure = F.abs(F.col("ones") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
+    found = bucket_counts(learns).where("n >= 3").orderBy(sure.desc(), "bucket").limit(MOST_BUCKETS).toPandas().sort_values("bucket")
+    model = start(found["bucket"].to_numpy(np.int64), found["n"].to_numpy(float), found["ones"].to_numpy(float), share)
+    if 0 < ones < every:
+        train(learns, model)
+    else:
+        model.shift[0] = np.log((ones + 0.5) / (every - ones + 0.5)) if every else 0.0
+        model.out[:] = 0
+
+    def logits(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("words")
+        by_text = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        flat = lists.flatten().to_numpy().astype(np.int64)
+        values = model.logits(model.pooled(np.arange(len(flat)), model.rows(flat), by_text)[0]).astype(float)
+        steps = np.rint(np.clip(values, -100, 100) * LOGIT_STEPS).astype(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("label"), pa.array(steps)], ["lang", "label", "step"])
+
+    scored = map_arrow(rows.where("calibrates").select("lang", "label", "words"), logits, "lang string, label int, step long")
+    check = scored.groupBy("lang", "label", "step").agg(F.count("*").alias("n")).orderBy("step", "label", "lang").toPandas()
+    if len(check):
+        at, y, weights = check["step"].to_numpy(float) / LOGIT_STEPS, check["label"].to_numpy(float), check["n"].to_numpy(float)
+        model.slope, model.intercept = platt(at, y, weights)
+        scores = sigmoid(model.slope * at + model.intercept)
+        langs = check["lang"].to_numpy(object)
+        for lang in {x for x in langs.tolist() if isinstance(x, str)}:
             own = langs == lang
-            if (y[fold][own] == 1).sum() >= 20 and (y[fold][own] == 0).sum() >= 20:
-                model.thresholds[lang] = best_threshold(scores[own], y[fold][own], weights[fold][own])
+            if weights[own][y[own] == 1].sum() >= 20 and weights[own][y[own] == 0].sum() >= 20:
+                model.thresholds[lang] = best_threshold(scores[own], y[own], weights[own])
     return model
 
 
