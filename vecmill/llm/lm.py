@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecmill.llm.columnar import LOWER_ASCII, bound_batches, buffers, encoded, id_text, map_arrow, segment_sum, slices, strings, words
+from vecmill.llm.columnar import LOWER_ASCII, bound_batches, buffers, encoded, id_text, map_arrow, segment_sum, slices, strings, task_memory, words
 from vecmill.llm.labelled import hashes
 from vecmill.session import cut_lineage
 
@@ -42,6 +42,8 @@ ROUNDS = 2
 BATCH = 4096
 RATE = 0.1
 SEED = 13
+# Sums of exponentials of logits up to this keep single precision without a shift.
+LARGEST_LOGIT = 60.0
 BLOCK = 32
 # Logarithms of counts are added up as integers, so that sums do not depend on the order of rows.
 LOG_UNIT = 1e9
@@ -108,12 +110,13 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            for a, b in slices(offsets):
-                codes, hashed, _ = _hashed(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if len(codes):
-                    yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(np.bincount(codes))], ["word", "n"])
+        with task_memory():
+            for batch in batches:
+                data, offsets = buffers(batch.column("text"))
+                for a, b in slices(offsets):
+                    codes, hashed, _ = _hashed(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    if len(codes):
+                        yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(np.bincount(codes))], ["word", "n"])
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word long, n long")
     counts = cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
@@ -179,43 +182,63 @@ class Network:
         table, mix, bias = self.parts[:3]
         return np.tanh(table[context].reshape(len(context), -1) @ mix.reshape(-1, HIDDEN) + bias)
 
+    def small(self) -> bool:
+        """Whether no logit can be so large or so small that its exponential leaves single precision."""
+        top, top_bias, low, low_bias = self.parts[3:]
+        outer = np.abs(top).sum(axis=0) + np.abs(top_bias)
+        inner = np.abs(low).sum(axis=1) + np.abs(low_bias)
+        return bool(max(outer.max(), inner.max()) < LARGEST_LOGIT)
+
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target class in its context."""
-        hidden = self.hidden(context)
-        logits = hidden @ self.parts[3] + self.parts[4]
-        group, member = target // self.width, target % self.width
-        out = np.zeros(len(target))
-        rows = np.arange(len(target))
-        top = logits.max(axis=1)
-        out += logits[rows, group] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        for g, own in _by_group(group, self.groups):
-            inner = hidden[own] @ self.parts[5][g] + self.parts[6][g]
-            top = inner.max(axis=1)
-            out[own] += inner[np.arange(len(own)), member[own]] - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
+        top, top_bias, low, low_bias = self.parts[3:]
+        small = self.small()
+        # Positions of one group lie side by side, so that its part is a view.
+        order = _order(target // self.width, self.groups)
+        group, member = target[order] // self.width, target[order] % self.width
+        hidden, found = np.empty((len(target), HIDDEN), np.float32), np.zeros(len(target))
+        for first in range(0, len(target), BATCH):
+            own = slice(first, first + BATCH)
+            hidden[own] = self.hidden(context[order[own]])
+            found[own] = _log_parts(hidden[own] @ top, top_bias, group[own], small)
+        for g, first, last in _by_group(group, self.groups):
+            found[first:last] += _log_parts(hidden[first:last] @ low[g], low_bias[g], member[first:last], small)
+        out = np.empty(len(target))
+        out[order] = found
         return out
 
     def step(self, rates: Rates, context: np.ndarray, target: np.ndarray) -> None:
         """One step on these positions; only the rows and groups that they touch are changed."""
         table, mix, bias, top, top_bias, low, low_bias = self.parts
+        small = self.small()
+        order = _order(target // self.width, self.groups)
+        context, group, member = context[order], target[order] // self.width, target[order] % self.width
         before = table[context].reshape(len(context), -1)
         hidden = np.tanh(before @ mix.reshape(-1, HIDDEN) + bias)
-        group, member = target // self.width, target % self.width
         scale = np.float32(1 / len(target))
-        outer = _softmax(hidden @ top + top_bias)
-        outer[np.arange(len(target)), group] -= 1
-        outer *= scale
+        rows = np.arange(len(target))
+        outer = _scaled_softmax(hidden @ top, top_bias, scale, small)
+        outer[rows, group] -= scale
         back = outer @ top.T
-        for g, own in _by_group(group, self.groups):
-            inner = _softmax(hidden[own] @ low[g] + low_bias[g])
-            inner[np.arange(len(own)), member[own]] -= 1
-            inner *= scale
-            back[own] += inner @ low[g].T
-            rates.update(5, g, hidden[own].T @ inner)
-            rates.update(6, g, inner.sum(axis=0))
+        # A last one beside the hidden values, for the biases.
+        longer = np.concatenate([hidden, np.ones((len(hidden), 1), np.float32)], axis=1)
+        inner, touched = np.empty((len(target), self.width), np.float32), _by_group(group, self.groups)
+        at = slice(None) if len(touched) == self.groups else np.array([g for g, _, _ in touched], np.int64)
+        parts = np.concatenate([low[at], low_bias[at][:, None]], axis=1)
+        for part, (_, first, last) in zip(parts, touched):
+            np.matmul(longer[first:last], part, out=inner[first:last])
+        inner = _scaled_softmax(inner, None, scale, small)
+        inner[rows, member] -= scale
+        to_parts = np.empty_like(parts)
+        for part, to_part, (_, first, last) in zip(parts, to_parts, touched):
+            back[first:last] += inner[first:last] @ part[:HIDDEN].T
+            np.matmul(longer[first:last].T, inner[first:last], out=to_part)
+        rates.update(5, at, to_parts[:, :HIDDEN])
+        rates.update(6, at, to_parts[:, HIDDEN])
         back *= 1 - hidden * hidden
         to_table = (back @ mix.reshape(-1, HIDDEN).T).reshape(-1, DIM)
         flat = context.ravel()
-        order = np.argsort(flat, kind="stable")
+        order = _order(flat, self.classes)
         cuts = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
         rates.update(1, slice(None), (before.T @ back).reshape(mix.shape))
         rates.update(2, slice(None), back.sum(axis=0))
@@ -232,35 +255,63 @@ class Rates:
         self.squares = Network(np.full(len(net.flat), 1e-10, np.float32), net.classes).parts
 
     def update(self, part: int, at: int | slice | np.ndarray, gradient: np.ndarray) -> None:
-        seen = self.squares[part][at] + gradient * gradient
+        seen = gradient * gradient
+        seen += self.squares[part][at]
         self.squares[part][at] = seen
-        self.parts[part][at] -= self.rate * gradient / np.sqrt(seen)
+        np.sqrt(seen, out=seen)
+        np.divide(gradient, seen, out=seen)
+        seen *= self.rate
+        self.parts[part][at] -= seen
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    out = np.exp(logits - logits.max(axis=1, keepdims=True))
-    out /= out.sum(axis=1, keepdims=True)
-    return out
+def _order(values: np.ndarray, most: int) -> np.ndarray:
+    """Their stable order; short integers are sorted by their digits, which is faster."""
+    return np.argsort(values.astype(np.uint16) if most < 1 << 16 else values, kind="stable")
 
 
-def _by_group(group: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(groups + 1))
-    for g in np.flatnonzero(cuts[1:] > cuts[:-1]):
-        yield int(g), order[cuts[g] : cuts[g + 1]]
+def _biased(logits: np.ndarray, bias: np.ndarray | None, small: bool) -> np.ndarray:
+    """Logits, in their place, with a bias; large ones less the greatest of their row."""
+    if bias is not None:
+        logits += bias
+    if not small:
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
 
 
-def _contexts(classes: np.ndarray, by_text: np.ndarray, at: np.ndarray, outside: int) -> np.ndarray:
-    """Classes around each position; beyond the ends of its text lies the class ``outside``."""
-    text = np.searchsorted(by_text, at, "right") - 1
-    out = np.full((len(at), len(OFFSETS)), outside)
-    for j, offset in enumerate(OFFSETS):
-        place = at + offset
-        inside = (place >= by_text[text]) & (place < by_text[text + 1])
-        out[inside, j] = classes[place[inside]]
+def _scaled_softmax(logits: np.ndarray, bias: np.ndarray | None, scale: np.float32, small: bool) -> np.ndarray:
+    """``scale`` times the softmax, in the place of ``logits``."""
+    out = np.exp(_biased(logits, bias, small), out=logits)
+    out *= (scale / (out @ np.ones(out.shape[1], np.float32)))[:, None]
     return out
 
 
+def _log_parts(logits: np.ndarray, bias: np.ndarray, target: np.ndarray, small: bool) -> np.ndarray:
+    """Logarithm of the softmax at each target; works in the place of ``logits``."""
+    own = _biased(logits, bias, small)[np.arange(len(target)), target]
+    np.exp(logits, out=logits)
+    return own.astype(float) - np.log(logits @ np.ones(logits.shape[1], np.float32))
+
+
+def _by_group(group: np.ndarray, groups: int) -> list[tuple[int, int, int]]:
+    """The groups that occur in ``group``, which is in order, and where each begins and ends."""
+    cuts = np.searchsorted(group, np.arange(groups + 1)).tolist()
+    return [(g, cuts[g], cuts[g + 1]) for g in range(groups) if cuts[g + 1] > cuts[g]]
+
+
+def _spaced(classes: np.ndarray, by_text: np.ndarray, outside: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes with places of the class ``outside`` around each text, and where each word is."""
+    margin = max(OFFSETS)
+    place = np.arange(len(classes)) + margin * (np.repeat(np.arange(len(by_text) - 1), np.diff(by_text)) + 1)
+    spaced = np.full(len(classes) + margin * (len(by_text) + 1), outside)
+    spaced[place] = classes
+    return spaced, place
+
+
+def _contexts(spaced: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Classes around each place; beyond the ends of its text lies the class ``outside``."""
+    return spaced[place[:, None] + np.array(OFFSETS)]
+
+
 def positions(by_text: np.ndarray, number: int, rounds: int) -> np.ndarray:
     """Positions that round ``number`` trains on: those in turn within each text, so that every
     position belongs to one round however the texts are dealt."""
@@ -279,26 +330,28 @@ def train(docs: DataFrame, words_of: Vocabulary, rounds: int = ROUNDS, text_col:
         begin = net.flat.copy()
 
         def run(batches: Iterator[pa.RecordBatch], begin=begin, number=number) -> Iterator[pa.RecordBatch]:
-            own, seen = Network(begin.copy(), classes), 0
-            rates = Rates(own)
-            for batch in batches:
-                data, offsets = buffers(batch.column("text"))
-                for a, b in slices(offsets):
-                    codes, hashed, by_text = _hashed(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    if not len(codes):
-                        continue
-                    placed = lookup.of(hashed)[0][codes]
-                    at = np.random.default_rng(number).permutation(positions(by_text, number, rounds))
-                    for first in range(0, len(at), BATCH):
-                        some = at[first : first + BATCH]
-                        own.step(rates, _contexts(placed, by_text, some, classes), placed[some])
-                        seen += len(some)
-            if seen:
-                padded = np.zeros(blocks * BLOCK)
-                padded[:size] = own.flat.astype(float) * seen
-                columns = [pa.array(np.arange(blocks)), pa.array(np.full(blocks, float(seen)))]
-                columns += [pa.array(c) for c in padded.reshape(blocks, BLOCK).T]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "seen", *[f"v{i}" for i in range(BLOCK)]])
+            with task_memory():
+                own, seen = Network(begin.copy(), classes), 0
+                rates = Rates(own)
+                for batch in batches:
+                    data, offsets = buffers(batch.column("text"))
+                    for a, b in slices(offsets):
+                        codes, hashed, by_text = _hashed(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                        if not len(codes):
+                            continue
+                        placed = lookup.of(hashed)[0][codes]
+                        spaced, place = _spaced(placed, by_text, classes)
+                        at = np.random.default_rng(number).permutation(positions(by_text, number, rounds))
+                        for first in range(0, len(at), BATCH):
+                            some = at[first : first + BATCH]
+                            own.step(rates, _contexts(spaced, place[some]), placed[some])
+                            seen += len(some)
+                if seen:
+                    padded = np.zeros(blocks * BLOCK)
+                    padded[:size] = own.flat.astype(float) * seen
+                    columns = [pa.array(np.arange(blocks)), pa.array(np.full(blocks, float(seen)))]
+                    columns += [pa.array(c) for c in padded.reshape(blocks, BLOCK).T]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "seen", *[f"v{i}" for i in range(BLOCK)]])
 
         schema = f"block long, seen double, {', '.join(f'v{i} double' for i in range(BLOCK))}"
         summed = source.mapInArrow(run, schema).groupBy("block").agg(
@@ -331,10 +384,11 @@ def score(docs: DataFrame, words_of: Vocabulary, net: Network, id_col: str = "do
             distinct, found = lookup.of(hashed)
             parts = lookup.part(hashed, distinct, found)
             classes = distinct[codes]
+            spaced, place = _spaced(classes, by_text, net.classes)
             each = np.zeros(len(classes))
             for first in range(0, len(classes), 1 << 15):
-                at = np.arange(first, min(first + (1 << 15), len(classes)))
-                each[at] = net.log_probs(_contexts(classes, by_text, at, net.classes), classes[at])
+                at = slice(first, first + (1 << 15))
+                each[at] = net.log_probs(_contexts(spaced, place[at]), classes[at])
             each += parts[codes]
             counts.append(np.diff(by_text))
             sums.append(segment_sum(each, by_text))
