@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecmill.operators.batches import release_memory
+
 SLICE_BYTES = 2 << 20
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
@@ -53,7 +55,7 @@ def task_memory() -> Iterator[None]:
         yield
     finally:
         _KEPT.clear()
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
