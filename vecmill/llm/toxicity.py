@@ -33,6 +33,9 @@ RATE = 0.01
 FOLDS, HELD = 4, 2
 # One row in this many calibrates.
 CALIBRATES = 5
+# Rows that a task steps through between averages, so that a round is long enough to learn in; more rows
+# make more tasks.
+TASK_ROWS = 4096
 # Bound of the embeddings, those of the buckets that tell most about the class (4 MB); not of what is counted.
 MOST_BUCKETS = 1 << 17
 # Changes of parameters are added up as integers, so that sums do not depend on the order of rows.
@@ -289,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     found = bucket_counts(learns).where("n >= 3").orderBy(sure.desc(), "bucket").limit(MOST_BUCKETS).toPandas().sort_values("bucket")
     model = start(found["bucket"].to_numpy(np.int64), found["n"].to_numpy(float), found["ones"].to_numpy(float), share)
     if 0 < ones < every:
-        train(learns, model)
+        train(learns.coalesce(max(every // TASK_ROWS, 1)), model)
     else:
         model.shift[0] = np.log((ones + 0.5) / (every - ones + 0.5)) if every else 0.0
         model.out[:] = 0
