@@ -43,3 +43,29 @@ def test_sums_of_long_and_short_texts(monkeypatch):
     triples = quality._repeated_triples(codes, np.repeat(np.arange(len(texts)), np.diff(by_text)), len(texts))
     words = [re.findall(r"\S+", t) for t in texts]
     assert triples.tolist() == [max(len(w) - 2, 0) - len({tuple(w[i : i + 3]) for i in range(len(w) - 2)}) for w in words]
+
+
+def test_packed_words_move_and_are_whole():
+    rng = np.random.default_rng(5)
+    texts = ["", None, "  ", "one", " ".join(f"w{k}" for k in rng.integers(0, 9000, 5000)), "x " * 9000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["en"] * 6), pa.array(texts)], ["doc_id", "lang", "text"])
+    found = toxicity.packed(batch)
+    codes, bucket, by_text = toxicity.buckets(*toxicity.buffers(batch.column("text")))
+    lists = toxicity.unpacked(found.column("words"), found.column("n").to_numpy())
+    assert lists.to_pylist() == [bucket[codes[a:b]].tolist() for a, b in zip(by_text, by_text[1:])]
+    assert found.column("n").to_pylist() == [0, 0, 0, 1, 5000, 9000]
+    assert max(map(len, found.column("words").to_pylist())) < 3 * 5000 < len(texts[4])
+
+
+def test_no_text_is_dealt_for_the_labels(spark):
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = toxicity.learning_rows(docs, labels)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = plan.index("Join")
+    assert "text" not in plan[join : plan.index("MapInArrow", join)]
+    assert sum(len(r.words) for r in rows.collect()) == 2 * rows.count() > 0

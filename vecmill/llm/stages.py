@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecmill.llm.bottomk import FILTER_WORDS, id_filter
-from vecmill.llm.columnar import buffers, map_arrow, slices
+from vecmill.llm.columnar import buffers, map_arrow, slices, task_memory
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[np.ndarray, np.ndarray, pa.RecordBatch], np.ndarray], text_col: str = "text") -> DataFrame:
@@ -25,17 +25,23 @@ def keep_rows(docs: DataFrame, keep: Callable[[np.ndarray, np.ndarray, pa.Record
     return map_arrow(docs, run, docs.schema)
 
 
-def by_filter(docs: DataFrame, bits: np.ndarray, maybe: bool, id_col: str = "doc_id") -> DataFrame:
-    """Rows whose id may be one of those that ``bits`` was made from, or rows whose id is none."""
+def by_filter(
+    docs: DataFrame, bits: np.ndarray, maybe: bool, id_col: str = "doc_id", then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str | None = None
+) -> DataFrame:
+    """Rows whose id may be one of those that ``bits`` was made from, or rows whose id is none. ``then`` turns those
+    that pass into rows of ``schema`` in the same worker."""
     word, bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_WORDS)), F.pmod(F.xxhash64(F.lit(7), id_col), F.lit(64))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = (bits[batch.column("_word").to_numpy()] >> batch.column("_bit").to_numpy()) & 1
-            yield batch.select(names).filter(pa.array(hit == int(maybe)))
-
-    return docs.select(*names, word.alias("_word"), bit.alias("_bit")).mapInArrow(run, docs.schema)
+        with task_memory():
+            for batch in batches:
+                hit = (bits[batch.column("_word").to_numpy()] >> batch.column("_bit").to_numpy()) & 1
+                passed = batch.select(names).filter(pa.array(hit == int(maybe)))
+                if passed.num_rows:
+                    yield then(passed) if then else passed
+
+    return docs.select(*names, word.alias("_word"), bit.alias("_bit")).mapInArrow(run, schema or docs.schema)
 
 
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:

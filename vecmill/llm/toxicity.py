@@ -9,6 +9,7 @@ language, come from all rows of that fifth, counted by fine steps of their logit
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -239,29 +240,56 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray)
     return float((s[place] + below) / 2)
 
 
+def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``(doc_id, lang, n, words)`` of texts: how many words each has, and their buckets, three bytes a word, pressed."""
+    data, offsets = buffers(batch.column("text"))
+    blobs, counts = [], []
+    for a, b in slices(offsets):
+        codes, bucket, by_text = buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        three = bucket.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3][codes]
+        blobs += [zlib.compress(three[first:last].tobytes(), 1) for first, last in zip(by_text[:-1].tolist(), by_text[1:].tolist())]
+        counts.append(np.diff(by_text))
+    columns = [batch.column("doc_id"), batch.column("lang"), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(blobs, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "n", "words"])
+
+
+def unpacked(blobs: pa.Array, counts: np.ndarray) -> pa.ListArray:
+    """The buckets of all words of each text."""
+    three = np.frombuffer(b"".join(zlib.decompress(blob) for blob in blobs.to_pylist()), np.uint8).reshape(-1, 3)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(three @ np.array([1, 1 << 8, 1 << 16], np.int32)))
+
+
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """``(lang, label, calibrates, words)`` of every row of ``docs`` that has a label outside the held-out
-    fold; of several labels of one id the largest counts. ``words`` are buckets, and all of the text's."""
+    fold; of several labels of one id the largest counts. ``words`` are buckets, and all of the text's. Packed
+    buckets are moved to the labels, never texts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder("doc_id", FOLDS) != HELD))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("label"))
     bound_batches(docs.sparkSession)
     source = docs.where(F.col("doc_id").isNotNull() & (remainder("doc_id", FOLDS) != HELD))
     source = source.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang string, n long, words binary"
     if known.schema["_id"].dataType == source.schema["doc_id"].dataType:
-        # Texts that have no label do not move, but for few.
-        source = by_filter(source, id_filter(known.select(F.col("_id").alias("doc_id"))), True)
+        # What has no label does not move, but for little.
+        source = by_filter(source, id_filter(known.select(F.col("_id").alias("doc_id"))), True, then=packed, schema=schema)
+    else:
+        source = map_arrow(source, packed, schema)
     source = source.join(known, F.col("doc_id") == F.col("_id"))
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(label)), F.lit(CALIBRATES)) == 0
-    source = source.select("lang", "label", part.alias("calibrates"), "text")
+    source = source.select("lang", "label", part.alias("calibrates"), "n", "words")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = buffers(batch.column("text"))
-        codes, bucket, by_text = buckets(data, offsets)
-        lists = pa.ListArray.from_arrays(pa.array(by_text, pa.int32()), pa.array(bucket[codes].astype(np.int32)))
-        names = ["lang", "label", "calibrates", "words"]
-        return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names[:3]], lists], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task_memory():
+            for batch in batches:
+                counts = batch.column("n").to_numpy()
+                # Pressed words may be many more than their bytes.
+                for a, b in slices(np.concatenate([[0], np.cumsum(4 * counts)])):
+                    some = batch.slice(a, b - a)
+                    names = ["lang", "label", "calibrates"]
+                    yield pa.RecordBatch.from_arrays([*[some.column(n) for n in names], unpacked(some.column("words"), counts[a:b])], [*names, "words"])
 
-    return map_arrow(source, run, "lang string, label int, calibrates boolean, words array<int>")
+    return source.mapInArrow(run, "lang string, label int, calibrates boolean, words array<int>")
 
 
 def bucket_counts(rows: DataFrame) -> DataFrame:
@@ -283,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Train on all labelled rows outside the held-out fold but a fifth of them, which calibrates the
     score and sets the thresholds. Labels whose document is not in ``docs`` do not count: a pipeline trains
     on what its stages have kept."""
-    rows = cut_lineage(learning_rows(docs, labels, label), "toxicity-rows")
+    rows = cut_lineage(learning_rows(docs, labels, label), "toxicity-rows", compression="zstd")
     learns = rows.where("not calibrates")
     totals = {r["label"]: r["n"] for r in learns.groupBy("label").agg(F.count("*").alias("n")).collect()}
     every, ones = sum(totals.values()), totals.get(1, 0)

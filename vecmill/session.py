@@ -71,15 +71,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def cut_lineage(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder, with these options of the Parquet writer, and read it back.
 
     Fixes values that would differ when recomputed (range bounds, row positions), survives the
     loss of executors, and leaves a columnar table that later steps can prune.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.options(**plain_encoding(df)).parquet(path)
+    df.write.options(**plain_encoding(df), **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
