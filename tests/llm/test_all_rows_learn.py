@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from vecmill.llm import labelled, quality, toxicity
+from vecmill.llm import bottomk, columnar, labelled, quality, toxicity
 
 
 def test_every_labelled_row_is_used_whole(spark):
@@ -69,3 +69,20 @@ def test_no_text_is_dealt_for_the_labels(spark):
     join = plan.index("Join")
     assert "text" not in plan[join : plan.index("MapInArrow", join)]
     assert sum(len(r.words) for r in rows.collect()) == 2 * rows.count() > 0
+
+
+def test_one_worker_a_task_reads_learning_rows(spark):
+    docs = spark.range(9).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang"))
+    plan = toxicity.packed_rows(docs, docs.select("doc_id", F.lit(1).alias("toxic")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_sketches_free_what_a_task_has_kept(spark):
+    class Caught:
+        schema = spark.range(1).withColumnRenamed("id", "doc_id").schema
+        mapInArrow = staticmethod(lambda run, schema: run)  # noqa: N815
+
+    columnar._KEPT["old"] = 1
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b c"])], ["doc_id", "text"])
+    assert [b.num_rows for b in bottomk.sketches(Caught, 64)(iter([batch]))] == [1]
+    assert not columnar._KEPT

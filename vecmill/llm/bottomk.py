@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmill.llm.columnar import LOWER_ASCII, bound_batches, buffers, encoded, id_text, slices, strings, words
+from vecmill.llm.columnar import LOWER_ASCII, bound_batches, buffers, encoded, id_text, slices, strings, task_memory, words
 from vecmill.llm.components import components
 from vecmill.llm.labelled import MULTIPLIER, hashes
 from vecmill.session import cut_lineage
@@ -84,19 +84,20 @@ def sketches(source: DataFrame, k: int) -> DataFrame:
     """``doc_id, n_shingles, mark1, mark2, sketch`` of every row; one scan, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, offsets = buffers(batch.column("text"))
-            rows = []
-            for a, b in slices(offsets):
-                for values in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                    rows.append((len(values), _mark(values, 1), _mark(values, 2), values[:k].astype(np.int64)))
-            sizes, first, second, lists = zip(*rows)
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))
-            columns = [batch.column("doc_id"), pa.array(sizes), pa.array(first), pa.array(second), flat]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "mark1", "mark2", "sketch"])
+        with task_memory():
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                data, offsets = buffers(batch.column("text"))
+                rows = []
+                for a, b in slices(offsets):
+                    for values in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                        rows.append((len(values), _mark(values, 1), _mark(values, 2), values[:k].astype(np.int64)))
+                sizes, first, second, lists = zip(*rows)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+                flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))
+                columns = [batch.column("doc_id"), pa.array(sizes), pa.array(first), pa.array(second), flat]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "mark1", "mark2", "sketch"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, n_shingles long, mark1 long, mark2 long, sketch array<long>")
@@ -121,9 +122,10 @@ def _wanted(source: DataFrame, route: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = (bits[batch.column("word").to_numpy()] >> batch.column("bit").to_numpy()) & 1
-            yield batch.select(["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
+        with task_memory():
+            for batch in batches:
+                keep = (bits[batch.column("word").to_numpy()] >> batch.column("bit").to_numpy()) & 1
+                yield batch.select(["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return marked.mapInArrow(run, f"doc_id {kind}, text string")
@@ -146,25 +148,26 @@ def verify(source: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     dealt = moved.repartition(count, "hub", "chunk").sortWithinPartitions("hub", "chunk", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, full = None, None
-        for batch in batches:
-            found = []
-            hubs, roles, ids = (batch.column(c).to_pylist() for c in ("hub", "role", "doc_id"))
-            data, offsets = buffers(batch.column("text"))
-            row = 0
-            for a, b in slices(offsets):
-                for values in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                    if roles[row] == 0:
-                        hub, full = hubs[row], values
-                    elif hub == hubs[row]:
-                        small = min(len(full), len(values))
-                        if 100 * small >= percent * max(len(full), len(values)):
-                            both = len(np.intersect1d(full, values, assume_unique=True))
-                            if 100 * both >= percent * (len(full) + len(values) - both):
-                                found.append((hub, ids[row]))
-                    row += 1
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["hub", "doc_id"])
+        with task_memory():
+            hub, full = None, None
+            for batch in batches:
+                found = []
+                hubs, roles, ids = (batch.column(c).to_pylist() for c in ("hub", "role", "doc_id"))
+                data, offsets = buffers(batch.column("text"))
+                row = 0
+                for a, b in slices(offsets):
+                    for values in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                        if roles[row] == 0:
+                            hub, full = hubs[row], values
+                        elif hub == hubs[row]:
+                            small = min(len(full), len(values))
+                            if 100 * small >= percent * max(len(full), len(values)):
+                                both = len(np.intersect1d(full, values, assume_unique=True))
+                                if 100 * both >= percent * (len(full) + len(values) - both):
+                                    found.append((hub, ids[row]))
+                        row += 1
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["hub", "doc_id"])
 
     return dealt.mapInArrow(run, "hub long, doc_id long").distinct()
 
@@ -247,14 +250,15 @@ def _full_values(source: DataFrame, wanted: DataFrame) -> DataFrame:
     moved = _wanted(source, wanted).join(wanted, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
-            for a, b in slices(offsets):
-                sets = list(shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-                sizes = np.array([len(x) for x in sets])
-                columns = [np.repeat(ids[a:b], sizes), np.repeat(sizes, sizes), np.concatenate(sets).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "n_shingles", "value"])
+        with task_memory():
+            for batch in batches:
+                data, offsets = buffers(batch.column("text"))
+                ids = batch.column("doc_id").to_numpy()
+                for a, b in slices(offsets):
+                    sets = list(shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                    sizes = np.array([len(x) for x in sets])
+                    columns = [np.repeat(ids[a:b], sizes), np.repeat(sizes, sizes), np.concatenate(sets).astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "n_shingles", "value"])
 
     return moved.mapInArrow(run, "doc_id long, n_shingles long, value long").withColumn("size", F.col("n_shingles"))
 

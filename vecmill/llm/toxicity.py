@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecmill.llm.bottomk import id_filter
-from vecmill.llm.columnar import LOWER_ASCII, bound_batches, buffers, encoded, map_arrow, slices, strings, task_memory, words
+from vecmill.llm.columnar import BATCH_BYTES, LOWER_ASCII, bound_batches, buffers, encoded, map_arrow, slices, strings, task_memory, words
 from vecmill.llm.labelled import Adam, bare, hashes, platt, remainder, sigmoid
 from vecmill.llm.stages import by_filter
 from vecmill.session import cut_lineage
@@ -161,8 +161,8 @@ def train(rows: DataFrame, model: Model, epochs: int = EPOCHS) -> None:
             with task_memory():
                 own = Model(model.known, model.table.copy(), [k.copy() for k in model.kernels], model.bias.copy(), model.out.copy(), model.shift.copy())
                 adam, table_adam, seen = Adam([*own.kernels, own.bias, own.out, own.shift], RATE), RowAdam(own.table, RATE), 0
-                for batch in batches:
-                    labels, lists = batch.column("label").to_numpy().astype(float), batch.column("words")
+                for some, lists in (piece for batch in batches for piece in word_lists(batch)):
+                    labels = some.column("label").to_numpy().astype(float)
                     places = own.rows(lists.flatten().to_numpy().astype(np.int64))
                     ends = np.cumsum(lists.value_lengths().to_numpy())
                     texts = np.split(places, ends[:-1]) if len(ends) else []
@@ -183,7 +183,7 @@ def train(rows: DataFrame, model: Model, epochs: int = EPOCHS) -> None:
         schema = f"row long, seen long, {', '.join(f'd{i} long' for i in range(DIM))}"
         sums = [F.sum(c).alias(c) for c in ("seen", *[f"d{i}" for i in range(DIM)])]
         # One row for each embedding that a task has changed, and some for the other parameters.
-        found = rows.select("label", "words").mapInArrow(run, schema).groupBy("row").agg(*sums).toPandas()
+        found = rows.select("label", *_words(rows)).mapInArrow(run, schema).groupBy("row").agg(*sums).toPandas()
         if not len(found):
             return
         change = found[[f"d{i}" for i in range(DIM)]].to_numpy(float) / DELTA_UNIT / found[["seen"]].to_numpy(float)
@@ -260,10 +260,20 @@ def unpacked(blobs: pa.Array, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(three @ np.array([1, 1 << 8, 1 << 16], np.int32)))
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """``(lang, label, calibrates, words)`` of every row of ``docs`` that has a label outside the held-out
-    fold; of several labels of one id the largest counts. ``words`` are buckets, and all of the text's. Packed
-    buckets are moved to the labels, never texts."""
+def word_lists(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """The rows of ``batch`` in pieces, each with the buckets of its texts. Packed buckets may be many more than
+    their bytes, so they are unpacked by about as many as a batch holds."""
+    if "n" not in batch.schema.names:
+        yield batch, batch.column("words")
+        return
+    counts = batch.column("n").to_numpy()
+    for a, b in slices(np.concatenate([[0], np.cumsum(4 * counts)]), BATCH_BYTES):
+        some = batch.slice(a, b - a)
+        yield some, unpacked(some.column("words"), counts[a:b])
+
+
+def packed_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """``learning_rows`` with packed words and their number ``n``; only these are moved to the labels, never texts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder("doc_id", FOLDS) != HELD))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("label"))
     bound_batches(docs.sparkSession)
@@ -277,33 +287,41 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> D
         source = map_arrow(source, packed, schema)
     source = source.join(known, F.col("doc_id") == F.col("_id"))
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(label)), F.lit(CALIBRATES)) == 0
-    source = source.select("lang", "label", part.alias("calibrates"), "n", "words")
+    return source.select("lang", "label", part.alias("calibrates"), "n", "words")
+
+
+def learning_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """``(lang, label, calibrates, words)`` of every row of ``docs`` that has a label outside the held-out
+    fold; of several labels of one id the largest counts. ``words`` are buckets, and all of the text's."""
+    names = ["lang", "label", "calibrates"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with task_memory():
             for batch in batches:
-                counts = batch.column("n").to_numpy()
-                # Pressed words may be many more than their bytes.
-                for a, b in slices(np.concatenate([[0], np.cumsum(4 * counts)])):
-                    some = batch.slice(a, b - a)
-                    names = ["lang", "label", "calibrates"]
-                    yield pa.RecordBatch.from_arrays([*[some.column(n) for n in names], unpacked(some.column("words"), counts[a:b])], [*names, "words"])
+                for some, lists in word_lists(batch):
+                    yield pa.RecordBatch.from_arrays([*[some.column(n) for n in names], lists], [*names, "words"])
 
-    return source.mapInArrow(run, "lang string, label int, calibrates boolean, words array<int>")
+    return packed_rows(docs, labels, label).mapInArrow(run, "lang string, label int, calibrates boolean, words array<int>")
+
+
+def _words(rows: DataFrame) -> list[str]:
+    return [c for c in ("n", "words") if c in rows.columns]
 
 
 def bucket_counts(rows: DataFrame) -> DataFrame:
     """``(bucket, n, ones)``: the texts that hold a bucket, and those of class 1 among them."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column("words")
-        text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-        pairs = np.unique((text << BUCKET_BITS) + lists.flatten().to_numpy())
-        bucket, inverse, count = np.unique(pairs & ((1 << BUCKET_BITS) - 1), return_inverse=True, return_counts=True)
-        ones = np.bincount(inverse, batch.column("label").to_numpy()[pairs >> BUCKET_BITS], len(bucket)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(count), pa.array(ones)], ["bucket", "n", "ones"])
-
-    counted = map_arrow(rows.select("label", "words"), run, "bucket long, n long, ones long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task_memory():
+            for some, lists in (piece for batch in batches for piece in word_lists(batch)):
+                text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                pairs = np.unique((text << BUCKET_BITS) + lists.flatten().to_numpy())
+                bucket, inverse, count = np.unique(pairs & ((1 << BUCKET_BITS) - 1), return_inverse=True, return_counts=True)
+                ones = np.bincount(inverse, some.column("label").to_numpy()[pairs >> BUCKET_BITS], len(bucket)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(count), pa.array(ones)], ["bucket", "n", "ones"])
+
+    bound_batches(rows.sparkSession)
+    counted = rows.select("label", *_words(rows)).mapInArrow(run, "bucket long, n long, ones long")
     return counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
 
 
@@ -311,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Train on all labelled rows outside the held-out fold but a fifth of them, which calibrates the
     score and sets the thresholds. Labels whose document is not in ``docs`` do not count: a pipeline trains
     on what its stages have kept."""
-    rows = cut_lineage(learning_rows(docs, labels, label), "toxicity-rows", compression="zstd")
+    rows = cut_lineage(packed_rows(docs, labels, label), "toxicity-rows", compression="zstd")
     learns = rows.where("not calibrates")
     totals = {r["label"]: r["n"] for r in learns.groupBy("label").agg(F.count("*").alias("n")).collect()}
     every, ones = sum(totals.values()), totals.get(1, 0)
@@ -325,15 +343,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         model.shift[0] = np.log((ones + 0.5) / (every - ones + 0.5)) if every else 0.0
         model.out[:] = 0
 
-    def logits(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column("words")
-        by_text = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        flat = lists.flatten().to_numpy().astype(np.int64)
-        values = model.logits(model.pooled(np.arange(len(flat)), model.rows(flat), by_text)[0]).astype(float)
-        steps = np.rint(np.clip(values, -100, 100) * LOGIT_STEPS).astype(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("label"), pa.array(steps)], ["lang", "label", "step"])
-
-    scored = map_arrow(rows.where("calibrates").select("lang", "label", "words"), logits, "lang string, label int, step long")
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task_memory():
+            for some, lists in (piece for batch in batches for piece in word_lists(batch)):
+                by_text = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                flat = lists.flatten().to_numpy().astype(np.int64)
+                values = model.logits(model.pooled(np.arange(len(flat)), model.rows(flat), by_text)[0]).astype(float)
+                steps = np.rint(np.clip(values, -100, 100) * LOGIT_STEPS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([some.column("lang"), some.column("label"), pa.array(steps)], ["lang", "label", "step"])
+
+    scored = rows.where("calibrates").select("lang", "label", "n", "words").mapInArrow(logits, "lang string, label int, step long")
     check = scored.groupBy("lang", "label", "step").agg(F.count("*").alias("n")).orderBy("step", "label", "lang").toPandas()
     if len(check):
         at, y, weights = check["step"].to_numpy(float) / LOGIT_STEPS, check["label"].to_numpy(float), check["n"].to_numpy(float)
