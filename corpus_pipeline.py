@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vecmill.llm import bottomk, packing, pii, quality, toxicity
 from vecmill.llm.stages import keep_rows, without_ids
+from vecmill.operators.batches import release_memory
 from vecmill.session import scratch_path
 
 
@@ -22,6 +23,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of at least 0.3."""
     model = quality.fit(docs, _labels(spark, sf_dir))
+    release_memory()
     return keep_rows(docs, lambda data, offsets, rows: model.score(data, offsets) >= quality.CUT)
 
 
@@ -29,6 +31,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents with a toxicity score below the threshold of their language, or 0.3 where the labels
     are too few for one."""
     model = toxicity.fit(docs, _labels(spark, sf_dir))
+    release_memory()
     return keep_rows(docs, lambda data, offsets, rows: model.score(data, offsets) < model.limits(rows.column("lang"), toxicity.CUT))
 
 

@@ -137,6 +137,7 @@ def verify(source: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     A hub's text is sent to each task that compares some of its members with it; members come one
     after the other, so a hub with any number of them is never held in one task.
     """
+    pairs = cut_lineage(pairs, "pairs")
     hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
     members = pairs.join(hubs, "hub").select(
         "doc_id", "hub", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("chunk"), F.lit(1).alias("role")

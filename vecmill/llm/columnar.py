@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,12 @@ def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def collected(df: DataFrame) -> pd.DataFrame:
+    """All rows on the driver, as the arrays that tasks sent: neither the driver's JVM nor its Python holds a row
+    as objects, which take many times the room of a model's numbers."""
+    return df.toArrow().to_pandas()
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that the operators read, under fixed names."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -1,8 +1,8 @@
 """Connected components of a graph of links, by rounds of joins.
 
 Large-star and small-star rounds (Kiveris et al., 2014): neighbours move to the smallest node that is
-known nearby, so the number of links never grows and the rounds are few. Nothing is collected; every
-round is written to the shared folder.
+known nearby, so the number of links never grows and the rounds are few. They end as soon as all links
+form stars around their smallest nodes. Nothing is collected; every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -15,8 +15,11 @@ from vecmill.session import cut_lineage
 MOST_ROUNDS = 60
 
 
-def _digest(links: DataFrame) -> tuple:
-    return tuple(links.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def settled(links: DataFrame) -> bool:
+    """Whether distinct ``links`` with ``u > v`` are stars: every ``u`` has one ``v``, and none is another's ``v``."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("out")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("out")))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
+    return nodes.where("out > 1 or out = 1 and least = 0").count() == 0
 
 
 def components(links: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
@@ -27,8 +30,10 @@ def components(links: DataFrame, left: str = "u", right: str = "v") -> DataFrame
     """
     pairs = links.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u != v")
     star = cut_lineage(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    seen = _digest(star)
     for _ in range(MOST_ROUNDS):
+        if settled(star):
+            roots = star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         # Large star: a node's larger neighbours point to its smallest neighbour, or to it.
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -38,9 +43,4 @@ def components(links: DataFrame, left: str = "u", right: str = "v") -> DataFrame
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         star = cut_lineage(small, "links")
-        now = _digest(star)
-        if now == seen:
-            roots = star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-        seen = now
     raise RuntimeError("components did not settle")

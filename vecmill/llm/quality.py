@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmill.llm.columnar import bound_batches, buffers, encoded, id_text, map_arrow, slices, spread_ranges, strings, task_memory, words
+from vecmill.llm.columnar import bound_batches, buffers, collected, encoded, id_text, map_arrow, slices, spread_ranges, strings, task_memory, words
 from vecmill.llm.labelled import Adam, class_totals, hashes, platt, remainder, sample_ids, sigmoid
 from vecmill.session import cut_lineage
 
@@ -125,7 +125,7 @@ def frequent_words(docs: DataFrame) -> Words:
     steps = steps.sort_values("step", ascending=False)
     some = int(np.searchsorted(np.cumsum(steps["size"].to_numpy(int)), WORDS, "right"))
     least = int(steps["step"].iloc[some - 1]) if some else 1 << 30
-    top = counts.where(step >= least).toPandas()
+    top = collected(counts.where(step >= least))
     known = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
     total = max(float(steps["n"].sum()), 1.0)
@@ -188,7 +188,7 @@ def word_vectors(docs: DataFrame) -> Vectors:
 
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "unit long, sums array<long>")
     # One row for each of at most ``WORDS + UNITS`` vectors.
-    found = parts.groupBy("unit").agg(*[F.sum(F.col("sums")[i]).alias(f"d{i}") for i in range(DIM)]).toPandas()
+    found = collected(parts.groupBy("unit").agg(*[F.sum(F.col("sums")[i]).alias(f"d{i}") for i in range(DIM)]))
     table = np.zeros((size, DIM))
     if len(found):
         table[found["unit"].to_numpy(int)] = found[[f"d{i}" for i in range(DIM)]].to_numpy(float)
@@ -322,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], ["doc_id", "label", "features"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    found = map_arrow(source, run, f"doc_id {kind}, label int, features array<float>").toPandas()
+    found = collected(map_arrow(source, run, f"doc_id {kind}, label int, features array<float>"))
     found = found.sort_values(["doc_id", "label"], kind="stable").drop_duplicates("doc_id")
     totals = class_totals(labels, label, FOLDS, HELD)
     y = found["label"].to_numpy(int)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vecmill.llm.bottomk import FILTER_WORDS, id_filter
 from vecmill.llm.columnar import buffers, map_arrow, slices, task_memory
+from vecmill.session import cut_lineage
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[np.ndarray, np.ndarray, pa.RecordBatch], np.ndarray], text_col: str = "text") -> DataFrame:
@@ -47,7 +48,8 @@ def by_filter(
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows whose id is not in ``dropped``. Most rows pass by a filter of bounded size and are not
     moved; only those that may be in ``dropped`` are joined with it."""
-    dropped = dropped.select("doc_id").distinct()
+    # Asked twice, for the filter and for the join, but made once.
+    dropped = cut_lineage(dropped.select("doc_id").distinct(), "dropped-ids")
     bits = id_filter(dropped)
     doubtful = by_filter(docs, bits, True, id_col).join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col(id_col) == F.col("_dropped"), "left_anti")
     return by_filter(docs, bits, False, id_col).unionByName(doubtful)

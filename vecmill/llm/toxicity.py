@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecmill.llm.bottomk import id_filter
-from vecmill.llm.columnar import BATCH_BYTES, LOWER_ASCII, bound_batches, buffers, encoded, map_arrow, slices, strings, task_memory, words
+from vecmill.llm.columnar import BATCH_BYTES, LOWER_ASCII, bound_batches, buffers, collected, encoded, map_arrow, slices, strings, task_memory, words
 from vecmill.llm.labelled import Adam, bare, hashes, platt, remainder, sigmoid
 from vecmill.llm.stages import by_filter
 from vecmill.session import cut_lineage
@@ -183,7 +183,7 @@ def train(rows: DataFrame, model: Model, epochs: int = EPOCHS) -> None:
         schema = f"row long, seen long, {', '.join(f'd{i} long' for i in range(DIM))}"
         sums = [F.sum(c).alias(c) for c in ("seen", *[f"d{i}" for i in range(DIM)])]
         # One row for each embedding that a task has changed, and some for the other parameters.
-        found = rows.select("label", *_words(rows)).mapInArrow(run, schema).groupBy("row").agg(*sums).toPandas()
+        found = collected(rows.select("label", *_words(rows)).mapInArrow(run, schema).groupBy("row").agg(*sums))
         if not len(found):
             return
         change = found[[f"d{i}" for i in range(DIM)]].to_numpy(float) / DELTA_UNIT / found[["seen"]].to_numpy(float)
@@ -335,7 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     every, ones = sum(totals.values()), totals.get(1, 0)
     share = float(np.clip(ones / every if every else 0.5, 0.01, 0.99))
     sure = F.abs(F.col("ones") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-    found = bucket_counts(learns).where("n >= 3").orderBy(sure.desc(), "bucket").limit(MOST_BUCKETS).toPandas().sort_values("bucket")
+    found = collected(bucket_counts(learns).where("n >= 3").orderBy(sure.desc(), "bucket").limit(MOST_BUCKETS)).sort_values("bucket")
     model = start(found["bucket"].to_numpy(np.int64), found["n"].to_numpy(float), found["ones"].to_numpy(float), share)
     if 0 < ones < every:
         train(learns.coalesce(max(every // TASK_ROWS, 1)), model)
@@ -353,7 +353,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
                 yield pa.RecordBatch.from_arrays([some.column("lang"), some.column("label"), pa.array(steps)], ["lang", "label", "step"])
 
     scored = rows.where("calibrates").select("lang", "label", "n", "words").mapInArrow(logits, "lang string, label int, step long")
-    check = scored.groupBy("lang", "label", "step").agg(F.count("*").alias("n")).orderBy("step", "label", "lang").toPandas()
+    check = collected(scored.groupBy("lang", "label", "step").agg(F.count("*").alias("n")).orderBy("step", "label", "lang"))
     if len(check):
         at, y, weights = check["step"].to_numpy(float) / LOGIT_STEPS, check["label"].to_numpy(float), check["n"].to_numpy(float)
         model.slope, model.intercept = platt(at, y, weights)

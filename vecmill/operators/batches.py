@@ -57,7 +57,7 @@ def with_elements(lists: pa.ListArray, elements: pa.Array) -> pa.ListArray:
 
 
 def release_memory() -> None:
-    """Give free memory of this worker back to the system; allocators would keep it for the next task."""
+    """Give free memory of this process back to the system; allocators would keep it for the next task or stage."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
