@@ -31,6 +31,11 @@ LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[65:91] += 32
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """``LOWER_ASCII[data]``, faster."""
+    return data + (data - np.uint8(65) < 26).view(np.uint8) * np.uint8(32)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Let Spark cut Arrow batches by bytes, so that long texts do not add up in a task."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -124,16 +129,18 @@ def encoded(pieces: pa.Array) -> tuple[np.ndarray, pa.Array]:
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of the texts: their bytes without white space, their bounds in these, and the bounds of
     the texts counted in words. White space never lies inside a UTF-8 character."""
-    space = WORD_SPACE[data]
+    # As WORD_SPACE has them; whole arrays are compared faster than looked up.
+    space = (data == 0x20) | (data - np.uint8(9) <= 4)
     start = ~space
     first = start.copy()
     first[1:] &= space[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
     first[heads] = start[heads]
-    kept = np.cumsum(start)
+    last = start.copy()
+    last[:-1] &= space[1:] | first[1:]
     at = np.flatnonzero(first)
-    total = int(kept[-1]) if len(kept) else 0
-    bounds = np.append(kept[at] - 1, total)
+    # Sums over words, not over bytes.
+    bounds = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - at)])
     return data[start], bounds, np.searchsorted(at, offsets)
 
 

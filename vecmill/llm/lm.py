@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecmill.llm.columnar import LOWER_ASCII, bound_batches, buffers, encoded, id_text, map_arrow, segment_sum, slices, strings, task_memory, words
+from vecmill.llm.columnar import BATCH_BYTES, bound_batches, buffers, collected, encoded, id_text, lowered, map_arrow, segment_sum, slices, strings, task_memory, words
 from vecmill.llm.labelled import hashes
 from vecmill.session import cut_lineage
 
@@ -40,6 +40,8 @@ HIDDEN = 16
 # Every position of every document is a training example of one of the rounds.
 ROUNDS = 2
 BATCH = 4096
+# Rows whose logits stay in a core's cache.
+SOME = 512
 RATE = 0.1
 SEED = 13
 # Sums of exponentials of logits up to this keep single precision without a shift.
@@ -59,22 +61,28 @@ class Lookup:
     parts: np.ndarray
     totals: np.ndarray
 
-    def of(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each word, and whether it is a head word."""
+    def places(self, hashed: np.ndarray) -> np.ndarray:
+        """Where each word is among the head words, if it is one. Sorted words are found faster."""
+        order = np.argsort(hashed)
+        at = np.empty(len(hashed), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.head, hashed[order]), len(self.head) - 1)
+        return at
+
+    def of(self, hashed: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each word, and whether it is a head word; ``at`` are its ``places``."""
         count = len(self.totals)
         tail = count - count // TAIL_SHARE + (hashed % (count // TAIL_SHARE)).astype(np.int64)
         if not len(self.head):
             return tail, np.zeros(len(hashed), bool)
-        at = np.minimum(np.searchsorted(self.head, hashed), len(self.head) - 1)
+        at = self.places(hashed) if at is None else at
         found = self.head[at] == hashed
         return np.where(found, self.classes[at], tail), found
 
-    def part(self, hashed: np.ndarray, classes: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """Logarithm of each word's part of its class; for one that is no head word, as if it
-        occurred once."""
+    def part(self, at: np.ndarray, classes: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Logarithm of the part of its class of each word at ``places``; for one that is no head word, as if
+        it occurred once."""
         if not len(self.head):
             return -self.totals[classes]
-        at = np.minimum(np.searchsorted(self.head, hashed), len(self.head) - 1)
         return np.where(found, self.parts[at], -self.totals[classes])
 
 
@@ -97,7 +105,7 @@ def _hashed(data: np.ndarray, offsets: np.ndarray):
     body, bounds, by_text = words(data, offsets)
     if len(bounds) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), by_text
-    codes, distinct = encoded(strings(LOWER_ASCII[body], bounds))
+    codes, distinct = encoded(strings(lowered(body), bounds))
     return codes, (hashes(distinct) >> np.uint64(1)).astype(np.int64), by_text
 
 
@@ -113,7 +121,8 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
         with task_memory():
             for batch in batches:
                 data, offsets = buffers(batch.column("text"))
-                for a, b in slices(offsets):
+                # All of a batch at once: the fewer the pieces, the fewer the rows of counts.
+                for a, b in slices(offsets, BATCH_BYTES):
                     codes, hashed, _ = _hashed(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     if len(codes):
                         yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(np.bincount(codes))], ["word", "n"])
@@ -121,16 +130,16 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word long, n long")
     counts = cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     # A few hundred steps whatever the corpus.
-    steps = counts.groupBy(_step("n").alias("step")).agg(F.count("*").alias("size"), F.sum("n").alias("n")).toPandas()
+    steps = collected(counts.groupBy(_step("n").alias("step")).agg(F.count("*").alias("size"), F.sum("n").alias("n")))
     steps = steps.sort_values("step", ascending=False)
     some = int(np.searchsorted(np.cumsum(steps["size"].to_numpy(int)), HEAD, "right"))
     least = int(steps["step"].iloc[some - 1]) if some else 1 << 30
-    top = counts.where(_step("n") >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    top = collected(counts.where(_step("n") >= least)).sort_values(["n", "word"], ascending=[False, True])
 
     power = round(np.log2(max(float(steps["n"].sum()), 1.0)) / 2)
     classes = min(max(1 << power, LEAST_CLASSES), MOST_CLASSES)
     tail, own = classes // TAIL_SHARE, classes - classes // TAIL_SHARE
-    shared = counts.groupBy(F.pmod("word", F.lit(tail)).alias("tail")).agg(F.sum("n").alias("n")).toPandas()
+    shared = collected(counts.groupBy(F.pmod("word", F.lit(tail)).alias("tail")).agg(F.sum("n").alias("n")))
     word, n = top["word"].to_numpy(np.int64), top["n"].to_numpy(float)
     totals = np.zeros(classes)
     totals[: min(own, len(n))] = n[:own]
@@ -180,11 +189,14 @@ class Network:
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         table, mix, bias = self.parts[:3]
-        return np.tanh(table[context].reshape(len(context), -1) @ mix.reshape(-1, HIDDEN) + bias)
+        return np.tanh(_rows(table, context).reshape(len(context), -1) @ mix.reshape(-1, HIDDEN) + bias)
 
     def small(self) -> bool:
         """Whether no logit can be so large or so small that its exponential leaves single precision."""
         top, top_bias, low, low_bias = self.parts[3:]
+        # The extremes bound the sums, and nearly always suffice.
+        if max(_extreme(top), _extreme(low)) * HIDDEN + max(_extreme(top_bias), _extreme(low_bias)) < LARGEST_LOGIT / 2:
+            return True
         outer = np.abs(top).sum(axis=0) + np.abs(top_bias)
         inner = np.abs(low).sum(axis=1) + np.abs(low_bias)
         return bool(max(outer.max(), inner.max()) < LARGEST_LOGIT)
@@ -196,13 +208,14 @@ class Network:
         # Positions of one group lie side by side, so that its part is a view.
         order = _order(target // self.width, self.groups)
         group, member = target[order] // self.width, target[order] % self.width
-        hidden, found = np.empty((len(target), HIDDEN), np.float32), np.zeros(len(target))
-        for first in range(0, len(target), BATCH):
-            own = slice(first, first + BATCH)
-            hidden[own] = self.hidden(context[order[own]])
-            found[own] = _log_parts(hidden[own] @ top, top_bias, group[own], small)
+        longer, found = np.ones((len(target), HIDDEN + 1), np.float32), np.zeros(len(target))
+        context, tops, lows = _rows(context, order), _with_bias(top, top_bias), _with_bias(low, low_bias)
+        for first in range(0, len(target), SOME):
+            own = slice(first, first + SOME)
+            longer[own, :HIDDEN] = self.hidden(context[own])
+            found[own] = _log_parts(longer[own] @ tops, group[own], small)
         for g, first, last in _by_group(group, self.groups):
-            found[first:last] += _log_parts(hidden[first:last] @ low[g], low_bias[g], member[first:last], small)
+            found[first:last] += _log_parts(longer[first:last] @ lows[g], member[first:last], small)
         out = np.empty(len(target))
         out[order] = found
         return out
@@ -212,39 +225,57 @@ class Network:
         table, mix, bias, top, top_bias, low, low_bias = self.parts
         small = self.small()
         order = _order(target // self.width, self.groups)
-        context, group, member = context[order], target[order] // self.width, target[order] % self.width
-        before = table[context].reshape(len(context), -1)
+        context, group, member = _rows(context, order), target[order] // self.width, target[order] % self.width
+        before = _rows(table, context).reshape(len(context), -1)
         hidden = np.tanh(before @ mix.reshape(-1, HIDDEN) + bias)
         scale = np.float32(1 / len(target))
         rows = np.arange(len(target))
-        outer = _scaled_softmax(hidden @ top, top_bias, scale, small)
-        outer[rows, group] -= scale
-        back = outer @ top.T
-        # A last one beside the hidden values, for the biases.
         longer = np.concatenate([hidden, np.ones((len(hidden), 1), np.float32)], axis=1)
-        inner, touched = np.empty((len(target), self.width), np.float32), _by_group(group, self.groups)
+        back, tops = np.empty((len(target), HIDDEN), np.float32), _with_bias(top, top_bias)
+        to_top = np.zeros_like(tops)
+        # Each step of the work on some rows before the next rows, while they are in the cache. Errors are ``errors``
+        # times ``part``; the products, which are smaller, are scaled instead.
+        for first in range(0, len(target), SOME):
+            own = slice(first, first + SOME)
+            errors = longer[own] @ tops
+            sums = _exponentials(errors, small)
+            errors[rows[: len(errors)], group[own]] -= sums
+            part = (scale / sums)[:, None]
+            np.multiply(errors @ top.T, part, out=back[own])
+            to_top += (longer[own] * part).T @ errors
+        touched = _by_group(group, self.groups)
         at = slice(None) if len(touched) == self.groups else np.array([g for g, _, _ in touched], np.int64)
-        parts = np.concatenate([low[at], low_bias[at][:, None]], axis=1)
-        for part, (_, first, last) in zip(parts, touched):
-            np.matmul(longer[first:last], part, out=inner[first:last])
-        inner = _scaled_softmax(inner, None, scale, small)
-        inner[rows, member] -= scale
-        to_parts = np.empty_like(parts)
-        for part, to_part, (_, first, last) in zip(parts, to_parts, touched):
-            back[first:last] += inner[first:last] @ part[:HIDDEN].T
-            np.matmul(longer[first:last].T, inner[first:last], out=to_part)
+        lows = _with_bias(low[at], low_bias[at])
+        to_parts, below = np.empty_like(lows), np.empty_like(back)
+        ends = np.array([last for _, _, last in touched])
+        for a, b in slices(np.append(0, ends), SOME):
+            start, end = touched[a][1], touched[b - 1][2]
+            errors = np.empty((end - start, self.width), np.float32)
+            own = [(longer[first:last], errors[first - start : last - start]) for _, first, last in touched[a:b]]
+            for weights, (values, logits) in zip(lows[a:b], own):
+                np.matmul(values, weights, out=logits)
+            sums = _exponentials(errors, small)
+            errors[rows[: len(errors)], member[start:end]] -= sums
+            part = (scale / sums)[:, None]
+            scaled, under = longer[start:end] * part, below[start:end]
+            for weights, to_part, (_, wrong), (_, first, last) in zip(lows[a:b, :HIDDEN].transpose(0, 2, 1), to_parts[a:b], own, touched[a:b]):
+                np.matmul(wrong, weights, out=under[first - start : last - start])
+                np.matmul(scaled[first - start : last - start].T, wrong, out=to_part)
+            under *= part
+        back += below
         rates.update(5, at, to_parts[:, :HIDDEN])
         rates.update(6, at, to_parts[:, HIDDEN])
         back *= 1 - hidden * hidden
         to_table = (back @ mix.reshape(-1, HIDDEN).T).reshape(-1, DIM)
         flat = context.ravel()
         order = _order(flat, self.classes)
-        cuts = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
+        flat = flat[order]
+        cuts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
         rates.update(1, slice(None), (before.T @ back).reshape(mix.shape))
         rates.update(2, slice(None), back.sum(axis=0))
-        rates.update(3, slice(None), hidden.T @ outer)
-        rates.update(4, slice(None), outer.sum(axis=0))
-        rates.update(0, flat[order][cuts], np.add.reduceat(to_table[order], cuts, axis=0))
+        rates.update(3, slice(None), to_top[:HIDDEN])
+        rates.update(4, slice(None), to_top[HIDDEN])
+        rates.update(0, flat[cuts], _sums(_rows(to_table, order), cuts))
 
 
 class Rates:
@@ -255,13 +286,40 @@ class Rates:
         self.squares = Network(np.full(len(net.flat), 1e-10, np.float32), net.classes).parts
 
     def update(self, part: int, at: int | slice | np.ndarray, gradient: np.ndarray) -> None:
+        squares, values = self.squares[part], self.parts[part]
+        if isinstance(at, slice):
+            # In pieces that stay in a core's cache, and in place.
+            piece = max(SOME * BLOCK // max(gradient[:1].size, 1), 1)
+            for first in range(0, len(gradient), piece):
+                own = slice(first, first + piece)
+                seen = gradient[own] * gradient[own]
+                squares[own] += seen
+                np.sqrt(squares[own], out=seen)
+                np.divide(gradient[own], seen, out=seen)
+                seen *= self.rate
+                values[own] -= seen
+            return
         seen = gradient * gradient
-        seen += self.squares[part][at]
-        self.squares[part][at] = seen
+        seen += _rows(squares, at)
+        squares[at] = seen
         np.sqrt(seen, out=seen)
         np.divide(gradient, seen, out=seen)
         seen *= self.rate
-        self.parts[part][at] -= seen
+        values[at] = np.subtract(_rows(values, at), seen, out=seen)
+
+
+def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``table[at]`` of places that are known to be in the table; several times as fast as with checks."""
+    return np.take(table, at, axis=0, mode="clip")
+
+
+def _sums(rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of ``rows`` between cuts; two numbers are added at a time, as one complex number."""
+    return np.add.reduceat(rows.view(np.complex64), cuts, axis=0).view(np.float32)
+
+
+def _extreme(values: np.ndarray) -> float:
+    return max(float(values.max()), -float(values.min()))
 
 
 def _order(values: np.ndarray, most: int) -> np.ndarray:
@@ -269,27 +327,24 @@ def _order(values: np.ndarray, most: int) -> np.ndarray:
     return np.argsort(values.astype(np.uint16) if most < 1 << 16 else values, kind="stable")
 
 
-def _biased(logits: np.ndarray, bias: np.ndarray | None, small: bool) -> np.ndarray:
-    """Logits, in their place, with a bias; large ones less the greatest of their row."""
-    if bias is not None:
-        logits += bias
-    if not small:
-        logits -= logits.max(axis=1, keepdims=True)
-    return logits
+def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights for the hidden values and a 1 after them."""
+    return np.concatenate([weights, bias[..., None, :]], axis=-2)
 
 
-def _scaled_softmax(logits: np.ndarray, bias: np.ndarray | None, scale: np.float32, small: bool) -> np.ndarray:
-    """``scale`` times the softmax, in the place of ``logits``."""
-    out = np.exp(_biased(logits, bias, small), out=logits)
-    out *= (scale / (out @ np.ones(out.shape[1], np.float32)))[:, None]
-    return out
+def _exponentials(logits: np.ndarray, small: bool) -> np.ndarray:
+    """Puts in the place of ``logits`` their exponentials, of large ones less the greatest of their row; sums of the rows."""
+    if not small:
+        logits -= logits.max(axis=1, keepdims=True)
+    return np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32)
 
 
-def _log_parts(logits: np.ndarray, bias: np.ndarray, target: np.ndarray, small: bool) -> np.ndarray:
+def _log_parts(logits: np.ndarray, target: np.ndarray, small: bool) -> np.ndarray:
     """Logarithm of the softmax at each target; works in the place of ``logits``."""
-    own = _biased(logits, bias, small)[np.arange(len(target)), target]
-    np.exp(logits, out=logits)
-    return own.astype(float) - np.log(logits @ np.ones(logits.shape[1], np.float32))
+    if not small:
+        logits -= logits.max(axis=1, keepdims=True)
+    own = logits[np.arange(len(target)), target]
+    return own.astype(float) - np.log(_exponentials(logits, True))
 
 
 def _by_group(group: np.ndarray, groups: int) -> list[tuple[int, int, int]]:
@@ -309,7 +364,7 @@ def _spaced(classes: np.ndarray, by_text: np.ndarray, outside: int) -> tuple[np.
 
 def _contexts(spaced: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Classes around each place; beyond the ends of its text lies the class ``outside``."""
-    return spaced[place[:, None] + np.array(OFFSETS)]
+    return _rows(spaced, place[:, None] + np.array(OFFSETS))
 
 
 def positions(by_text: np.ndarray, number: int, rounds: int) -> np.ndarray:
@@ -357,7 +412,7 @@ def train(docs: DataFrame, words_of: Vocabulary, rounds: int = ROUNDS, text_col:
         summed = source.mapInArrow(run, schema).groupBy("block").agg(
             F.sum("seen").alias("seen"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(BLOCK)]
         )
-        found = summed.toPandas().sort_values("block")
+        found = collected(summed).sort_values("block")
         if len(found):
             values = found[[f"v{i}" for i in range(BLOCK)]].to_numpy() / found[["seen"]].to_numpy()
             net = Network(values.ravel()[:size].astype(np.float32), classes)
@@ -381,8 +436,9 @@ def score(docs: DataFrame, words_of: Vocabulary, net: Network, id_col: str = "do
         counts, sums, rare, sizes = [], [], [], []
         for a, b in slices(offsets, 1 << 20):
             codes, hashed, by_text = _hashed(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            distinct, found = lookup.of(hashed)
-            parts = lookup.part(hashed, distinct, found)
+            at = lookup.places(hashed)
+            distinct, found = lookup.of(hashed, at)
+            parts = lookup.part(at, distinct, found)
             classes = distinct[codes]
             spaced, place = _spaced(classes, by_text, net.classes)
             each = np.zeros(len(classes))
