@@ -67,6 +67,20 @@ def test_packing(docs):
         assert total == own["tier"].iloc[0] and total & (total - 1) == 0
 
 
+def test_packing_encodes_little_at_once(monkeypatch):
+    sizes, real = [], packing.encode_texts
+    monkeypatch.setattr(packing, "encode_texts", lambda path, data, offsets: sizes.append(len(data)) or real(path, data, offsets))
+    rng = np.random.default_rng(5)
+    rows = ["", *(" ".join(f"w{rng.integers(999)}é" for _ in range(n)) for n in (1, 90_000, 0, 40_000, 40_000, 40_000, 3)), ""]
+    held = [x.encode() for x in rows]
+    offsets = np.cumsum([0, *map(len, held)])
+    found = list(packing.encoded_rows(WORD, np.frombuffer(b"".join(held), np.uint8), offsets, 2))
+    library = Tokenizer.from_file(WORD)
+    assert [x.tolist() for x in found] == [[*library.encode(x, add_special_tokens=False).ids, 2] for x in rows]
+    # Many times the bytes of a call are held while its words are cut: two MB took 171 MB.
+    assert sum(sizes) == offsets[-1] > 1 << 20 and all(x <= 1 << 19 or x == len(held[2]) for x in sizes)
+
+
 def plain_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     count = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))

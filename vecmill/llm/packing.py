@@ -27,6 +27,8 @@ from vecmill.llm.columnar import bound_batches, buffers, id_text, slices, task_m
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 STEP_TOKENS = 16 * 4096
+# Texts that are encoded at once: cutting words takes many times their bytes. Pieces are packed a slice at a time.
+ENCODE_BYTES = 1 << 19
 SCHEMA = (
     "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, step_group long"
@@ -122,6 +124,15 @@ class Packer:
         self.next_sequence += 1
 
 
+def encoded_rows(path: str, data: np.ndarray, offsets: np.ndarray, end_id: int) -> Iterator[np.ndarray]:
+    """The ids of each text and ``end_id``; at most ``ENCODE_BYTES`` of texts, or one text, are encoded at once."""
+    for a, b in slices(offsets, ENCODE_BYTES):
+        ids, bounds = encode_texts(path, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
+        for k in range(b - a):
+            yield ids[bounds[k] : bounds[k + 1]]
+
+
 def pack(
     docs: DataFrame,
     path: str,
@@ -163,10 +174,8 @@ def pack(
             doc_ids = batch.column("doc_id").to_pylist()
             data, offsets = buffers(batch.column("text"))
             for a, b in slices(offsets):
-                ids, bounds = encode_texts(path, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
-                for k in range(b - a):
-                    packer.add(ids[bounds[k] : bounds[k + 1]], doc_ids[a + k])
+                for doc_id, ids in zip(doc_ids[a:b], encoded_rows(path, data, offsets[a : b + 1], end_id)):
+                    packer.add(ids, doc_id)
                 packer.pack()
                 packer.own_memory()
                 if packer.rows:
