@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vecmill.llm import substrings
@@ -78,6 +79,30 @@ def test_minimisers_agree():
             assert by_window.setdefault(tuple(words[i : i + 20]), key) == key
 
 
+def test_super_kmers_travel_pressed(monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET_ROWS", 700)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    text = " ".join(rng.choice(words) for _ in range(40_000)).encode()
+    packed, keys, _, starts, _ = substrings.super_kmers(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    table = pa.table([keys, pa.array(packed, pa.binary()), starts, starts % 3 == 0, starts % 5], substrings.PACKED)
+    pressed = list(substrings.press(table, 5))
+    found = pa.Table.from_batches(part for batch in pressed for part in substrings.unpress(batch))
+    by_start = lambda t: t.sort_by("least").combine_chunks()
+    assert by_start(found).equals(by_start(table))
+    # One partition a minimiser, several rows a partition, and far fewer bytes than the rows have.
+    dealt = {}
+    for batch in pressed:
+        for row in range(batch.num_rows):
+            for part in substrings.unpress(batch.slice(row, 1)):
+                assert part.num_rows <= 700
+                for key in part.column("minimiser").to_pylist():
+                    assert dealt.setdefault(key, batch.column("partition")[row].as_py()) == batch.column("partition")[row].as_py()
+    assert set(dealt.values()) == set(range(5))
+    assert sum(len(x.as_py()) for batch in pressed for x in batch.column("pressed")) * 2 < sum(map(len, packed))
+    assert not list(substrings.press(table.slice(0, 0), 5))
+
+
 def test_nothing_to_read(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -7,7 +7,8 @@ bucket of the minimiser; there all windows of different super-k-mers are sorted
 word. Super-k-mers that only one document holds, in a bucket of their own, are done at once.
 
 Copies are combined before the shuffle, and again while a bucket is read, so a bucket holds different
-strings only. A super-k-mer carries the smallest id that holds it: every other document loses all its
+strings only. The super-k-mers that a task sends to one partition travel as one pressed row: each word
+stands in about three of them, and Spark's own compression of rows cannot use that they are sorted. A super-k-mer carries the smallest id that holds it: every other document loses all its
 windows, and only that document asks the bucket which of them start earlier elsewhere. What a bucket
 says is met with the places of the super-k-mers by their 128-bit digests; the few digests with more
 than their share of the places are met by a broadcast of bounded size. A bucket of more than
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmill.llm.columnar import bound_batches, buffers, encoded, map_arrow, slices, spread_ranges, strings, words
+from vecmill.llm.columnar import BATCH_BYTES, bound_batches, buffers, encoded, map_arrow, slices, spread_ranges, strings, words
 from vecmill.llm.labelled import MULTIPLIER, hashes
 from vecmill.llm.periodic import join_words
 from vecmill.session import cut_lineage
@@ -37,6 +38,7 @@ SEED_WORDS = 3
 COMBINE_BYTES = 16 << 20
 BUCKET_BYTES = 32 << 20
 BUCKET_ROWS = 1 << 14
+PRESSED = "partition int, size long, pressed binary"
 # Digests with more than this share of all places are met by broadcast: there are at most as many.
 HOT = 4096
 NO_ID = (1 << 63) - 1
@@ -142,13 +144,16 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _combined(source: DataFrame) -> DataFrame:
-    """``minimiser, packed, least, several, more``: the super-k-mers of each task. Equal ones are
-    combined: the smallest id, whether there are others, and how many more places there are."""
+    """``minimiser, packed, least, several, more``: the super-k-mers of each task, those of a minimiser in one
+    partition. Equal ones of a task are combined: the smallest id, whether there are others, and how many more
+    places there are."""
+
+    partitions = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(seen: dict[bytes, int], columns: tuple[list, ...]) -> Iterator[pa.RecordBatch]:
         keys, least, several, more = columns
         table = pa.table([pa.array(keys, pa.int64()), pa.array(list(seen), pa.binary()), pa.array(least, pa.int64()), pa.array(several, pa.bool_()), pa.array(more, pa.int64())], PACKED)
-        yield from table.to_batches(BUCKET_ROWS)
+        yield from press(table, partitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, columns, held = {}, ([], [], [], []), 0
@@ -175,13 +180,63 @@ def _combined(source: DataFrame) -> DataFrame:
         yield from emit(seen, columns)
 
     bound_batches(source.sparkSession)
-    return source.select("own", "text").mapInArrow(run, "minimiser long, packed binary, least long, several boolean, more long")
+    pressed = source.select("own", "text").mapInArrow(run, PRESSED).repartitionById(partitions, "partition")
+    return pressed.mapInArrow(lambda batches: (part for batch in batches for part in unpress(batch)), "minimiser long, packed binary, least long, several boolean, more long")
 
 
 PACKED = ["minimiser", "packed", "least", "several", "more"]
 ANSWER = "d1 long, d2 long, least long, several boolean, places long, repeated array<int>, packed binary"
 
 
+def press(table: pa.Table, partitions: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``PRESSED``: the super-k-mers of each partition in the order of their minimisers, at most
+    ``BUCKET_ROWS`` a row."""
+    if not table.num_rows:
+        return
+    key = table.column("minimiser").to_numpy()
+    part = (_finish(key.view(np.uint64)) % np.uint64(partitions)).astype(np.int64)
+    order = np.lexsort((key, part))
+    ends = np.cumsum(np.bincount(part, minlength=partitions))
+    zstd, rows, held = pa.Codec("zstd", 3), [], 0
+    for own, (start, end) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())):
+        for at in range(start, end, BUCKET_ROWS):
+            some = table.take(pa.array(order[at : min(at + BUCKET_ROWS, end)]))
+            key, least, more = (some.column(c).to_numpy().astype("<i8") for c in ("minimiser", "least", "more"))
+            data, offsets = buffers(some.column("packed"))
+            parts = [key, np.diff(offsets).astype("<i8"), least, more, some.column("several").to_numpy().astype(np.uint8), data]
+            raw = np.int64(len(key)).tobytes() + b"".join(x.tobytes() for x in parts)
+            rows.append((own, len(raw), zstd.compress(raw, asbytes=True)))
+            held += len(rows[-1][2])
+            if held > BATCH_BYTES:
+                yield pressed_rows(rows)
+                rows, held = [], 0
+    if rows:
+        yield pressed_rows(rows)
+
+
+def pressed_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], [f.split()[0] for f in PRESSED.split(", ")])
+
+
+def unpress(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The super-k-mers of rows of ``PRESSED``."""
+    zstd, tables, held = pa.Codec("zstd"), [], 0
+    for size, pressed in zip(batch.column("size").to_pylist(), batch.column("pressed")):
+        raw = np.frombuffer(zstd.decompress(pressed.as_buffer(), size), np.uint8)
+        count = int(raw[:8].view("<i8")[0])
+        key, lengths, least, more = raw[8 : 8 + 32 * count].view("<i8").reshape(4, count)
+        several, data = raw[8 + 32 * count : 8 + 33 * count].astype(bool), raw[8 + 33 * count :]
+        packed = strings(data, np.concatenate([[0], np.cumsum(lengths)]))
+        tables.append(pa.table([pa.array(key), packed, pa.array(least), pa.array(several), pa.array(more)], PACKED))
+        held += size
+        if held > BATCH_BYTES:
+            yield from pa.concat_tables(tables).combine_chunks().to_batches(BUCKET_ROWS)
+            tables, held = [], 0
+    if tables:
+        yield from pa.concat_tables(tables).combine_chunks().to_batches(BUCKET_ROWS)
+
+
 def _merge(table: pa.Table) -> pa.Table:
     """Equal super-k-mers as one row."""
     codes, distinct = encoded(table.column("packed").combine_chunks())
@@ -223,7 +278,8 @@ def _answer(table: pa.Table, defer: bool = False) -> pa.RecordBatch:
 
 
 def _buckets(rows: DataFrame, limit: int) -> DataFrame:
-    """The answers of all buckets; a bucket of more than ``limit`` bytes gives its strings back."""
+    """The answers of all buckets, each in one partition of ``rows``; one of more than ``limit`` bytes gives its
+    strings back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, deferred = None, None
@@ -249,7 +305,7 @@ def _buckets(rows: DataFrame, limit: int) -> DataFrame:
         if held is not None:
             yield _answer(held)
 
-    return rows.repartition("minimiser").sortWithinPartitions("minimiser", "packed").mapInArrow(run, ANSWER)
+    return rows.sortWithinPartitions("minimiser", "packed").mapInArrow(run, ANSWER)
 
 
 def meet(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
